@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from edgeloom.llm import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.url_filter import judge
+
+    good = F.expr("case when quality = 1 and toxic = 0 then 1 when quality is not null and toxic is not null then 0 end")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return judge(_table(spark, sf_dir, "pages"), labels)
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edgeloom.llm.token_planes import token_digests
 
@@ -28,4 +39,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": url_filter.oracle_sql()}
