@@ -1,10 +1,10 @@
 """SimHash near-duplicates by covering locality-sensitive hashing.
 
 A text's fingerprint has a bit set where over half of its shingles' hashes have it. To find every pair of
-fingerprints within ``RADIUS`` bits, each bit position gets a random non-zero-able vector m(i) of RADIUS + 1
-bits, and table v (every non-zero vector of that length) looks at the positions whose m(i) is orthogonal to
-v. At most RADIUS differing positions span less than the whole space, so some v is orthogonal to all of
-them: the pair agrees in that table. No link is lost, for sure rather than probably.
+fingerprints within ``RADIUS`` bits, each bit position gets a random vector m(i) of RADIUS + 1 bits, and
+table v (every non-zero vector of that length) looks at the positions whose m(i) is not orthogonal to v. The
+at most RADIUS differing positions don't span the whole space, so some v is orthogonal to all of them: that
+table looks at none of them, and the pair agrees in it. No link is lost, for sure rather than probably.
 
 Equal fingerprints are one node. A table's bucket of up to ``SMALL`` distinct fingerprints is compared in
 one task and gives at most a spanning forest. A larger one never meets in a task: each fingerprint that is
@@ -77,7 +77,7 @@ def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
     """The positions that each table looks at, one mask a table, 2 ** (radius + 1) - 1 of them."""
     pick = random.Random(seed)
     vectors = [pick.randrange(1 << (radius + 1)) for _ in range(64)]
-    return [sum(1 << i for i, m in enumerate(vectors) if bin(m & v).count("1") % 2 == 0) for v in range(1, 1 << (radius + 1))]
+    return [sum(1 << i for i, m in enumerate(vectors) if bin(m & v).count("1") % 2) for v in range(1, 1 << (radius + 1))]
 
 
 def _signed(x: int) -> int:
