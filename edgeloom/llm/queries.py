@@ -20,6 +20,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"), labels)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.substring_dedup import remove_repeats
+
+    rows = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edgeloom.llm.token_planes import token_digests
 
