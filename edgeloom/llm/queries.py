@@ -28,6 +28,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.packing import pack
+
+    packed = pack(_table(spark, sf_dir, "documents"))
+    place = ("doc_id", "piece", "start", F.col("length").cast("long").alias("length"))
+    return packed.select(*place, F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edgeloom.llm.substring_dedup import remove_repeats
 
