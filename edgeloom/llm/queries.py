@@ -12,6 +12,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    train = toxicity.join_labels(docs, _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"))
+    scored = toxicity.score(docs, toxicity.fit(train)).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from edgeloom.llm.url_filter import judge
 
