@@ -135,7 +135,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     found = storage.cut(_find_runs(texts, length), "runs")
     heads = found.where("digest is not null").select("uid", "digest", "copies")
     found = found.where("bucket is not null").drop("digest", "copies")
-    shared = found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = storage.cut(found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     found = storage.cut(found.join(shared, "bucket"), "shared-runs")
     one = F.min(F.struct("uid", "pf", "w", "d")).alias("one")
     kinds = storage.cut(found.groupBy("ctx").agg(F.count("*").alias("n"), F.min("bucket").alias("bucket"), one), "run-kinds")
