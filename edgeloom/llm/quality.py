@@ -5,7 +5,8 @@ counts of vote patterns estimates how each rule votes on good and on bad documen
 how many documents are good; the posterior probability of being good then decides, instead of a demand
 that all rules pass. Rules that know one kind of junk only abstain where they do not find it. What is
 assumed of rules, besides that they err independently: each objects to at most ``FALSE_ALARMS`` of the good
-documents. Without that bound EM may take the largest single kind of junk for all of it.
+documents, and a bad document meets at least ``CAUGHT`` objections on average. Without the first bound EM may
+take the largest single kind of junk for all of it, without the second it may call bad what no rule minds.
 
 Everything per document is Spark's built-in functions. The only rows that reach the driver are the vote
 patterns with their counts, at most 3 to the power of the number of rules.
@@ -29,6 +30,7 @@ WINDOW = 8
 ROUNDS = 50
 KEEP_FROM = 0.5
 FALSE_ALARMS = 0.005
+CAUGHT = 1.0
 
 
 def _share(part: str, whole: str) -> Column:
@@ -121,15 +123,21 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[list[d
             for g, (votes, c) in zip(good, patterns, strict=True):
                 sums[1][votes[j]] += g * c
                 sums[0][votes[j]] += (1 - g) * c
-            rates = [{v: n / sum(s.values()) for v, n in s.items()} for s in sums]
-            objects = min(rates[1][-1], FALSE_ALARMS)
-            rest = (1 - objects) / (1 - rates[1][-1])
-            rates[1] = {-1: objects, 0: rates[1][0] * rest, 1: rates[1][1] * rest}
-            voting.append(rates)
+            voting.append([{v: n / sum(s.values()) for v, n in s.items()} for s in sums])
+        caught = sum(bad[-1] for bad, _ in voting)
+        for rates in voting:
+            rates[0] = _objecting(rates[0], min(0.95, rates[0][-1] * max(1.0, CAUGHT / caught)))
+            rates[1] = _objecting(rates[1], min(rates[1][-1], FALSE_ALARMS))
         good = [posterior(votes, prior, voting) for votes, _ in patterns]
     return prior, voting
 
 
+def _objecting(rates: dict[int, float], share: float) -> dict[int, float]:
+    """The same rates with another share of objections."""
+    rest = (1 - share) / (1 - rates[-1])
+    return {-1: share, 0: rates[0] * rest, 1: rates[1] * rest}
+
+
 def posterior(votes: tuple[int, ...], prior: float, voting: list[list[dict[int, float]]]) -> float:
     """P(good | votes)."""
     yes, no = prior, 1 - prior
