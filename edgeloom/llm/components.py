@@ -37,13 +37,17 @@ def components(links: DataFrame) -> DataFrame:
     A hub's rows are pre-aggregated before each shuffle of minima; joins on a hub are split by AQE. Each
     round's links are a table in the shared folder, so an executor's loss costs one round at most.
     """
-    links = storage.cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
-    for _ in range(MOST_ROUNDS):
-        links = storage.cut(_small_star(_large_star(links)), "links")
-        # done when every node's only link goes to its star's centre, and no centre has one
-        sums = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sums == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = sums
+    spark = links.sparkSession
+    with storage.Scratch(spark, "links") as scratch:
+        links = scratch.cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        before = None
+        for _ in range(MOST_ROUNDS):
+            links = scratch.cut(_small_star(_large_star(links)))
+            scratch.drop_before(1)
+            # done when a round changes nothing: every node's only link then goes to its star's centre
+            sums = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if sums == before:
+                centres = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+                return storage.cut(links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres), "components")
+            before = sums
     raise RuntimeError("components did not settle")

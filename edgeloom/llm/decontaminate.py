@@ -46,8 +46,8 @@ def _small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
 
 
-def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """Postings ``uid, doc_id, pos, term`` of ``docs(doc_id, text)``, stored; ``terms(word, term)`` limits and numbers them.
+def build_index(docs: DataFrame, cut, terms: DataFrame | None = None) -> DataFrame:
+    """Postings ``uid, doc_id, pos, term`` of ``docs(doc_id, text)``, stored by ``cut``; ``terms(word, term)`` limits and numbers them.
 
     Without ``terms`` every word is indexed under itself. The end posting's word is ``END``, its position the
     number of words, and it alone has ``doc_id``.
@@ -57,8 +57,8 @@ def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     own = F.when(F.col("word") == END, F.col("doc_id")).alias("doc_id")
     rows = rows.select("uid", own, "pos", lowered("word").alias("word"))
     if terms is None:
-        return storage.cut(rows.withColumnRenamed("word", "term"), "postings")
-    return storage.cut(rows.join(_small(terms), "word").select("uid", "doc_id", "pos", "term"), "postings")
+        return cut(rows.withColumnRenamed("word", "term"))
+    return cut(rows.join(_small(terms), "word").select("uid", "doc_id", "pos", "term"))
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -70,18 +70,21 @@ def item_words(items: DataFrame) -> DataFrame:
     return rows.withColumn("word", lowered("word")).distinct()
 
 
-def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """The end postings ``uid, doc_id, n_words`` and the hits ``uid, item, first, last`` (word positions)."""
-    tests = storage.cut(item_words(items), "tests")
+def find_phrases(docs: DataFrame, items: DataFrame, cut, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """The end postings ``uid, doc_id, n_words`` and the hits ``uid, item, first, last`` (word positions).
+
+    ``cut`` stores the tables that serve them.
+    """
+    tests = cut(item_words(items))
     vocabulary = tests.select("word").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("word")))
-    terms = storage.cut(vocabulary.withColumn("term", F.when(F.col("word") == END, -1).otherwise(F.monotonically_increasing_id())), "terms")
-    index = build_index(docs, terms)
+    terms = cut(vocabulary.withColumn("term", F.when(F.col("word") == END, -1).otherwise(F.monotonically_increasing_id())))
+    index = build_index(docs, cut, terms)
     ends = index.where("term = -1").select("uid", "doc_id", F.col("pos").cast("long").alias("n_words"))
     postings = index.where("term >= 0").select("uid", "pos", "term")
 
     counts = postings.groupBy("term").agg(F.count("*").alias("found"))
     tests = tests.join(terms, "word").join(counts, "term", "left").fillna(0, ["found"])
-    tests = storage.cut(tests.select("item", "key", "n", "j", "term", "found"), "test-postings")
+    tests = cut(tests.select("item", "key", "n", "j", "term", "found"))
     # the rarest word of each window; an item's words are few and meet by item
     ahead = Window.partitionBy("key").orderBy("j").rowsBetween(0, window - 1)
     rarest = F.min(F.struct("found", "j", "term")).over(ahead).alias("rarest")
@@ -89,11 +92,11 @@ def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tup
     starts = starts.where(F.col("here") == F.least("n", F.lit(window))).where("rarest.found > 0")
     anchors = starts.groupBy("key", "rarest").agg(F.first("item").alias("item"), F.first("n").alias("n"), F.min("j").alias("low"), F.max("j").alias("high"))
     anchors = anchors.select("key", "item", "n", F.col("rarest.j").alias("j"), F.col("rarest.term").alias("term"), "low", (F.least(F.col("high") + window, F.col("n")) - 1).alias("high"))
-    anchors = storage.cut(anchors, "anchors")
+    anchors = cut(anchors)
 
     placed = postings.join(_small(anchors), "term").select("uid", "key", (F.col("pos") - F.col("j")).alias("diagonal"), "low", "high")
     placed = placed.where(F.col("diagonal") + F.col("low") >= 0)
-    placed = storage.cut(placed.groupBy("uid", "key", "diagonal").agg(F.min("low").alias("low"), F.max("high").alias("high")), "candidates")
+    placed = cut(placed.groupBy("uid", "key", "diagonal").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     some = _small(placed.select("uid").distinct())
     lists = tests.groupBy("key").agg(F.first("item").alias("item"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "term"))).alias("words"))
     asked = placed.join(_small(lists), "key").select("uid", "key", "item", "n", "diagonal", F.explode(F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + 1)).alias("w"))
@@ -108,28 +111,29 @@ def find_phrases(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tup
     islands = met.withColumn("island", F.col("j") - F.row_number().over(line))
     hits = islands.groupBy("uid", "key", "diagonal", "island").agg(F.first("item").alias("item"), F.first("n").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     hits = hits.where(F.col("last") - F.col("first") + 1 >= F.least("n", F.lit(window)))
-    return ends, storage.cut(hits.select("uid", "item", "first", "last"), "hits")
+    return ends, cut(hits.select("uid", "item", "first", "last"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items, contaminated`` for every row of ``docs``."""
-    ends, hits = find_phrases(docs, items, window)
-    before = Window.partitionBy("uid").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.greatest(F.col("first"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)))
-    new = hits.withColumn("new", F.greatest(F.lit(0), F.col("last") - begin + 1))
-    found = new.groupBy("uid").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-    rows = ends.join(found, "uid", "left")
-    none = F.array().cast("array<string>")
-    hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-                       F.coalesce("items", none).alias("items"), (hit > 0).alias("contaminated"))
+    """``doc_id, n_words, n_hit, n_items, items, contaminated`` for every row of ``docs``; only this result stays stored."""
+    with storage.Scratch(docs.sparkSession, "index") as scratch:
+        ends, hits = find_phrases(docs, items, scratch.cut, window)
+        before = Window.partitionBy("uid").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+        begin = F.greatest(F.col("first"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)))
+        new = hits.withColumn("new", F.greatest(F.lit(0), F.col("last") - begin + 1))
+        found = new.groupBy("uid").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+        rows = ends.join(found, "uid", "left")
+        none = F.array().cast("array<string>")
+        hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+        return storage.cut(rows.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+                                       F.coalesce("items", none).alias("items"), (hit > 0).alias("contaminated")), "contamination")
 
 
 def near(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
     """``doc_id, item, first``: places from which all distinct words of an item lie within ``span`` words."""
     tests = item_words(phrases)
     terms = tests.select("word").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("word")))
-    index = build_index(docs, storage.cut(terms.withColumn("term", F.col("word")), "terms"))
+    index = build_index(docs, lambda frame: storage.cut(frame, "postings"), terms.withColumn("term", F.col("word")))
     wanted = tests.groupBy("item", "key").agg(F.countDistinct("word").alias("kinds"))
     each = tests.select("item", "key", F.col("word").alias("term")).distinct().join(wanted, ["item", "key"])
     rows = index.where(F.col("term") != END).join(_small(each), "term")
@@ -140,7 +144,12 @@ def near(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, most: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, of whose words at most the share ``most`` is hit."""
-    stored = storage.cut(docs.select(F.struct("*").alias("row"), F.col("text"), F.monotonically_increasing_id().alias("doc_id")), "numbered")
-    bad = contamination(stored.select("doc_id", "text"), items).where(F.col("n_hit") > most * F.col("n_words"))
-    return stored.join(_small(storage.cut(bad.select("doc_id"), "contaminated")), "doc_id", "left_anti").select("row.*")
+    """The rows of ``docs``, all columns, of whose words at most the share ``most`` is hit.
+
+    Contaminated rows are known by id and text hash; while they are few, no text is shuffled.
+    """
+    key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    found = contamination(docs.select(key.alias("doc_id"), "text"), items)
+    bad = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("doc_id").alias("bad")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), key.alias("own"))
+    return rows.join(_small(bad), F.col("own").eqNullSafe(F.col("bad")), "left_anti").select("row.*")

@@ -12,7 +12,7 @@ Everything per document is Spark's built-in functions. The only rows that reach
 patterns with their counts, at most 3 to the power of the number of rules.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows are judged alike,
-one by one; an empty table gives no rows; input columns of any name travel in the struct ``doc``.
+one by one; an empty table gives no rows; input columns of any name travel in the struct ``doc`` (the text only if asked for).
 """
 
 from __future__ import annotations
@@ -83,10 +83,10 @@ def _covered(windows: Column) -> Column:
     return let(let(ordered, starts), words)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``doc`` (all input columns) and the counts that the rules use; no shuffle."""
+def measure(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """``doc`` (all input columns that it carries) and the counts that the rules use; no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("doc"), text.alias("body"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("doc"), text.alias("body"))
     lines = F.filter(F.split("body", "\n"), lambda x: F.trim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     rows = _bound(rows, words=F.array_remove(F.split("body", SPACES), ""), lines=lines)
     rows = rows.select(
@@ -146,10 +146,16 @@ def posterior(votes: tuple[int, ...], prior: float, voting: list[list[dict[int,
     return yes / (yes + no)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """``doc``, the measures, ``base_failed``, ``quality`` (posterior) and ``kept`` for every document."""
+def judge(docs: DataFrame, with_text: bool = False) -> DataFrame:
+    """``doc``, the measures, ``base_failed``, ``quality`` (posterior) and ``kept`` for every document.
+
+    Measures are stored between fitting and judging. ``with_text`` carries the texts too; they are then measured
+    a second time instead of being stored.
+    """
     rules = _rules()
-    rows = storage.cut(measure(docs).select("*", F.struct(*(c.alias(n) for n, c in rules.items())).alias("votes")), "votes")
+    carried = [c for c in docs.columns if with_text or c != "text"]
+    rows = measure(docs, carried).select("*", F.struct(*(c.alias(n) for n, c in rules.items())).alias("votes"))
+    rows = rows if with_text else storage.cut(rows, "votes")
     counted = rows.groupBy("votes").count().collect()  # at most 3 ** len(rules) rows
     prior, voting = fit(sorted((tuple(x.votes), x["count"]) for x in counted))
     odds = F.lit(prior / (1 - prior))

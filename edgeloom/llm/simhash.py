@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm import storage
@@ -105,14 +105,17 @@ def _forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return values[own], values[label[own]]
 
 
-def links(values: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
-    """``u, v``: links between distinct fingerprints ``values(fp)`` with the same components as all pairs within ``radius``."""
+def links(values: DataFrame, cut, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
+    """``u, v``: links between distinct fingerprints ``values(fp)`` with the same components as all pairs within ``radius``.
+
+    ``cut`` stores the buckets, which are read twice.
+    """
     if radius % 2:
         raise ValueError("variants need an even radius")
     tables = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks(radius))]
     rows = values.select("fp", F.explode(F.array(*tables)).alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = storage.cut(rows.join(sizes, "bucket"), "buckets")
+    met = cut(rows.join(sizes, "bucket"))
     few = met.where(F.col("n") <= small).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +151,10 @@ def _through_variants(crowded: DataFrame, radius: int) -> DataFrame:
     return rows.join(least, "variant").where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
-def _grouped(prints: DataFrame, order: str) -> DataFrame:
+def _grouped(prints: DataFrame, order: str, scratch: storage.Scratch) -> DataFrame:
     """``fp, first``: for each fingerprint the smallest ``order`` in its component."""
-    classes = storage.cut(prints.groupBy("fp").agg(F.min(order).alias("own")), "fingerprints")
-    found = components(links(classes.select("fp")))
+    classes = scratch.cut(prints.groupBy("fp").agg(F.min(order).alias("own")))
+    found = components(links(classes.select("fp"), scratch.cut))
     rows = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = rows.groupBy("component").agg(F.min("own").alias("first"))
     return rows.join(least, "component").select("fp", "first")
@@ -159,17 +162,27 @@ def _grouped(prints: DataFrame, order: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``."""
-    prints = storage.cut(fingerprints(docs), "prints")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(_grouped(prints, "doc_id"), "fp").select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id"))
+    with storage.Scratch(docs.sparkSession, "simhash") as scratch:
+        prints = scratch.cut(fingerprints(docs))
+        rows = prints.join(_grouped(prints, "doc_id", scratch), "fp")
+        return storage.cut(rows.select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id")), "near-duplicates")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each group: that of the smallest ``doc_id``."""
-    row = F.struct("*").alias("row")
-    numbered = docs.select(row, "text", F.monotonically_increasing_id().alias("doc_id"))
-    stored = storage.cut(numbered, "numbered")  # row numbers hold from here on
-    prints = storage.cut(fingerprints(stored).withColumnRenamed("doc_id", "uid"), "prints")
-    ids = stored.select(F.col("doc_id").alias("uid"), F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), F.col("doc_id").alias("uid")).alias("order"))
-    firsts = _grouped(prints.join(ids, "uid"), "order").select(F.col("first.uid").alias("uid")).distinct()
-    return stored.join(firsts, stored.doc_id == firsts.uid, "left_semi").select("row.*")
+    """The rows of ``docs``, all columns, one of each group: that of the smallest ``doc_id``.
+
+    Only ids, fingerprints and text hashes are stored; texts are shuffled once, to meet the rows to keep.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
+    with storage.Scratch(docs.sparkSession, "simhash") as scratch:
+        keyed = docs.select(key.alias("doc_id"), "text")
+        prints = scratch.cut(fingerprints(keyed))
+        firsts = storage.cut(_grouped(prints, "doc_id", scratch).select(F.col("first").alias("kept_key")).distinct(), "kept")
+    rows = docs.select(F.struct("*").alias("row"), key.alias("own_key"))
+    flat = [F.col(f"own_key.{c}").alias(c) for c in ("none", "id", "hash")]
+    kept = firsts.select(*(F.col(f"kept_key.{c}").alias(c) for c in ("none", "id", "hash")))
+    rows = rows.select("row", *flat).join(kept, ["none", "id", "hash"], "left_semi")
+    # rows that repeat id and text are alike; the first of them stays
+    place = F.row_number().over(Window.partitionBy("none", "id", "hash").orderBy("none"))
+    return rows.withColumn("place", place).where("place = 1").select("row.*")

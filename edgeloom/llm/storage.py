@@ -1,51 +1,44 @@
-"""Places and files that the driver and every executor can see."""
+"""Tables and files in the folder that the driver and every executor share."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
+from edgeloom.shared import cut, new_folder, shared_root
 
+__all__ = ["Scratch", "cut", "new_folder", "open_folder", "publish", "shared_root"]
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
 
-    Only a one-machine session may go without that setting; it gets a temporary folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if context.applicationId not in _LOCAL:
-        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="edgeloom-")
-    return f"file://{_LOCAL[context.applicationId]}"
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared root, deleted when the application ends."""
-    path = f"{shared_root(spark)}/edgeloom-{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def cut(frame: DataFrame, label: str) -> DataFrame:
-    """Write ``frame`` as Parquet into the shared folder and read it back.
-
-    This ends the lineage: a lost executor costs at most the tasks since the last cut.
-    """
-    spark = frame.sparkSession
-    path = new_folder(spark, label)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+class Scratch:
+    """Tables that only serve to make a result; leaving the ``with`` block deletes them."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.n = spark, new_folder(spark, label), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(self.folder)
+
+    def cut(self, frame: DataFrame) -> DataFrame:
+        """Write ``frame`` and read it back: its lineage ends there."""
+        self.n += 1
+        path = f"{self.folder}/{self.n:03d}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop_before(self, keep: int) -> None:
+        """Delete the tables before the last ``keep``."""
+        for n in range(1, self.n - keep + 1):
+            self.drop(f"{self.folder}/{n:03d}")
+
+    def drop(self, path: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -132,25 +132,30 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``spans``: (first window, windows); ``whole``: the text has copies.
     """
-    found = storage.cut(_find_runs(texts, length), "runs")
+    with storage.Scratch(texts.sparkSession, "repeats") as scratch:
+        return storage.cut(_spans(texts, length, scratch.cut), "spans")
+
+
+def _spans(texts: DataFrame, length: int, cut) -> DataFrame:
+    found = cut(_find_runs(texts, length))
     heads = found.where("digest is not null").select("uid", "digest", "copies")
     found = found.where("bucket is not null").drop("digest", "copies")
-    shared = storage.cut(found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    found = storage.cut(found.join(shared, "bucket"), "shared-runs")
+    shared = cut(found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    found = cut(found.join(shared, "bucket"))
     one = F.min(F.struct("uid", "pf", "w", "d")).alias("one")
-    kinds = storage.cut(found.groupBy("ctx").agg(F.count("*").alias("n"), F.min("bucket").alias("bucket"), one), "run-kinds")
+    kinds = cut(found.groupBy("ctx").agg(F.count("*").alias("n"), F.min("bucket").alias("bucket"), one))
     agreed = found.join(kinds.where("n > 1").select("ctx"), "ctx").select("uid", "pf", "w")
     differing = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
     needs = kinds.join(differing, "bucket").select("one.*")
     needs = needs.groupBy("uid").agg(F.collect_list(F.struct("pf", "w", "d")).alias("needs"))  # at most a text's windows
     needs = needs.join(heads, "uid").select("uid", "digest", "needs")
-    blocks = storage.cut(_blocks(_once(texts).join(needs, "digest").select("uid", "text", "needs"), length), "blocks")
+    blocks = cut(_blocks(_once(texts).join(needs, "digest").select("uid", "text", "needs"), length))
     met = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # the window with l bytes left of the shared ones has BLOCK - 1 - l right of them
     windows = blocks.join(met, "key").withColumn("l", F.explode(F.sequence("l0", "l1")))
     tail = F.expr("substring(left, length(left) - l + 1, l)")
     head = F.expr(f"substring(right, 1, {BLOCK - 1} - l)")
-    windows = storage.cut(windows.select("uid", (F.col("at") - F.col("l")).alias("pf"), F.xxhash64("key", tail, head).alias("window")), "windows")
+    windows = cut(windows.select("uid", (F.col("at") - F.col("l")).alias("pf"), F.xxhash64("key", tail, head).alias("window")))
     twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     single = windows.join(twice, "window").select("uid", "pf", F.lit(1).alias("w"))
     copies = heads.groupBy("digest").agg(F.sum("copies").alias("n"), F.min("uid").alias("uid"))

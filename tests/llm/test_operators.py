@@ -234,7 +234,7 @@ def test_links_in_crowded_buckets(spark, small):
     centres = [int(x) for x in pick.integers(0, 1 << 63, 4)]
     values = {c ^ sum(1 << int(i) for i in pick.choice(64, int(pick.integers(0, 5)), replace=False)) for c in centres for _ in range(30)}
     frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    found = {r.node: r.component for r in components.components(simhash.links(frame, small=small)).collect()}
+    found = {r.node: r.component for r in components.components(simhash.links(frame, lambda f: storage.cut(f, "t"), small=small)).collect()}
     wanted = plain_components(values, 4)
     groups = lambda m: sorted(sorted(v for v in m if m[v] == c) for c in set(m.values()))
     single = {v: found.get(v - (1 << 64) if v >> 63 else v, v) for v in values}
@@ -317,12 +317,14 @@ def plain_measures(text):
 def test_measures(spark, docs):
     extra = ["a b c d e f g h " * 3, "x\nx\n x\nx\n\n", "# $ & | < > %", " ".join("abcdefghij") + " " + " ".join("abcdefgh") + " " + "z " * 40]
     frame = docs.select(*FIELDS).unionByName(spark.createDataFrame(list(enumerate(extra, 900)), "doc_id long, text string"))
-    found = quality.judge(frame).collect()
+    found = quality.judge(frame, with_text=True).collect()
     rows = [(r.doc.doc_id, r.doc.text, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found]
     same(rows, [(i, t, *plain_measures(t)) for i, t in doc_rows(frame)])
     assert not any(r.kept and r.base_failed for r in found)
-    judged = quality.judge(docs)
+    judged = quality.judge(docs, with_text=True)
     assert judged.where("kept").select("doc.*").columns == docs.columns
+    stored = quality.judge(docs)
+    same([tuple(r) for r in stored.select("doc.doc_id", "kept").collect()], [tuple(r) for r in judged.select("doc.doc_id", "kept").collect()])
     assert quality.judge(docs.limit(0)).count() == 0
 
 
