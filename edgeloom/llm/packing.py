@@ -6,7 +6,7 @@ lengths at most, that histogram is the only thing the driver sees. A configurati
 lengths that fits a sequence. The linear program - fewest sequences that hold all pieces - is solved by
 multiplicative weights: each round prices lengths by how little of them is covered so far, and a knapsack
 dynamic program finds the configuration of the largest price. Rounded down, the solution's configurations
-are filled; what is left is solved again, and at last put best-fit, largest first. Pieces then find
+are filled; what is left is put best-fit, largest first. Pieces then find
 their sequence by their rank among pieces of the same length.
 
 Defined results: a null text is empty and still a piece of one token; repeated rows are packed one by one; a
@@ -30,7 +30,8 @@ from edgeloom.llm import storage, tokens
 CAPACITY = 1024
 END_ID = 2
 ROUNDS = 40
-PHASES = 2
+#: Shares of the solution that are tried in rounding.
+SHARES = (1.0, 0.95, 0.9, 0.75, 0.5, 0.25)
 #: How fast a covered length gets cheaper.
 STEP = 0.05
 #: How far from full price a configuration may be.
@@ -127,14 +128,14 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     return used
 
 
-def rounded(used: list[tuple[Counter, float]], left: np.ndarray) -> list[tuple[Counter, int]]:
-    """Whole numbers of configurations, never more of a length than is left; lowers ``left``."""
+def rounded(used: list[tuple[Counter, float]], left: np.ndarray, share: float) -> list[tuple[Counter, int]]:
+    """Whole numbers of configurations, of ``share`` of the solution; never more of a length than is left, which is lowered."""
     merged: Counter = Counter()
     for config, often in used:
         merged[tuple(sorted(config.items()))] += often
     plan = []
     for config, often in sorted(merged.items(), key=lambda x: (-x[1], x[0])):
-        n = min(int(often), *(int(left[i]) // k for i, k in config))
+        n = min(int(share * often), *(int(left[i]) // k for i, k in config))
         if n:
             plan.append((Counter(dict(config)), n))
             for i, k in config:
@@ -179,21 +180,22 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """The packing: (length -> how many, sequences with these contents)."""
+    """The packing: (length -> how many, sequences with these contents).
+
+    How much of the fractional solution to round down and how much to leave to best fit, which needs some short
+    pieces, is chosen by the number of sequences that come out.
+    """
     lengths = np.array(sorted(histogram), np.int64)
-    left, plan = np.array([histogram[n] for n in lengths.tolist()], np.int64), []
-    for _ in range(PHASES):
-        some = np.flatnonzero(left)
-        if len(some) < 2:
-            break
-        rest = left[some]
-        found = rounded(fractional(lengths[some], rest.copy(), capacity, rounds), rest)
-        left[some] = rest
-        plan += [({int(lengths[some[i]]): k for i, k in c.items()}, n) for c, n in found]
-        if not found:
-            break
-    plan += [({int(lengths[i]): k for i, k in c.items()}, n) for c, n in best_fit(lengths, left, capacity)]
-    return plan
+    counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
+    if not len(lengths):
+        return []
+    used, best = fractional(lengths, counts, capacity, rounds), None
+    for share in SHARES:
+        left = counts.copy()
+        plan = rounded(used, left, share) + best_fit(lengths, left, capacity)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+    return [({int(lengths[i]): k for i, k in c.items()}, n) for c, n in best]
 
 
 def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
