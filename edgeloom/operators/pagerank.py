@@ -17,8 +17,8 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = DAMPING) -> Dat
     """``id, score``: no convergence test, no share for dangling vertices, no normalisation.
 
     A round: edges meet their source's contribution, sums go to destinations, and vertices without incoming
-    edges get the base. Edges and vertices are each hashed once and reused by every round; sums are partial
-    before the shuffle, so a vertex with a third of all edges is a row a task.
+    edges get the base. The rounds between two cuts share one exchange of the edges; sums are partial before
+    the shuffle, so a vertex that a third of all edges enter is a row a task, and AQE splits one that they leave.
     """
     vertices = endpoints(edges)
     out = edges.groupBy("src").agg(F.count("*").alias("out_deg"))
