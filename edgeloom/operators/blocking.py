@@ -2,8 +2,9 @@
 
 The matrix is quartered until a square has fewer than ``most`` edges, at depth MIN_DEPTH at the earliest.
 An aligned square is a prefix of the Hilbert index, and counts only shrink with depth, so an edge's block
-is the shallowest prefix, from MIN_DEPTH on, with fewer than ``most`` edges. Counts of all depths come from one
-aggregation of the edges: each depth's table is the next finer one rolled up.
+is the shallowest prefix, from MIN_DEPTH on, with fewer than ``most`` edges: one deeper than the deepest
+crowded square over it. Edges are aggregated to cells once; STRIDE depths are counted together, and only cells
+that are still crowded go on to the next ones.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from edgeloom.operators.ordering import with_hilbert
 from edgeloom.shared import cut
 
 MIN_DEPTH = 5
+STRIDE = 3
 
 
 def check_most_edges(m: int, most: int) -> None:
@@ -26,40 +28,52 @@ def check_most_edges(m: int, most: int) -> None:
         raise ValueError(f"at most {power_of_two(m // 16)} edges a block make sense for {m} edges")
 
 
-def _prefix(order: int, depth: int) -> Column:
-    return F.call_function("shiftright", F.col("h"), F.lit(2 * (order - depth)))
+def _prefix(order: int, depth: Column | int) -> Column:
+    return F.call_function("shiftright", F.col("h"), (2 * (F.lit(order) - depth)).cast("int"))
 
 
-def block_of_edges(edges: DataFrame, order: int, most: int) -> DataFrame:
-    """Edges with ``h``, the ``depth`` of their block and its ``prefix``.
+def settle(keyed: DataFrame, order: int, most: int) -> DataFrame:
+    """``h, src, dst, nnz, depth, prefix``: each cell that has edges, and its block.
 
-    Cells are settled from the coarsest depth on; what is settled leaves the tables of finer depths. A cell's
-    decision is one row, and edges meet decisions once, by the cell of the coarsest depth.
+    What a join brings back are crowded squares, at most an edge count divided by ``most`` for each depth.
     """
     if most < 2:
         raise ValueError("blocks of fewer than one edge don't exist: most must be at least 2")
-    keyed = cut(with_hilbert(edges, order), "hilbert")
-    cells = keyed.groupBy("h").agg(F.count("*").alias("nnz"))
+    cells = keyed.groupBy("h", "src", "dst").agg(F.count("*").alias("nnz"))
     decided: DataFrame | None = None
     open_ = cut(cells, "cells")
-    for depth in range(min(MIN_DEPTH, order), order + 1):
-        counts = open_.groupBy(_prefix(order, depth).alias("prefix")).agg(F.sum("nnz").alias("n"))
-        done = counts.where(F.col("n") < most).select("prefix")
-        inside = open_.withColumn("prefix", _prefix(order, depth)).join(done.withColumn("done", F.lit(True)), "prefix", "left")
-        inside = cut(inside.select("h", "nnz", "prefix", F.coalesce("done", F.lit(False)).alias("done")), "depth")
-        settled = inside.where("done").select("h", F.lit(depth).alias("depth"), "prefix")
-        decided = settled if decided is None else decided.unionByName(settled)
-        open_ = inside.where("not done").select("h", "nnz")
-        if open_.isEmpty():
+    for first in range(min(MIN_DEPTH, order), order + 1, STRIDE):
+        depths = range(first, min(first + STRIDE, order + 1))
+        squares = F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(order, d).alias("prefix")) for d in depths))
+        rows = open_.select("h", "nnz", F.explode(squares).alias("square")).select("h", "nnz", "square.*")
+        crowded = rows.groupBy("depth", "prefix").agg(F.sum("nnz").alias("n")).where(F.col("n") >= most)
+        crowded = cut(crowded.select("depth", "prefix"), "crowded")
+        deepest = rows.join(crowded, ["depth", "prefix"]).groupBy("h").agg(F.max("depth").alias("deepest"))
+        marked = open_.join(deepest, "h", "left").withColumn("depth", F.coalesce(F.col("deepest") + 1, F.lit(first)))
+        marked = cut(marked.drop("deepest"), "depths")
+        done = marked.where(F.col("depth") <= depths[-1])
+        decided = done if decided is None else decided.unionByName(done)
+        open_ = marked.where(F.col("depth") > depths[-1]).drop("depth")
+        if crowded.where(F.col("depth") == depths[-1]).isEmpty():
             break
-    return keyed.join(decided, "h")
+    return decided.withColumn("prefix", _prefix(order, F.col("depth")))
+
+
+def block_of_edges(edges: DataFrame, order: int, most: int) -> DataFrame:
+    """Edges with ``h``, the ``depth`` of their block and its ``prefix``."""
+    keyed = cut(with_hilbert(edges, order), "hilbert")
+    return keyed.join(settle(keyed, order, most).select("h", "depth", "prefix"), "h")
 
 
 def blocks(assigned: DataFrame, order: int) -> DataFrame:
-    """``idx, x, y, side_len, nnz`` of each block; idx is the index of its smallest corner."""
+    """``idx, x, y, side_len, nnz`` of each block; idx is the index of its smallest corner.
+
+    ``assigned``: edges with their blocks, or cells with theirs and ``nnz``.
+    """
     shift = F.lit(order) - F.col("depth")
     side = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
-    groups = assigned.groupBy("depth", "prefix").agg(F.count("*").alias("nnz"), F.min("src").alias("s"), F.min("dst").alias("d"))
+    size = F.sum("nnz") if "nnz" in assigned.columns else F.count("*")
+    groups = assigned.groupBy("depth", "prefix").agg(size.alias("nnz"), F.min("src").alias("s"), F.min("dst").alias("d"))
     corners = groups.select("nnz", side.alias("side_len"), (F.col("s") - F.pmod("s", side)).alias("x"), (F.col("d") - F.pmod("d", side)).alias("y"))
     return corners.select(hilbert_key("x", "y", order).alias("idx"), "x", "y", "side_len", "nnz")
 
@@ -78,4 +92,4 @@ def block_index(blocks_: DataFrame) -> DataFrame:
 
 def block(edges: DataFrame, order: int, most: int) -> DataFrame:
     """Block metadata of a graph."""
-    return blocks(block_of_edges(edges, order, most), order)
+    return blocks(settle(with_hilbert(edges, order), order, most), order)
