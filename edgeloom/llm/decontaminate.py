@@ -94,8 +94,9 @@ def find_phrases(docs: DataFrame, items: DataFrame, cut, window: int = WINDOW) -
     anchors = anchors.select("key", "item", "n", F.col("rarest.j").alias("j"), F.col("rarest.term").alias("term"), "low", (F.least(F.col("high") + window, F.col("n")) - 1).alias("high"))
     anchors = cut(anchors)
 
-    placed = postings.join(_small(anchors), "term").select("uid", "key", (F.col("pos") - F.col("j")).alias("diagonal"), "low", "high")
-    placed = placed.where(F.col("diagonal") + F.col("low") >= 0)
+    placed = postings.join(_small(anchors), "term").select("uid", "key", "n", (F.col("pos") - F.col("j")).alias("diagonal"), "low", "high")
+    # an anchor goes only if even the last of its windows begins before the document
+    placed = placed.where(F.col("diagonal") + F.col("high") - F.least("n", F.lit(window)) + 1 >= 0)
     placed = cut(placed.groupBy("uid", "key", "diagonal").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     some = _small(placed.select("uid").distinct())
     lists = tests.groupBy("key").agg(F.first("item").alias("item"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "term"))).alias("words"))

@@ -289,6 +289,19 @@ def test_contamination_empty(docs, none, items):
     assert len(clean) == docs.count() and not any(r.contaminated for r in clean)
 
 
+def test_contamination_at_the_ends_of_documents(spark):
+    item = [f"w{i}" for i in range(20)]
+    texts = [item[a:b] for a in range(20) for b in range(a + 8, 21)]
+    texts = [[*t, "other", "words"] for t in texts if t[0] != "w0"] + [["other", *t] for t in texts if t[-1] != "w19"]
+    rare = [w for w in item if w != "w9"]
+    docs = [" ".join(t) for t in [*texts, *([rare[::-1]] * 300)]]  # w9 is the rarest word of all windows that have it
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")
+    found = {r.doc_id: (r.n_hit, r["items"], r.contaminated) for r in decontaminate.contamination(frame, items).collect()}
+    sizes = [sum(w in item for w in t) for t in texts] + [0] * 300
+    assert found == {i: (n, ["a"], True) if n >= 10 else (0, [], False) for i, n in enumerate(sizes)}
+
+
 def test_near(spark):
     docs = spark.createDataFrame([(1, "a b x y c d"), (2, "a b c"), (3, "c x x x a b")], "doc_id long, text string")
     phrase = spark.createDataFrame([(1, "a c")], "item_id long, text string")
