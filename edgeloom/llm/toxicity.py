@@ -1,10 +1,10 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features are presences of lower-cased byte n-grams (``ORDERS`` long, white space as one blank) in hashed
-buckets. The counts behind the log-count ratios cover every labelled training row. Only the ``FEATURES``
-buckets with the strongest evidence are kept, so a document is a short list of features; a logistic
-regression on ratio-scaled presences is fitted by gradient descent on the driver, on about ``FIT_ROWS``
-labelled rows of each class (never over twice that), chosen by the hash of their text. Everything else covers all rows.
+buckets. The counts behind the log-count ratios cover every labelled training row, and every bucket is scaled
+by its ratio, toxic or clean. A logistic regression on ratio-scaled presences is fitted by gradient descent on
+the driver, on about ``FIT_ROWS`` labelled rows of each class (never over twice that), chosen by the hash of
+their text. Buckets that no chosen row has take the mean coefficient. Everything else covers all rows.
 
 A score depends on the text alone. Defined results: null and empty texts have no features and get the
 intercept's score; without rows of both classes every score is the share of toxic rows, or 0 where there
@@ -13,6 +13,7 @@ are no labels; repeated rows score alike; labels that are null don't count.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,9 @@ from pyspark.sql import functions as F
 
 ORDERS = (4, 5, 6)
 BUCKET_BITS = 20
-FEATURES = 4_000
 FIT_ROWS = 4_000
+#: Pseudo-presences a class on average; classes share them by size, so a bucket without rows has ratio 0.
 SMOOTHING = 1.0
-#: Evidence that a feature must have to be kept: standard errors of its log-count ratio.
-LEAST_EVIDENCE = 4.0
 THRESHOLD = 0.7
 RIDGE = 1e-2
 
@@ -48,17 +47,21 @@ def buckets(text: bytes) -> Iterator[np.ndarray]:
             yield (((gram + np.uint64(order << 56)) * _MIX) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
-def present(text: bytes, chosen: np.ndarray | None = None) -> np.ndarray:
-    """The distinct buckets of a text; with ``chosen``, a table from bucket to feature (or -1), its features."""
-    parts = []
-    for found in buckets(text):
-        if chosen is not None:
-            found = chosen[found]
-            found = found[found >= 0]
-        parts.append(found)
+def present(text: bytes) -> np.ndarray:
+    """The distinct buckets of a text."""
+    parts = list(buckets(text))
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int32)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """Sorted buckets as compressed gaps, a third of their size."""
+    return zlib.compress(np.diff(found, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"))
+
+
 def _counts(rows: DataFrame) -> DataFrame:
     """``bucket, toxic, clean``: in how many labelled texts each bucket is present."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,41 +79,47 @@ def _counts(rows: DataFrame) -> DataFrame:
 
 
 class Model:
-    """Feature table, ratio-scaled weights and intercept."""
-
-    def __init__(self, kept: np.ndarray, weights: np.ndarray, intercept: float):
-        self.kept, self.weights, self.intercept = kept, weights, intercept
+    """The weight of every bucket (4 MB), and the intercept."""
 
-    def table(self) -> np.ndarray:
-        chosen = np.full(1 << BUCKET_BITS, -1, np.int32)
-        chosen[self.kept] = np.arange(len(self.kept), dtype=np.int32)
-        return chosen
+    def __init__(self, weights: np.ndarray, intercept: float):
+        self.weights, self.intercept = weights.astype(np.float32), intercept
 
     def score(self, features: np.ndarray) -> float:
-        z = self.intercept + float(self.weights[features].sum())
+        z = self.intercept + float(self.weights[features].sum(dtype=float))
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
-def _descend(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, share: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on ratio-scaled presences; classes weigh as their shares in all labelled rows."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    which = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    values = ratios[which]
-    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, b = np.zeros(len(ratios)), 0.0
-    slope_w, slope_b = np.zeros(len(ratios)), 0.0
-    squares_w, squares_b = np.full(len(ratios), 1e-8), 1e-8
+def _descend(rows: list[bytes], y: np.ndarray, ratios: np.ndarray, steps: int = 200, batch: int = 256) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on ratio-scaled presences of packed rows; both classes weigh the same.
+
+    Each step takes the next ``batch`` rows, so the driver never has all rows unpacked.
+    """
+    ratios = ratios.astype(np.float32)
+    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    w, b = np.zeros(len(ratios), np.float32), 0.0
+    slope_w, slope_b = np.zeros(len(ratios), np.float32), 0.0
+    squares_w, squares_b = np.full(len(ratios), 1e-8, np.float32), 1e-8
+    met, mean_w, mean_b = np.zeros(len(ratios), bool), np.zeros(len(ratios), np.float32), 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(at, values * w[which], len(rows)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * balance
-        grad_w = np.bincount(which, values * error[at], len(ratios)) + RIDGE * w / len(rows)
+        some = np.arange((t - 1) * batch, t * batch) % len(rows) if len(rows) > batch else np.arange(len(rows))
+        found = [unpacked(rows[i]) for i in some]
+        at, which = np.repeat(np.arange(len(some)), [len(f) for f in found]), np.concatenate(found)
+        met[which] = True
+        z = np.bincount(at, (w * ratios)[which], len(some)) + b
+        error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[some]) * balance[some] / len(some)
+        grad_w = np.bincount(which, error[at], len(ratios)).astype(np.float32) * ratios + RIDGE * w / len(rows)
         grad_b = error.sum()
         slope_w, slope_b = 0.9 * slope_w + 0.1 * grad_w, 0.9 * slope_b + 0.1 * grad_b
         squares_w, squares_b = 0.999 * squares_w + 0.001 * grad_w**2, 0.999 * squares_b + 0.001 * grad_b**2
         rate = 0.05 / (1 - 0.9**t) * np.sqrt(1 - 0.999**t)
         w -= rate * slope_w / np.sqrt(squares_w + 1e-12)
         b -= rate * slope_b / np.sqrt(squares_b + 1e-12)
-    return w * ratios, float(b + np.log(max(share, 1e-6) / max(1 - share, 1e-6)) * 0.5)
+        if t > steps // 2:  # batches pull to and fro: the mean of the later steps counts
+            mean_w, mean_b = mean_w + w / (steps - steps // 2), mean_b + b / (steps - steps // 2)
+    known = met & (ratios != 0)
+    if known.any():
+        mean_w[~met] = max(0.0, mean_w[known].mean())
+    return mean_w * ratios, float(mean_b)
 
 
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -120,26 +129,23 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         share = toxic / (toxic + clean) if totals else 0.0
-        return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    a, b = (F.col(c) + SMOOTHING for c in ("toxic", "clean"))
-    ratio = F.log(a / (toxic + 2 * SMOOTHING)) - F.log(b / (clean + 2 * SMOOTHING))
-    evidence = ratio / F.sqrt(1 / a + 1 / b)
-    best = _counts(rows).select("bucket", ratio.alias("ratio"), evidence.alias("evidence")).where(F.col("evidence") >= LEAST_EVIDENCE)
-    best = best.orderBy(F.desc("evidence"), "bucket").limit(FEATURES).collect()  # a top-k report
-    kept = np.array(sorted(x.bucket for x in best), np.int64)
-    ratios = np.array([r for _, r in sorted((x.bucket, x.ratio) for x in best)])
-    table = Model(kept, ratios, 0.0).table()
+        return Model(np.zeros(1 << BUCKET_BITS), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    counts = _counts(rows).toArrow()  # 2 ** BUCKET_BITS rows at most
+    ratios = np.zeros(1 << BUCKET_BITS)
+    for name, n, sign in (("toxic", toxic, 1), ("clean", clean, -1)):
+        prior = 2 * SMOOTHING * n / (toxic + clean)
+        ratios[counts["bucket"].to_numpy()] += sign * np.log((counts[name].to_numpy() + prior) / (n + prior))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [present(t.as_buffer().to_pybytes(), table) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], names=["toxic", "features"])
+            found = [packed(present(t.as_buffer().to_pybytes())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["toxic", "features"])
 
-    sampled = _sampled(rows, totals, fit_rows).mapInArrow(features, "toxic int, features array<int>")
+    sampled = _sampled(rows, totals, fit_rows).mapInArrow(features, "toxic int, features binary")
     sampled = sampled.limit(4 * fit_rows).collect()  # many copies of a sampled text might make it more
-    y = np.array([x.toxic for x in sampled], float)
-    weights, intercept = _descend([np.array(x.features, np.int64) for x in sampled], y, ratios, 0.5)
-    return Model(kept, weights, intercept)
+    sampled = sorted(((x.toxic, bytes(x.features)) for x in sampled), key=lambda x: (zlib.crc32(x[1]), x))
+    weights, intercept = _descend([f for _, f in sampled], np.array([t for t, _ in sampled], float), ratios)
+    return Model(weights, intercept)
 
 
 def _sampled(rows: DataFrame, totals: dict[int, int], fit_rows: int) -> DataFrame:
@@ -152,12 +158,12 @@ def _sampled(rows: DataFrame, totals: dict[int, int], fit_rows: int) -> DataFram
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` for every row of ``docs(doc_id, text)``; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, model.table()))  # 4 MB, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the data
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value
+        model = shared.value
         for batch in batches:
-            scores = [model.score(present(t.as_buffer().to_pybytes(), table)) for t in batch.column(1)]
+            scores = [model.score(present(t.as_buffer().to_pybytes())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     doc_id = docs.schema["doc_id"].dataType.simpleString()

@@ -443,6 +443,24 @@ def test_toxicity(spark, docs):
     assert toxicity.fit(train.where("toxic = 1")).score(np.zeros(0, int)) > 0.99
 
 
+def test_toxicity_of_rare_words(spark):
+    import random
+
+    pick = random.Random(2)
+    words = "lan dor min tek ros fil gan hur bel".split()
+    rare = ["".join(pick.choice("qxzjvkwy") for _ in range(9)) for _ in range(120)]  # each in three texts, all of them toxic
+    said = [w for w in rare for _ in range(3)]
+    pick.shuffle(said)
+    filler = lambda n: " ".join(pick.choice(words) for _ in range(n))
+    train = [(f"{filler(15)} {' '.join(said[6 * i : 6 * i + 6])} {filler(15)}", 1) for i in range(60)] + [(filler(36), 0) for _ in range(600)]
+    model = toxicity.fit(spark.createDataFrame(train, "text string, toxic int"))
+    bad, good = [" ".join([filler(15), *pick.sample(rare, 6), filler(15)]) for _ in range(50)], [filler(36) for _ in range(50)]
+    tests = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    said = {r.doc_id: r.score >= toxicity.THRESHOLD for r in toxicity.score(tests, model).collect()}
+    assert sum(said[i] for i in range(50)) >= 49 and sum(said[i] for i in range(50, 100)) <= 1
+    assert (model.weights > 0).any() and (model.weights < 0).any()
+
+
 def test_labels_join(spark, docs):
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, None), (None, 1)], "doc_id long, toxic int")
     assert {(r.doc_id, r.toxic) for r in toxicity.join_labels(docs, labels).collect()} == {(0, 1)}
