@@ -93,6 +93,8 @@ def write_warcs(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFram
     again = ids.join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).distinct()
     again = again.select(F.coalesce("page_id", F.lit(0)).alias("k"), F.col("page_id").isNull().alias("none"), F.col("sha1").alias("s"), "keeper")
     rows = rows.withColumns({"k": F.coalesce("page_id", F.lit(0)), "none": F.col("page_id").isNull()})
+    # dealt here and not by the join, which may become a broadcast: rows that repeat a page and payload meet in one task
+    rows = rows.repartition("k", "none", "sha1")
     same = (rows.k == again.k) & (rows.none == again.none) & (rows.sha1 == again.s)
     rows = rows.join(again, same, "left").select("page_id", "url", "html", "sha1", "keeper", again.s.isNotNull().alias("revisit"))
     rows = rows.sortWithinPartitions("page_id", "sha1", "url")
