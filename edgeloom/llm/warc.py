@@ -1,15 +1,16 @@
 """WARC archives with an index beside them.
 
-Writing goes through the pages once more than reading their digests: pages with equal payloads keep one full
-``response`` record, that of the largest ``page_id``; the others become ``revisit`` records that name it.
+Pages with equal payloads keep one full ``response`` record, that of the largest ``page_id`` (and of those the
+largest url); the others become ``revisit`` records that name it. That is decided before anything is written.
 Each task writes one ``.warc.gz`` file, a gzip member per record, and its index rows: file, offset, length,
 url and digest. Reading selects index rows first, sorts them by file and offset, joins neighbouring
 byte ranges, and reads each joined range at once.
 
 Defined results: a null html is an empty payload; a null ``page_id`` counts as the smallest and is written
-without a number; rows that repeat a page id and payload follow each other, the first is the response;
-payloads under ``least_bytes`` are never revisits; an empty table gives no file; a url's control
-characters are percent-encoded in the record and unchanged in the index.
+without a number; of rows that repeat a page id and payload one is the response, the others revisit it, however
+the rows are partitioned; payloads under ``least_bytes`` are never revisits; an empty table gives no file; a url's control
+characters are percent-encoded in the record and unchanged in the index; other columns, of any name, are ignored;
+a page of any size is one record and one task's memory holds a batch of them.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Ranges closer than this are read as one, up to the second size.
 GAP, READ = 65_536, 8_000_000
-#: Bytes of a file that one reading task takes.
-SPAN = 64_000_000
+#: Bytes of a file that one reading task takes, about, and how many tasks there are at most before that grows.
+SPAN, READERS = 4_000_000, 50_000
+#: Repeated rows that one row stands for until they are dealt out.
+CHUNK = 10_000
 
 INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("page_id", pa.int64())])
 RECORD = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
@@ -49,9 +52,10 @@ def page_of(record: str) -> int | None:
     return None if number == "none" else int.from_bytes(bytes.fromhex(number), "big", signed=True)
 
 
-def encode_record(page_id, url, payload: bytes, digest: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One gzip member: the record with its HTTP head, and the payload unless it is a revisit."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def encode_record(page_id, url, payload: bytes | None, size: int, digest: bytes, refers_to: int | None) -> bytes:
+    """One gzip member: the record with its HTTP head, and the payload; without one it is a revisit."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    revisit = payload is None
     block = http if revisit else http + payload
     safe = re.sub(r"[\x00-\x20\x7f]", lambda c: f"%{ord(c[0]):02X}", url or "")
     head = [
@@ -83,21 +87,43 @@ def decode_record(member: bytes) -> dict:
     }
 
 
+def _decided(pages: DataFrame, least_bytes: int) -> DataFrame:
+    """A row a record: ``page_id, url, html, sha1, size, keeper, revisit``; ``html`` is null in revisits.
+
+    Who is the response of a payload is settled on narrow rows and then looked up, so no join or partitioning
+    decides it: the largest (page_id, url) among the rows of that payload. Rows that are equal in all of these are
+    one row with a count; all but one of them become rows of their own again without their html, dealt out anew.
+    """
+    html = F.coalesce(F.col("html"), F.lit(""))
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("size"))
+    # nulls in keys, so that joins on them are plain equalities
+    keys = {"k": F.coalesce("page_id", F.lit(0)), "k_none": F.col("page_id").isNull(), "u": F.coalesce("url", F.lit("")), "u_none": F.col("url").isNull()}
+    by = [*keys, "sha1", "size"]
+    rows = rows.select(*(c.alias(n) for n, c in keys.items()), "html", "sha1", "size")
+    counted = rows.drop("html").groupBy(*by).agg(F.count("*").alias("n"))
+    order = F.struct((~F.col("k_none")).alias("named"), "k", (~F.col("u_none")).alias("linked"), "u")
+    groups = counted.where(F.col("size") >= least_bytes).groupBy("sha1").agg(F.sum("n").alias("all"), F.max(order).alias("top")).where("all > 1").select("sha1", "top")
+    met = counted.join(groups, "sha1").withColumn("first", order == F.col("top"))
+    keeper = F.when(F.col("top.named"), F.col("top.k"))
+    met = met.select(*by, "n", "first", keeper.alias("keeper"))
+    once = rows.groupBy(*by).agg(F.first("html").alias("html"))
+    found = once.join(met.drop("n"), by, "left").withColumn("revisit", F.coalesce(~F.col("first"), F.lit(False)))
+    found = found.withColumns({"html": F.when(~F.col("revisit"), F.col("html")), "keeper": F.when(F.col("revisit"), F.col("keeper"))})
+    # the other rows of a repeated one
+    more = met.where("n > 1").select(*by, "keeper", F.explode(F.sequence(F.lit(2), F.col("n"), F.lit(CHUNK))).alias("at"), "n")
+    more = more.repartition("sha1", "k", "at").select(*by, "keeper", F.explode(F.sequence("at", F.least(F.col("at") + CHUNK - 1, F.col("n")))))
+    more = more.select(*by, F.lit(None).cast("string").alias("html"), "keeper", F.lit(True).alias("revisit"))
+    found = found.select(*by, "html", "keeper", "revisit").unionByName(more)
+    if least_bytes:  # small payloads that repeat are all responses
+        small = rows.where(F.col("size") < least_bytes)
+        found = found.where(F.col("size") >= least_bytes).unionByName(small.select(*by, "html", F.lit(None).cast("long").alias("keeper"), F.lit(False).alias("revisit")))
+    page_id, url = F.when(~F.col("k_none"), F.col("k")), F.when(~F.col("u_none"), F.col("u"))
+    return found.select(page_id.alias("page_id"), url.alias("url"), "html", "sha1", "size", "keeper", "revisit")
+
+
 def write_warcs(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write ``pages(page_id, url, html)`` and return the index, kept as a table."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha1"))
-    ids = rows.where(F.octet_length("html") >= least_bytes).select("page_id", "sha1")
-    groups = ids.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # narrow rows meet the groups; html is shuffled once, by page
-    again = ids.join(groups, "sha1").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).distinct()
-    again = again.select(F.coalesce("page_id", F.lit(0)).alias("k"), F.col("page_id").isNull().alias("none"), F.col("sha1").alias("s"), "keeper")
-    rows = rows.withColumns({"k": F.coalesce("page_id", F.lit(0)), "none": F.col("page_id").isNull()})
-    # dealt here and not by the join, which may become a broadcast: rows that repeat a page and payload meet in one task
-    rows = rows.repartition("k", "none", "sha1")
-    same = (rows.k == again.k) & (rows.none == again.none) & (rows.sha1 == again.s)
-    rows = rows.join(again, same, "left").select("page_id", "url", "html", "sha1", "keeper", again.s.isNotNull().alias("revisit"))
-    rows = rows.sortWithinPartitions("page_id", "sha1", "url")
+    rows = _decided(pages, least_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = (b for b in batches if b.num_rows)
@@ -108,13 +134,11 @@ def write_warcs(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFram
         name, index = f"pages-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz", []
 
         def fill(stream):
-            at, last, batch = 0, None, first
+            at, batch = 0, first
             while batch is not None:
-                for page_id, url, page, sha1, keeper, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    payload, digest = page.encode(), bytes.fromhex(sha1)
-                    repeated = (page_id, sha1) == last and len(payload) >= least_bytes
-                    last = page_id, sha1
-                    member = encode_record(page_id, url, payload, digest, page_id if repeated and not revisit else keeper, revisit or repeated)
+                for page_id, url, page, sha1, size, keeper, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    digest = bytes.fromhex(sha1)
+                    member = encode_record(page_id, url, None if revisit else page.encode(), size, digest, keeper)
                     stream.write(member)
                     index.append((name, at, len(member), url, base64.b32encode(digest).decode(), page_id))
                     at += len(member)
@@ -145,8 +169,10 @@ def ranges(places: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
 
 def read_warcs(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that the rows of ``index`` place, as RECORD."""
-    part = F.floor(F.col("offset") / SPAN)
-    spread = index.select("file", "offset", "length").repartition(F.col("file"), part).sortWithinPartitions("file", "offset")
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.countDistinct("file").alias("files")).first()
+    span = max(SPAN, -(-size.bytes // READERS))
+    part = F.floor(F.col("offset") / span)
+    spread = index.select("file", "offset", "length").repartition(size.bytes // span + size.files + 1, F.col("file"), part).sortWithinPartitions("file", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

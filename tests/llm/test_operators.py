@@ -412,6 +412,20 @@ def test_warc(spark):
     assert warc.archive_records(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 5])
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_warc_repeated_rows(spark, partitions, broadcast):
+    rows = [(5, "u", "same")] * 40 + [(5, "v", "same"), (5, None, "same"), (4, "w", "same"), (9, "x", "other"), (9, "x", "other"), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame([(*r, "c", 1) for r in rows], "page_id long, url string, html string, sha1 string, keeper int").repartition(partitions)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.archive_records(pages).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {(5, "response", None): 1, (5, "revisit", 5): 41, (4, "revisit", 5): 1, (9, "response", None): 1, (9, "revisit", 9): 1, (None, "response", None): 1, (None, "revisit", None): 1}
+
+
 def test_warc_selected_and_small(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 2 else f"page {i}") for i in range(40)], "page_id long, url string, html string")
     folder = storage.new_folder(spark, "w")
