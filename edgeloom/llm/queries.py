@@ -47,10 +47,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from edgeloom.llm.substring_dedup import remove_repeats
+    from edgeloom.llm.substring_dedup import PASSAGE, remove_repeats
 
-    rows = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    rows = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), passage=PASSAGE)
+    return rows.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage")
 
 
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,32 @@
 """Removal of repeated passages by bucket-pointer refinement.
 
-A byte is removed if some ``LENGTH``-byte string over it also starts anywhere else. Windows of that length
-are put into buckets that are refined step by step, as suffixes are in bucket-pointer refinement; a bucket's
-identifier is a fingerprint of the bytes it stands for, so a later offset's bucket is looked up by computing
-it. Each step keeps only what still shares its bucket with something else:
-
-1. Initial buckets: q-grams. Each window is spoken for by the leftmost smallest q-gram bucket in it, so equal
-   windows are in equal buckets at equal distances; about one position in LENGTH / 3 is kept. Neighbouring
-   windows with one such position are a run. Runs whose bucket nobody shares are done: no window repeats.
-2. Runs are refined by the buckets at the later offsets q and 2q (``refined``, each level reusing the last one's
-   identifiers), up to LENGTH bytes at the run's first and last window. Runs that then agree repeat wholly.
-3. In buckets where runs differ, one run of each kind is split into blocks of BLOCK windows, bucketed by the
-   bytes that a block's windows share.
-4. Windows of blocks that share a bucket are refined by the few bytes left and right of those; they are whole.
-
-Every table is keyed by bucket, so a passage in a third of all documents is a third of some rows, which are
-counted before they are shuffled and met by joins that AQE splits. No pairs are made. Copies of a whole text
-are counted by digest; each task looks at a text once.
-
-Defined results: a null text is empty; texts under LENGTH bytes lose nothing; repeated rows are copies of each
-other and lose everything (from LENGTH bytes on); an empty table gives no rows. The input's other
-columns, of any name, travel in the struct ``doc``.
+A byte is removed if some ``length``-byte string over it also starts anywhere else. Windows of that length
+are put into buckets that are refined step by step, as suffixes are in bucket-pointer refinement. A bucket's
+identifier stands for bytes, so any task can name the bucket at a later offset; what a global sort would
+bring together, a shuffle by identifiers does. Each step keeps only what still shares its bucket:
+
+1. Initial buckets: q-grams, q being a quarter of the length. Each window is spoken for by the leftmost smallest
+   q-gram bucket in it, so equal windows are in equal buckets at equal distances; about one position in q is
+   kept. Neighbouring windows with one such position are a run. Runs whose bucket nobody shares are done.
+2. The bucket of each position is refined by the one at the later offset q, and these identifiers again, at offset
+   2q: they then stand for whole windows. Inside a q-gram's bucket, runs are split by the identifiers of their
+   first and last window. Runs that still agree repeat wholly.
+3. Where runs of a bucket differ, one run of each kind is split into blocks of BLOCK windows. A block's bucket are
+   the bytes that its windows share: the identifier of 2q bytes, refined by that of the 2q bytes at a later offset.
+4. In a block's bucket, windows are split by the few bytes left and right of those; what agrees is equal.
+
+``levels`` reuses a shorter length's result: a window repeats only if all shorter ones in it do, so the next level
+looks at stretches of those only.
+
+Every table is keyed by bucket, so a passage in a third of all documents is a third of some rows; these are
+aggregated before they are shuffled, and met by joins that AQE splits. No pairs are made. Two different windows are
+taken for equal only if two 64-bit identifiers, of the q-gram and the window or of the shared bytes and those
+beside them, agree at once. Copies of a whole text count as one text with a number.
+
+Defined results: a null text is empty; texts under ``length`` bytes lose nothing; repeated rows are copies of each
+other and lose everything (from ``length`` bytes on); an empty table gives no rows; the input's other columns, of
+any name, travel in the struct ``doc``; a text of any length is looked at in segments of SEGMENT bytes, which only
+makes more runs.
 """
 
 from __future__ import annotations
@@ -29,7 +35,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +42,14 @@ from edgeloom.llm import storage
 from edgeloom.llm.windows import pair, q_buckets, refined, runs
 
 LENGTH = 400
+#: Bytes of a passage of 50 short words; the op5 query tells how much of a document is in such.
+PASSAGE = 200
 BLOCK = 16
-#: Windows that are looked at together; a longer text is cut, which only makes more runs.
+#: Windows that are looked at together.
 SEGMENT = 1 << 20
 
-_RUNS = "uid long, digest string, copies long, bucket long, ctx long, pf int, w int, d int"
+_RUNS = pa.schema([("digest", pa.binary()), ("bucket", pa.int64()), ("ctx", pa.int64()), ("pf", pa.int32()), ("w", pa.int32()), ("d", pa.int32())])
+_BLOCKS = pa.schema([("digest", pa.binary()), ("key", pa.int64()), ("at", pa.int32()), ("l0", pa.int32()), ("l1", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
 
 def _runs_of(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -50,125 +58,156 @@ def _runs_of(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     for start in range(0, len(data) - length + 1, SEGMENT):
         buckets = q_buckets(data[start : start + SEGMENT + length - 1], q)
         first, at = runs(buckets, length - q + 1)
-        half = refined(buckets, q)
-        whole = refined(half, 2 * q)
+        whole = refined(refined(buckets, q), 2 * q)
         n = np.diff(np.append(first, len(whole)))
         ctx = pair(pair(whole[first], whole[first + n - 1]), n.astype(np.uint64))
         yield buckets[at].view(np.int64), ctx.view(np.int64), first + start, n, at - first
 
 
-def _find_runs(texts: DataFrame, length: int) -> DataFrame:
-    """Rows of runs, and for each text that a task saw one row with its digest and the task's copies of it."""
-    schema = pa.schema([("uid", pa.int64()), ("digest", pa.string()), ("copies", pa.int64()), ("bucket", pa.int64()), ("ctx", pa.int64()), ("pf", pa.int32()), ("w", pa.int32()), ("d", pa.int32())])
+def stretches(pf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the maximal ranges that runs ``pf, w`` cover together, touching ones joined."""
+    if not len(pf):
+        return pf, pf
+    order = np.argsort(pf, kind="stable")
+    begin, end = pf[order], np.maximum.accumulate((pf + w)[order])
+    new = np.append(True, begin[1:] > end[:-1])
+    return begin[new], end[np.append(new[1:], True)]
 
+
+def _numbers(spans: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """``pf`` and ``w`` of a list of runs."""
+    inside = spans.values
+    return np.asarray(inside.field("pf"), np.int64), np.asarray(inside.field("w"), np.int64)
+
+
+def _find_runs(texts: DataFrame, length: int, known: int = 0) -> DataFrame:
+    """Runs of the windows of ``texts(digest, text)``; with ``spans`` of repeated windows of ``known`` bytes, of those made of them."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId() << 33, {}
+        seen: set[bytes] = set()  # of texts that have a window
         for batch in batches:
             parts: list[tuple] = []
             held = 0
-            for digest, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if digest in seen:
-                    seen[digest][1] += 1
+            for i, digest in enumerate(batch.column(0).to_pylist()):
+                data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
+                if len(data) < length or digest in seen:
                     continue
-                seen[digest] = [task + len(seen), 1]
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                for found in _runs_of(data, length):
-                    parts.append((np.full(len(found[0]), seen[digest][0]), *found))
-                    held += len(found[0])
+                seen.add(digest)
+                if known:
+                    begins, ends = stretches(*_numbers(batch.column(2)[i]))
+                    more = ends - begins > length - known
+                    slices = zip(begins[more].tolist(), (ends[more] - 1 + known).tolist(), strict=True)
+                else:
+                    slices = [(0, len(data))]
+                for a, b in slices:
+                    for bucket, ctx, pf, w, d in _runs_of(data[a:b], length):
+                        parts.append(([digest] * len(pf), bucket, ctx, pf + a, w, d))
+                        held += len(pf)
                 if held > 100_000:
                     yield rows(parts)
                     parts, held = [], 0
             if parts:
                 yield rows(parts)
-        texts = list(seen.items())
-        for at in range(0, len(texts), 10_000):
-            some = texts[at : at + 10_000]
-            columns = [pa.array([x[0] for _, x in some], pa.int64()), pa.array([k for k, _ in some], pa.string()), pa.array([x[1] for _, x in some], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.nulls(len(some), f.type) for f in list(schema)[3:]], schema=schema)
 
     def rows(parts: list[tuple]) -> pa.RecordBatch:
-        uid, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
-        columns = [pa.array(uid), pa.nulls(len(uid), pa.string()), pa.nulls(len(uid), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns + [pa.array(c, f.type) for c, f in zip(rest, list(schema)[3:], strict=True)], schema=schema)
+        digests, *rest = zip(*parts, strict=True)
+        columns = [pa.array([d for own in digests for d in own], pa.binary()), *(pa.array(np.concatenate(c), f.type) for c, f in zip(rest, list(_RUNS)[1:], strict=True))]
+        return pa.RecordBatch.from_arrays(columns, schema=_RUNS)
 
-    return texts.mapInArrow(find, _RUNS)
+    return texts.mapInArrow(find, "digest binary, bucket long, ctx long, pf int, w int, d int")
 
 
 def _blocks(texts: DataFrame, length: int) -> DataFrame:
-    """Blocks of the runs in ``needs``: key of the bytes that the windows share, and the bytes beside them."""
-    import xxhash
-
-    core = length - BLOCK + 1
-    schema = pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("at", pa.int32()), ("l0", pa.int32()), ("l1", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+    """Blocks of the runs in ``needs``: the bucket of the bytes that the windows share, and the bytes beside them."""
+    core, half = length - BLOCK + 1, length // 2
+
+    def blocks(data: np.ndarray, pf: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of all runs: bucket, where the shared bytes begin, and how far left of that windows begin, at least and at most."""
+        ids = refined(q_buckets(data, length // 4), length // 4)
+        low = d - w + 1
+        first = low // BLOCK
+        n = d // BLOCK - first + 1
+        run = np.repeat(np.arange(len(pf)), n)
+        j = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        at = (pf + d)[run] - BLOCK * j
+        key = pair(ids[at], ids[at + core - half])
+        return key.view(np.int64), at, np.maximum(0, low[run] - BLOCK * j), np.minimum(BLOCK - 1, d[run] - BLOCK * j)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
             rows = []
-            for uid, text, needs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if uid in seen:  # another copy of the text
-                    continue
-                seen.add(uid)
-                data = text.as_buffer().to_pybytes()
-                for run in needs.as_py():
-                    pf, w, anchor = run["pf"], run["w"], run["pf"] + run["d"]
-                    low, high = run["d"] - w + 1, run["d"]
-                    for j in range(low // BLOCK, high // BLOCK + 1):
-                        at = anchor - BLOCK * j
-                        key = xxhash.xxh3_64_intdigest(data[at : at + core]) - (1 << 63)
-                        l0, l1 = max(0, low - BLOCK * j), min(BLOCK - 1, high - BLOCK * j)
-                        rows.append((key, uid, at, l0, l1, data[at - l1 : at], data[at + core : at + core + BLOCK - 1 - l0]))
-                if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
+            for i, digest in enumerate(batch.column(0).to_pylist()):
+                text, needs = batch.column(1)[i].as_buffer(), batch.column(2)[i].values
+                pf, w, d = (np.asarray(needs.field(c), np.int64) for c in ("pf", "w", "d"))
+                for segment in np.unique(pf // SEGMENT).tolist():
+                    own, start = pf // SEGMENT == segment, segment * SEGMENT
+                    data = np.frombuffer(text, np.uint8)[start : start + SEGMENT + 2 * length]
+                    held = data.tobytes()
+                    for key, at, l0, l1 in zip(*(x.tolist() for x in blocks(data, pf[own] - start, w[own], d[own])), strict=True):
+                        rows.append((digest, key, start + at, l0, l1, held[at - l1 : at], held[at + core : at + core + BLOCK - 1 - l0]))
+                    if len(rows) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
+                        rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
 
-    return texts.mapInArrow(split, "key long, uid long, at int, l0 int, l1 int, left binary, right binary")
+    return texts.mapInArrow(split, "digest binary, key long, at int, l0 int, l1 int, left binary, right binary")
 
 
-def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``digest, whole, spans`` for the texts of ``texts(digest, text)`` that have repeated windows.
+def _shared(rows: DataFrame, at: str, *by: str) -> DataFrame:
+    """The values of ``by`` that occur at two places or more; what several tasks found in copies of a text is one place."""
+    place = F.xxhash64("digest", at)
+    return rows.groupBy(*by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(*by)
 
-    ``spans``: (first window, windows); ``whole``: the text has copies.
-    """
-    with storage.Scratch(texts.sparkSession, "repeats") as scratch:
-        return storage.cut(_spans(texts, length, scratch.cut), "spans")
 
+def _spans(found: DataFrame, texts, length: int, cut) -> DataFrame:
+    """``digest, spans``: the repeated windows, as runs (first, number), of texts that have some.
 
-def _spans(texts: DataFrame, length: int, cut) -> DataFrame:
-    found = cut(_find_runs(texts, length))
-    heads = found.where("digest is not null").select("uid", "digest", "copies")
-    found = found.where("bucket is not null").drop("digest", "copies")
-    shared = cut(found.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+    ``found``: all runs; ``texts(digests)`` gives the texts with these digests.
+    """
+    found = cut(found)
+    shared = cut(_shared(found, "pf", "bucket"))
     found = cut(found.join(shared, "bucket"))
-    one = F.min(F.struct("uid", "pf", "w", "d")).alias("one")
-    kinds = cut(found.groupBy("ctx").agg(F.count("*").alias("n"), F.min("bucket").alias("bucket"), one))
-    agreed = found.join(kinds.where("n > 1").select("ctx"), "ctx").select("uid", "pf", "w")
+    one = F.min(F.struct("digest", "pf", "w", "d")).alias("one")
+    kinds = cut(found.groupBy("bucket", "ctx").agg(one, F.min(F.xxhash64("digest", "pf")).alias("lo"), F.max(F.xxhash64("digest", "pf")).alias("hi")))
+    agreed = found.join(kinds.where("lo < hi").select("bucket", "ctx"), ["bucket", "ctx"]).select("digest", "pf", "w")
     differing = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
     needs = kinds.join(differing, "bucket").select("one.*")
-    needs = needs.groupBy("uid").agg(F.collect_list(F.struct("pf", "w", "d")).alias("needs"))  # at most a text's windows
-    needs = needs.join(heads, "uid").select("uid", "digest", "needs")
-    blocks = cut(_blocks(_once(texts).join(needs, "digest").select("uid", "text", "needs"), length))
-    met = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    needs = needs.groupBy("digest").agg(F.collect_list(F.struct("pf", "w", "d")).alias("needs"))  # at most a text's windows
+    texts = texts(found.select("digest").distinct())
+    blocks = cut(_blocks(texts.join(needs, "digest").select("digest", "text", "needs"), length))
     # the window with l bytes left of the shared ones has BLOCK - 1 - l right of them
-    windows = blocks.join(met, "key").withColumn("l", F.explode(F.sequence("l0", "l1")))
-    tail = F.expr("substring(left, length(left) - l + 1, l)")
-    head = F.expr(f"substring(right, 1, {BLOCK - 1} - l)")
-    windows = cut(windows.select("uid", (F.col("at") - F.col("l")).alias("pf"), F.xxhash64("key", tail, head).alias("window")))
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    single = windows.join(twice, "window").select("uid", "pf", F.lit(1).alias("w"))
-    copies = heads.groupBy("digest").agg(F.sum("copies").alias("n"), F.min("uid").alias("uid"))
-    spans = agreed.unionByName(single).groupBy("uid").agg(F.collect_list(F.struct("pf", "w")).alias("spans"))
-    spans = copies.where("n = 1").join(spans, "uid").select("digest", F.lit(False).alias("whole"), "spans")
-    none = F.array().cast("array<struct<pf:int,w:int>>").alias("spans")
-    return spans.unionByName(copies.where("n > 1").select("digest", F.lit(True).alias("whole"), none))
+    windows = blocks.join(_shared(blocks, "at", "key"), "key").withColumn("l", F.explode(F.sequence("l0", "l1")))
+    beside = F.xxhash64(F.expr("substring(left, length(left) - l + 1, l)"), F.expr(f"substring(right, 1, {BLOCK - 1} - l)"))
+    windows = cut(windows.select("digest", (F.col("at") - F.col("l")).alias("pf"), "key", beside.alias("beside")))
+    single = windows.join(_shared(windows, "pf", "key", "beside"), ["key", "beside"]).select("digest", "pf", F.lit(1).alias("w"))
+    return cut(agreed.unionByName(single).groupBy("digest").agg(F.collect_set(F.struct("pf", "w")).alias("spans")))
+
+
+def repeated_spans(texts: DataFrame, levels: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    """``digest, copies, spans0, spans1, ...``, a list of runs of repeated windows a level, for each text of
+    ``texts(digest, text)`` that has copies or such windows. Levels are lengths, in ascending order."""
+    with storage.Scratch(texts.sparkSession, "repeats") as scratch:
+        kept: list[DataFrame] = []
+
+        def some(digests: DataFrame) -> DataFrame:
+            """The texts with these digests, once each; stored the first time, as later levels ask for fewer."""
+            if not kept:
+                kept.append(scratch.cut(_once(texts).join(digests, "digest").groupBy("digest").agg(F.first("text").alias("text"))))
+            return kept[0]
+
+        rows = texts.where(F.octet_length("text") >= levels[0]).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
+        known, spans = 0, None
+        for i, length in enumerate(levels):
+            found = _find_runs(kept[0].join(spans, "digest").select("digest", "text", "spans") if known else texts, length, known)
+            spans, known = _spans(found, some, length, scratch.cut), length
+            rows = rows.join(spans.withColumnRenamed("spans", f"spans{i}"), "digest", "full")
+        return storage.cut(rows, "spans")
 
 
 def _once(texts: DataFrame) -> DataFrame:
     """Each text once a task, before a shuffle; the tasks may still share some."""
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             digests = batch.column(0).to_pylist()
             keep = []
@@ -177,44 +216,52 @@ def _once(texts: DataFrame) -> DataFrame:
                 seen.add(digest)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return texts.mapInArrow(drop, "digest string, text string")
+    return texts.mapInArrow(drop, "digest binary, text string")
 
 
-def merged(spans: list[dict] | None, whole: bool, size: int, length: int) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges."""
+def merged(spans: pa.ListScalar, copies: int | None, size: int, length: int) -> list[tuple[int, int]]:
+    """Maximal repeated byte ranges."""
     if size < length:
         return []
-    if whole:
+    if copies:
         return [(0, size)]
-    out: list[list[int]] = []
-    for begin, end in sorted((s["pf"], s["pf"] + s["w"] - 1 + length) for s in spans or ()):
-        if out and begin <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([begin, end])
-    return [(a, b) for a, b in out]
+    if not spans.is_valid:
+        return []
+    pf, w = _numbers(spans)
+    begins, ends = stretches(pf, w - 1 + length)
+    return list(zip(begins.tolist(), ends.tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False, passage: int | None = None) -> DataFrame:
     """``doc`` (all input columns but the text), ``kept`` (bytes), ``n_bytes, n_removed, n_spans`` for every row.
 
-    ``whole_characters`` keeps the rest of a character that a span cuts, so ``kept`` is valid UTF-8.
+    ``whole_characters`` keeps the rest of a character that a span cuts, so ``kept`` is valid UTF-8. ``passage``, a
+    shorter length, adds ``n_passage``: the bytes in strings of that length that also start elsewhere; they stay.
     """
-    if length % 4 or length <= 2 * BLOCK:
-        raise ValueError("the length must be a multiple of 4 and over twice the block")
+    levels = (passage, length) if passage else (length,)
+    if any(n % 4 or n <= 4 * BLOCK for n in levels) or sorted(levels) != list(levels):
+        raise ValueError("lengths must be ascending multiples of 4, over four times the block")
     text = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.md5(text).alias("digest"), text.alias("text"))
-    spans = repeated_spans(texts, length)
+    digest = F.unhex(F.md5(text)).alias("digest")
+    spans = repeated_spans(docs.select(digest, text.alias("text")), levels)
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    doc = docs.select(others.alias("doc"), F.md5(text).alias("digest"), text.alias("body"))
-    rows = doc.join(spans, "digest", "left").select("doc", "body", "whole", "spans")
+    doc = docs.select(others.alias("doc"), digest, text.alias("body"))
+    rows = doc.join(spans, "digest", "left").select("doc", "body", "copies", *(f"spans{i}" for i in range(len(levels))))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, counts = [], []
-            for body, whole, own in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            bodies, copies, *own = (batch.column(i) for i in range(1, 3 + len(levels)))
+            # a batch's rows without copies and spans are many; only the others are looked at one by one
+            idle = [c is None and not any(s.is_valid for s in x) for c, *x in zip(copies.to_pylist(), *own, strict=True)]
+            for i, body in enumerate(bodies):
                 data = body.as_buffer().to_pybytes()
-                cut = merged(own.as_py(), bool(whole), len(data), length) if own.is_valid else []
+                if idle[i]:
+                    kept.append(data)
+                    counts.append((len(data), 0, 0, 0))
+                    continue
+                found = [merged(x[i], copies[i].as_py(), len(data), size) for x, size in zip(own, levels, strict=True)]
+                cut = found[-1]
                 if whole_characters:
                     cut = [(_after(data, a), _before(data, b)) for a, b in cut]
                 parts, last = [], 0
@@ -223,11 +270,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
                     last = b
                 parts.append(data[last:])
                 kept.append(b"".join(parts))
-                counts.append((len(data), sum(b - a for a, b in cut), len(cut)))
-            n = list(zip(*counts, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in n)], names=["doc", "kept", "n_bytes", "n_removed", "n_spans"])
+                counts.append((len(data), sum(b - a for a, b in cut), len(cut), sum(b - a for a, b in found[0])))
+            n = list(zip(*counts, strict=True)) or [()] * 4
+            names = ["n_bytes", "n_removed", "n_spans", "n_passage"][: 3 + bool(passage)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in n[: len(names)])], names=["doc", "kept", *names])
 
-    return rows.mapInArrow(apply, f"doc {rows.schema['doc'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long")
+    more = ", n_passage long" if passage else ""
+    return rows.mapInArrow(apply, f"doc {rows.schema['doc'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long{more}")
 
 
 def _after(data: bytes, at: int) -> int:

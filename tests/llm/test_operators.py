@@ -135,10 +135,30 @@ def plain_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("length", [40, 400])
-def test_repeats(docs, length):
-    found = substring_dedup.remove_repeats(docs, length).select("doc.doc_id", "kept", "n_removed", "n_spans").collect()
-    same([(r.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in found], plain_repeats(doc_rows(docs), length))
+@pytest.mark.parametrize("length, passage", [(80, None), (400, 200), (200, 80)])
+def test_repeats(docs, length, passage):
+    found = substring_dedup.remove_repeats(docs, length, passage=passage)
+    rows = doc_rows(docs)
+    same([(r.doc.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in found.collect()], plain_repeats(rows, length))
+    if passage:
+        same([(r.doc.doc_id, r.n_passage) for r in found.collect()], [(i, n) for i, _, n, _ in plain_repeats(rows, passage)])
+
+
+def test_short_passages(spark):
+    """Passages of over 50 words and under 400 bytes, in documents that are otherwise of their own."""
+    import random
+
+    from tests.llm.conftest import sentence
+
+    pick = random.Random(3)
+    passages = [sentence(pick, 52) for _ in range(3)]
+    rows = [(i, f"{sentence(pick, 30 + i)} {passages[i % 3]} {sentence(pick, 40)}") for i in range(12)] + [(100 + i, sentence(pick, 120)) for i in range(12)]
+    assert all(250 < len(p) < 400 for p in passages)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    short = {r.doc.doc_id: bytes(r.kept).decode() for r in substring_dedup.remove_repeats(frame, substring_dedup.PASSAGE).collect()}
+    assert not any(p in short[i] for p in passages for i in range(12)) and all(short[i] == t for i, t in rows if i >= 100)
+    both = {r.doc.doc_id: (r.n_removed, r.n_passage) for r in substring_dedup.remove_repeats(frame, passage=substring_dedup.PASSAGE).collect()}
+    assert all(both[i][0] == 0 and both[i][1] >= len(passages[i % 3]) for i in range(12)) and all(both[i] == (0, 0) for i in range(100, 112))
 
 
 def test_repeats_of_near_copies_and_segments(spark, monkeypatch):
@@ -153,13 +173,14 @@ def test_repeats_of_near_copies_and_segments(spark, monkeypatch):
             copy[pick.randrange(900)] = "Z"
         rows.append((i, "".join(copy[pick.randrange(50) :])))
     rows += [(100, "abc" * 200), (101, "q" * 300), (102, "abc" * 90)]
-    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 40)
-    same([(r.doc.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in found.collect()], plain_repeats(rows, 40))
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 200, passage=80)
+    same([(r.doc.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in found.collect()], plain_repeats(rows, 200))
+    same([(r.doc.doc_id, r.n_passage) for r in found.collect()], [(i, n) for i, _, n, _ in plain_repeats(rows, 80)])
 
 
 def test_repeats_whole_characters(spark):
-    rows = [(0, "é" * 30 + "ü" * 40), (1, "xé" + "é" * 30)]
-    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, whole_characters=True)
+    rows = [(0, "é" * 50 + "ü" * 40), (1, "xé" + "é" * 50)]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 80, whole_characters=True)
     assert all(bytes(r.kept).decode() is not None for r in found.collect())
 
 
