@@ -3,12 +3,13 @@
 Features are presences of lower-cased byte n-grams (``ORDERS`` long, white space as one blank) in hashed
 buckets. The counts behind the log-count ratios cover every labelled training row, and every bucket is scaled
 by its ratio, toxic or clean. A logistic regression on ratio-scaled presences is fitted by gradient descent on
-the driver, on about ``FIT_ROWS`` labelled rows of each class (never over twice that), chosen by the hash of
-their text. Buckets that no chosen row has take the mean coefficient. Everything else covers all rows.
+the driver, on at most ``FIT_ROWS`` different labelled texts of each class, those of the smallest hashes. Buckets that
+no chosen text has take the mean coefficient. Everything else covers all rows.
 
 A score depends on the text alone. Defined results: null and empty texts have no features and get the
 intercept's score; without rows of both classes every score is the share of toxic rows, or 0 where there
-are no labels; repeated rows score alike; labels that are null don't count.
+are no labels; repeated rows score alike; labels that are null don't count, and of several labels of a document
+the toxic one does; a text of any length is scored whole; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -78,6 +79,16 @@ def _counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def log_ratios(counts: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """Of each bucket the logarithm of its smoothed share of toxic texts over that of clean ones."""
+    table = counts.toArrow()  # 2 ** BUCKET_BITS rows at most
+    ratios = np.zeros(1 << BUCKET_BITS)
+    for name, n, sign in (("toxic", toxic, 1), ("clean", clean, -1)):
+        prior = 2 * SMOOTHING * n / (toxic + clean)
+        ratios[table["bucket"].to_numpy()] += sign * np.log((table[name].to_numpy() + prior) / (n + prior))
+    return ratios
+
+
 class Model:
     """The weight of every bucket (4 MB), and the intercept."""
 
@@ -130,30 +141,29 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     if not toxic or not clean:
         share = toxic / (toxic + clean) if totals else 0.0
         return Model(np.zeros(1 << BUCKET_BITS), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    counts = _counts(rows).toArrow()  # 2 ** BUCKET_BITS rows at most
-    ratios = np.zeros(1 << BUCKET_BITS)
-    for name, n, sign in (("toxic", toxic, 1), ("clean", clean, -1)):
-        prior = 2 * SMOOTHING * n / (toxic + clean)
-        ratios[counts["bucket"].to_numpy()] += sign * np.log((counts[name].to_numpy() + prior) / (n + prior))
+    ratios = log_ratios(_counts(rows), toxic, clean)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [packed(present(t.as_buffer().to_pybytes())) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], names=["toxic", "features"])
 
-    sampled = _sampled(rows, totals, fit_rows).mapInArrow(features, "toxic int, features binary")
-    sampled = sampled.limit(4 * fit_rows).collect()  # many copies of a sampled text might make it more
+    sampled = _sampled(rows, totals, fit_rows).mapInArrow(features, "toxic int, features binary").collect()  # fit_rows a class
     sampled = sorted(((x.toxic, bytes(x.features)) for x in sampled), key=lambda x: (zlib.crc32(x[1]), x))
     weights, intercept = _descend([f for _, f in sampled], np.array([t for t, _ in sampled], float), ratios)
     return Model(weights, intercept)
 
 
 def _sampled(rows: DataFrame, totals: dict[int, int], fit_rows: int) -> DataFrame:
-    """About ``fit_rows`` rows of each class, by hash."""
-    share = F.lit(1.0)
-    for toxic, n in totals.items():
-        share = F.when(F.col("toxic") == toxic, min(1.0, fit_rows / n)).otherwise(share)
-    return rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    """``text, toxic`` of at most ``fit_rows`` different texts of each class: those of the smallest hashes, so always the same."""
+    parts = []
+    for toxic, n in sorted(totals.items()):
+        own = rows.where(F.col("toxic") == toxic).withColumn("h", F.xxhash64("text"))
+        if n > 2 * fit_rows:  # most rows can't be among the smallest
+            own = own.where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * 2 * fit_rows / n)
+        once = own.groupBy("h").agg(F.first("text").alias("text"))
+        parts.append(once.orderBy(F.pmod("h", F.lit(1_000_000)), "h").limit(fit_rows).select("text", F.lit(toxic).alias("toxic")))
+    return parts[0].unionByName(parts[1]).repartition(8)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
