@@ -7,7 +7,8 @@ lower bound of its posterior good rate reaches a threshold. Hosts without labels
 
 Defined results: a null url, or one without ``://``, has an empty host and path; repeated pages are judged one
 by one; no labels at all leaves the flat prior ``PRIOR``; an empty table gives no rows. Outcomes whose page
-is missing or whose ``good`` is null don't count.
+is missing or whose ``good`` is null don't count; of several outcomes of a page the best does. A url of any length is
+judged whole; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.llm import storage
+
 #: Good and bad pages that the whole web is taken to have shown before any label: the prior of the root.
 PRIOR = (2.0, 1.0)
 Z = 1.645
 LEAST_GOOD = 0.5
 #: Prior strengths that moments may give.
 STRENGTH = (2.0, 1000.0)
-#: Suffixes of two labels; all others have one.
-LONG_SUFFIXES = ("co.uk", "ac.uk", "gov.uk", "org.uk", "com.au", "com.br", "com.cn", "com.tr", "co.in", "co.jp", "co.kr", "co.nz", "co.za")
+#: Labels under which countries register names: with a two-letter country they are a suffix, as ``com.mx`` or ``ne.jp``.
+CATEGORIES = "ac|co|com|ed|edu|gob|gov|gouv|go|govt|gr|id|ltd|me|mil|ne|net|nom|or|org|plc|sch|school|web"
+COUNTRY_SUFFIX = rf"^({CATEGORIES})\.[a-z]{{2}}$"
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEVELS = ("host", "domain", "suffix")
@@ -35,54 +39,68 @@ def parts(url: str | Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def with_levels(frame: DataFrame) -> DataFrame:
-    """Add registered domain and suffix to ``host``; ports don't count."""
+def with_levels(frame: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Add registered domain and suffix to ``host``; ports don't count.
+
+    ``suffixes(suffix)``: public suffixes of two or three labels besides those that COUNTRY_SUFFIX tells; the longest wins.
+    """
     names = F.split(F.regexp_replace("host", ":[0-9]*$", ""), r"\.")
-    last_two = F.array_join(F.slice(names, -2, 2), ".")
-    size = F.when(last_two.isin(*LONG_SUFFIXES), 2).otherwise(1)
 
-    def tail(n: Column) -> Column:
-        return F.array_join(F.slice(names, -F.least(n, F.size(names)), F.least(n, F.size(names))), ".")
+    def tail(n: Column | int) -> Column:
+        n = F.least(F.lit(n) if isinstance(n, int) else n, F.size(names))
+        return F.array_join(F.slice(names, -n, n), ".")
+
+    size = F.when(tail(2).rlike(COUNTRY_SUFFIX), 2).otherwise(1)
+    if suffixes is not None:
+        for labels in (2, 3):
+            listed = suffixes.where(F.size(F.split("suffix", r"\.")) == labels).select(F.col("suffix").alias(f"_suffix{labels}")).distinct()
+            frame = frame.withColumn("_tail", tail(labels)).join(listed, F.col("_tail") == F.col(f"_suffix{labels}"), "left").drop("_tail")
+            size = F.when(F.col(f"_suffix{labels}").isNotNull(), labels).otherwise(size)
+    frame = frame.withColumns({"suffix": tail(size), "domain": tail(size + 1)})
+    return frame.drop("_suffix2", "_suffix3")
+
 
-    return frame.withColumns({"suffix": tail(size), "domain": tail(size + 1)})
+def _strength(rows: DataFrame) -> float:
+    """How many pages a level's prior is worth: moments of the beta-binomial over ``rows(n, good, above)``."""
+    spread, rate = F.col("above") * (1 - F.col("above")), F.col("good") / F.greatest("n", F.lit(1))
+    seen = F.sum(F.col("n") * (rate - F.col("above")) * (rate - F.col("above")))
+    x = rows.where("n > 0").agg(seen.alias("seen"), F.sum(spread).alias("alone"), F.sum(spread * (F.col("n") - 1)).alias("more")).first()
+    rho = (x.seen - x.alone) / x.more if x.more else 0.0
+    rho = max(1 / (1 + STRENGTH[1]), min(1 / (1 + STRENGTH[0]), rho))
+    return (1 - rho) / rho
 
 
-def reputations(hosts: DataFrame) -> DataFrame:
+def reputations(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """Posterior of every host in ``hosts(host, n, good)``: ``host, mean, bound``.
 
-    All frames here have a row a host, domain or suffix. The counts of pages are summed before any join.
+    Hosts with their counts, and each level's means, are stored once; what comes to the driver is four sums a level.
     """
-    level = with_levels(hosts)
-    sums = {"suffix": level.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")),
-            "domain": level.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")),
-            "host": level}
-    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    root = total.select(((F.col("good") + PRIOR[0]) / (F.col("n") + sum(PRIOR))).alias("above"))
-    above: DataFrame = root
-    for i, name in reversed(list(enumerate(LEVELS))):
-        rows = sums[name]
-        # the root is one row, and so is a level's strength: joined without a key
-        rows = rows.join(F.broadcast(above)) if name == "suffix" else rows.join(above, LEVELS[i + 1])
-        spread, rate = F.col("above") * (1 - F.col("above")), F.col("good") / F.greatest("n", F.lit(1))
-        seen = F.sum(F.col("n") * (rate - F.col("above")) * (rate - F.col("above")))
-        alone = F.sum(F.when(F.col("n") > 0, spread).otherwise(0.0))
-        more = F.sum(F.when(F.col("n") > 0, spread * (F.col("n") - 1)).otherwise(0.0))
-        rho = F.when(more > 0, (seen - alone) / more).otherwise(0.0)
-        rho = F.greatest(F.lit(1 / (1 + STRENGTH[1])), F.least(F.lit(1 / (1 + STRENGTH[0])), rho))
-        strength = rows.agg(((1 - rho) / rho).alias("strength"))
-        rows = rows.join(F.broadcast(strength))
-        mass = F.col("strength") + F.col("n")
-        mean = (F.col("strength") * F.col("above") + F.col("good")) / mass
-        above = rows.select(name, mean.alias("above"), mass.alias("mass"))
-        if name != "host":
-            above = above.drop("mass")
-    return above.select("host", F.col("above").alias("mean"), (F.col("above") - Z * F.sqrt(F.col("above") * (1 - F.col("above")) / (F.col("mass") + 1))).alias("bound"))
-
-
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
+    spark = hosts.sparkSession
+    with storage.Scratch(spark, "reputations") as scratch:
+        level = scratch.cut(with_levels(hosts, suffixes))
+        total = level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()
+        sums = {"suffix": level.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")),
+                "domain": level.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")),
+                "host": level}
+        above = None
+        for i, name in reversed(list(enumerate(LEVELS))):
+            if above is None:
+                rows = sums[name].withColumn("above", F.lit((total.good + PRIOR[0]) / (total.n + sum(PRIOR))))
+            else:
+                rows = sums[name].join(above, LEVELS[i + 1])
+            rows = scratch.cut(rows)
+            strength = _strength(rows)
+            mass = F.col("n") + strength
+            mean = (F.lit(strength) * F.col("above") + F.col("good")) / mass
+            above = rows.select(name, mean.alias("above"), *([mass.alias("mass")] if name == "host" else []))
+        bound = F.col("above") - Z * F.sqrt(F.col("above") * (1 - F.col("above")) / (F.col("mass") + 1))
+        return storage.cut(above.select("host", F.col("above").alias("mean"), bound.alias("bound")), "reputations")
+
+
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, suffixes: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict, bound`` of every row of ``pages(page_id, url)``.
 
-    ``outcomes(page_id, good)``: good is 1 or 0. ``rules``: (host, path, verdict), part of the program's
+    ``outcomes(page_id, good)``: good is 1 or 0. ``suffixes(suffix)``: a public suffix list, if there is one. ``rules``: (host, path, verdict), part of the program's
     configuration; the longest rule that fits wins.
     """
     host, path = parts("url")
@@ -95,7 +113,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
         verdicts = F.when(hit, verdict).otherwise(verdicts)
     labelled = outcomes.where("page_id is not null and good is not null").groupBy("page_id").agg(F.max("good").alias("good"))
     counted = rows.join(labelled, "page_id", "left").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    known = reputations(counted)
+    known = reputations(counted, suffixes)
     passed = F.when(F.round("bound", 9) >= LEAST_GOOD, "allow").otherwise("block")
     judged = rows.withColumn("rule", fits).withColumn("said", verdicts).join(known, "host")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("said", passed).alias("verdict"), F.round("bound", 9).alias("bound"))
@@ -120,7 +138,6 @@ def oracle_sql(rules=RULES) -> str:
         return " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{(h + p, v)[what]}'" for h, p, v in order)
 
     pattern = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
-    long = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
     return rf"""
 with p as (select page_id, translate(coalesce(regexp_extract(url, '{pattern}', 1), ''), '{UPPER}', '{LOWER}') host,
    coalesce(regexp_extract(url, '{pattern}', 2), '') path from pages),
@@ -128,7 +145,7 @@ with p as (select page_id, translate(coalesce(regexp_extract(url, '{pattern}', 1
    where doc_id is not null and quality is not null and toxic is not null group by 1),
  h as (select host, count(good)::double n, coalesce(sum(good), 0)::double good from p left join l using (page_id) group by 1),
  k as (select *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') names from h),
- k2 as (select *, case when array_to_string(names[-2:], '.') in ({long}) then 2 else 1 end size from k),
+ k2 as (select *, case when regexp_matches(array_to_string(names[-2:], '.'), '{COUNTRY_SUFFIX}') then 2 else 1 end size from k),
  host_s as (select host, n, good, array_to_string(names[-size:], '.') suffix, array_to_string(names[-(size + 1):], '.') domain from k2),
  domain_s as (select domain, suffix, sum(n) n, sum(good) good from host_s group by 1, 2),
  suffix_s as (select suffix, sum(n) n, sum(good) good from host_s group by 1),
