@@ -8,12 +8,13 @@ the item on the document's diagonal p - j. The other words' postings, adjusted b
 intersected on that diagonal: the words that are there in a row, if at least a window's number, are hit.
 ``near`` gives proximity matches instead: all of an item's window terms within a span of words.
 
-All of it is DataFrame operations; the only rows that are broadcast are test terms, up to ``BROADCAST_ROWS``
-of them, and ids of candidate documents, up to the same number; beyond that the same joins are shuffled.
+All of it is DataFrame operations; the only rows that are broadcast are test terms and items, and ids of candidate
+documents, each only if they have ``BROADCAST_BYTES`` at most, which is summed up; beyond that the same joins are shuffled.
 
 Defined results: null texts have no words, as have texts of separators only; an item of fewer than WINDOW
 words, but not none, is one window; a null item_id is the item "", and items that repeat an id count once;
-repeated documents are judged one by one; empty tables on either side give no hits.
+repeated documents are judged one by one; empty tables on either side give no hits; a text of any length is indexed
+whole; other columns, of any name, are ignored, and ``clean`` keeps them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from edgeloom.llm import storage
 
 WINDOW = 10
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16_000_000
 #: All ASCII characters that words don't have; A-Z are words' characters until they are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,9 +42,10 @@ def lowered(word: str) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def _small(frame: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows, which is counted."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+def _small(frame: DataFrame, size: Column | None = None) -> DataFrame:
+    """Marked for broadcast if its rows have BROADCAST_BYTES at most; ``size`` is what a row has besides 32 bytes."""
+    total = frame.agg(F.sum(F.lit(32).cast("long") + (F.lit(0) if size is None else size)).alias("n")).first().n or 0
+    return F.broadcast(frame) if total <= BROADCAST_BYTES else frame
 
 
 def build_index(docs: DataFrame, cut, terms: DataFrame | None = None) -> DataFrame:
@@ -58,7 +60,7 @@ def build_index(docs: DataFrame, cut, terms: DataFrame | None = None) -> DataFra
     rows = rows.select("uid", own, "pos", lowered("word").alias("word"))
     if terms is None:
         return cut(rows.withColumnRenamed("word", "term"))
-    return cut(rows.join(_small(terms), "word").select("uid", "doc_id", "pos", "term"))
+    return cut(rows.join(_small(terms, F.octet_length("word")), "word").select("uid", "doc_id", "pos", "term"))
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -94,13 +96,13 @@ def find_phrases(docs: DataFrame, items: DataFrame, cut, window: int = WINDOW) -
     anchors = anchors.select("key", "item", "n", F.col("rarest.j").alias("j"), F.col("rarest.term").alias("term"), "low", (F.least(F.col("high") + window, F.col("n")) - 1).alias("high"))
     anchors = cut(anchors)
 
-    placed = postings.join(_small(anchors), "term").select("uid", "key", "n", (F.col("pos") - F.col("j")).alias("diagonal"), "low", "high")
+    placed = postings.join(_small(anchors, F.octet_length("item")), "term").select("uid", "key", "n", (F.col("pos") - F.col("j")).alias("diagonal"), "low", "high")
     # an anchor goes only if even the last of its windows begins before the document
     placed = placed.where(F.col("diagonal") + F.col("high") - F.least("n", F.lit(window)) + 1 >= 0)
     placed = cut(placed.groupBy("uid", "key", "diagonal").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     some = _small(placed.select("uid").distinct())
     lists = tests.groupBy("key").agg(F.first("item").alias("item"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "term"))).alias("words"))
-    asked = placed.join(_small(lists), "key").select("uid", "key", "item", "n", "diagonal", F.explode(F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + 1)).alias("w"))
+    asked = placed.join(_small(lists, F.octet_length("item") + 32 * F.size("words")), "key").select("uid", "key", "item", "n", "diagonal", F.explode(F.slice("words", F.col("low") + 1, F.col("high") - F.col("low") + 1)).alias("w"))
     asked = asked.select("uid", (F.col("diagonal") + F.col("w.j")).alias("pos"), F.col("w.term").alias("term"), "key", "item", "n", "diagonal", F.col("w.j").alias("j"))
     there = postings.join(some, "uid", "left_semi").select("uid", "pos", "term")
     both = asked.unionByName(there, allowMissingColumns=True)
@@ -137,7 +139,7 @@ def near(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
     index = build_index(docs, lambda frame: storage.cut(frame, "postings"), terms.withColumn("term", F.col("word")))
     wanted = tests.groupBy("item", "key").agg(F.countDistinct("word").alias("kinds"))
     each = tests.select("item", "key", F.col("word").alias("term")).distinct().join(wanted, ["item", "key"])
-    rows = index.where(F.col("term") != END).join(_small(each), "term")
+    rows = index.where(F.col("term") != END).join(_small(each, F.octet_length("term") + F.octet_length("item")), "term")
     ahead = Window.partitionBy("uid", "key").orderBy("pos").rangeBetween(0, span - 1)
     rows = rows.withColumn("there", F.size(F.collect_set("term").over(ahead))).where("there = kinds")
     ids = index.where(F.col("term") == END).select("uid", "doc_id")
