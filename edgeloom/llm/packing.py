@@ -6,11 +6,12 @@ lengths at most, that histogram is the only thing the driver sees. A configurati
 lengths that fits a sequence. The linear program - fewest sequences that hold all pieces - is solved by
 multiplicative weights: each round prices lengths by how little of them is covered so far, and a knapsack
 dynamic program finds the configuration of the largest price. Rounded down, the solution's configurations
-are filled; what is left is put best-fit, largest first. Pieces then find
-their sequence by their rank among pieces of the same length.
+are filled; what is left gets programs of its own, and the last few pieces are put best-fit, largest first. Pieces
+then find their sequence by their rank among pieces of the same length.
 
 Defined results: a null text is empty and still a piece of one token; repeated rows are packed one by one; a
-null ``doc_id`` is kept; an empty table gives no rows; other columns are ignored.
+null ``doc_id`` is kept; an empty table gives no rows; a text of any length is cut into pieces in one task, which holds
+its ids; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ from edgeloom.llm import storage, tokens
 CAPACITY = 1024
 END_ID = 2
 ROUNDS = 40
-#: Shares of the solution that are tried in rounding.
-SHARES = (1.0, 0.95, 0.9, 0.75, 0.5, 0.25)
+#: Roundings that are tried: the share of the first solution, and how often what is left gets a program of its own.
+ROUNDINGS = ((1.0, 3), (0.9, 3), (0.75, 3), (0.5, 3), (0.75, 0), (0.5, 0), (0.25, 0))
 #: How fast a covered length gets cheaper.
 STEP = 0.05
 #: How far from full price a configuration may be.
 SLACK = 0.02
 #: Rows (task, length) of rank offsets that may be broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("task", pa.int32()), ("rank", pa.int64()), ("ids", pa.binary())])
 
@@ -179,22 +180,40 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return [(Counter(dict(contents)), n) for contents, n in plan.items()]
 
 
+def _packed(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, share: float, programs: int, first: list[tuple[Counter, float]]) -> tuple[list[tuple[Counter, int]], list[tuple[Counter, int]]]:
+    """What the programs fill and what best fit adds: ``share`` of the first solution, then ``programs`` whole solutions of what is left."""
+    left, plan, used, index = counts.copy(), [], first, np.arange(len(lengths))
+    for n_left in range(programs, -1, -1):
+        own = left[index]
+        placed = rounded(used, own, share)
+        plan += [(Counter({int(index[i]): k for i, k in config.items()}), n) for config, n in placed]
+        left[index] = own
+        index = np.flatnonzero(left)
+        if not n_left or not len(index) or not placed and share == 1.0:
+            break
+        used, share = fractional(lengths[index], left[index], capacity, rounds), 1.0
+    return plan, best_fit(lengths, left, capacity)
+
+
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
     """The packing: (length -> how many, sequences with these contents).
 
-    How much of the fractional solution to round down and how much to leave to best fit, which needs some short
-    pieces, is chosen by the number of sequences that come out.
+    The fractional solution is rounded down, and what is left is solved and rounded again; best fit takes the rest,
+    which are few pieces, less than a sequence for each length. How much of the first solution is used, and so how
+    many short pieces remain for the rest, is chosen by the number of sequences that come out.
     """
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
     if not len(lengths):
         return []
-    used, best = fractional(lengths, counts, capacity, rounds), None
-    for share in SHARES:
-        left = counts.copy()
-        plan = rounded(used, left, share) + best_fit(lengths, left, capacity)
+    first, best = fractional(lengths, counts, capacity, rounds), None
+    bound = -(-int(lengths @ counts) // capacity)
+    for share, programs in ROUNDINGS:
+        plan = [x for part in _packed(lengths, counts, capacity, rounds, share, programs, first) for x in part]
         if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
             best = plan
+        if sum(n for _, n in best) == bound:  # no packing has fewer
+            break
     return [({int(lengths[i]): k for i, k in c.items()}, n) for c, n in best]
 
 
