@@ -10,7 +10,8 @@ The index is JSON: plane kind, block size, ids in the file, per block the offset
 the documents' ids and lengths. So any span of ids is read with one seek per block.
 
 Defined results: a null text is an empty one; a null ``doc_id`` comes first; repeated ids stand next to each
-other, ordered by the text's hash; an empty table gives no files; other columns are ignored.
+other, ordered by the text's hash; an empty table gives no files; a text of any length is one document, whose ids one
+task holds; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from edgeloom.llm import storage, tokens
 
 MAGIC = b"ELPLANE1"
 BLOCK_IDS = 65_536
-#: Text bytes that a file's documents have, about; more input makes more files.
-FILE_BYTES = 32_000_000
+#: Text bytes that a file's documents have, about; more input makes more files, up to MOST_FILES, then larger ones.
+FILE_BYTES, MOST_FILES = 32_000_000, 100_000
 WIDTH = {"byte": 4, "bit": 32}
 
 
@@ -150,7 +151,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = tokens.DEFAULT_T
     """
     if files is None:
         size = docs.select(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-        files = max(1, -(-size // FILE_BYTES))
+        files = max(1, -(-size // max(FILE_BYTES, -(-size // MOST_FILES))))
     order = (F.col("doc_id"), F.xxhash64("text"))
     rows = docs.select("doc_id", "text", order[1].alias("tie"))
     rows = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -189,7 +190,7 @@ def read_tokens(manifest: DataFrame, folder: str, each, schema: str) -> DataFram
     ``schema`` names what ``each`` returns; the columns ``doc_id`` and ``start``, the number of ids in all
     documents before, come first.
     """
-    sizes = manifest.select("file_no", "name", "n_ids").orderBy("file_no").collect()  # a row a file
+    sizes = manifest.select("file_no", "name", "n_ids").orderBy("file_no").collect()  # a row a file, MOST_FILES by default
     starts, total = {}, 0
     for x in sizes:
         starts[x.name], total = total, total + x.n_ids

@@ -48,8 +48,11 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _model(self, pre_token: str) -> list[int]:
-        mapped = pre_token if pre_token.isascii() else pre_token.encode().decode("latin-1")
-        return [t.id for t in self.model.tokenize(mapped.translate(self.letters))]
+        if pre_token.isascii():  # printable characters stand for themselves
+            mapped = self.letters[32] + pre_token[1:] if pre_token[0] == " " else pre_token
+        else:
+            mapped = pre_token.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(mapped)]
 
     def _unit(self, unit: str) -> bytes:
         """A unit begins with its line break, or stands for a blank and itself."""
@@ -62,29 +65,27 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null has none."""
-        cut: list[list[str] | None] = []
-        needed: set[str] = set()
+        cache, look, extra, out = self.cache, self.cache.get, {}, []
         for text in texts:
             even = text and " ".join(text.split()) == text.replace("\n", " ")
             if not even or any(s in text for s in self.specials):
-                cut.append(None)
-            else:
-                units = text.replace("\n", " \n").split(" ")
-                cut.append(units)
-                needed.update(units[1:])
-        cache, kept = self.cache, len(self.cache)
-        new = [u for u in needed if u not in cache]
-        for unit in new:
-            cache[unit] = self._unit(unit)
-        out = []
-        for text, units in zip(texts, cut, strict=True):
-            if units is None:
                 out.append(self._whole(text) if text else b"")
-            else:
-                first = self._whole(units[0])
-                out.append(first + b"".join(map(cache.__getitem__, units[1:])))
-        for unit in new[max(0, CACHE_ENTRIES - kept) :]:
-            del cache[unit]
+                continue
+            units = text.replace("\n", " \n").split(" ")
+            found = list(map(look, units))
+            found[0] = self._whole(units[0])  # no blank before it
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # some aren't known
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        unit = units[i]
+                        ids = look(unit) or extra.get(unit)
+                        if ids is None:
+                            ids = self._unit(unit)
+                            (cache if len(cache) < CACHE_ENTRIES else extra)[unit] = ids
+                        found[i] = ids
+                out.append(b"".join(found))
         return out
 
 
