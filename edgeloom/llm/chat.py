@@ -7,12 +7,14 @@ list of attachments, in placeholder order. Messages of one conversation, ordered
     <<SYS>>system<</SYS>>[INST]user[/INST]<s>assistant</s><<ROLE>>other role<<TEXT>>its text<</ROLE>>
 
 Inside texts and roles, a backslash becomes ``\\b`` and every control string gets ``\\.`` behind its first
-character, so no control string of the output comes from a text, and reading is exact. The loss mask is a
-list of spans (start and length in code points) over the assistants' escaped texts.
+character, so no control string of the output comes from a text, and reading is exact: ``read_chats`` gives the
+texts, ``read_parts`` the typed parts. The loss mask is a list of spans (start and length in code points) over the
+assistants' escaped texts.
 
 Defined results: a null text is empty, a null role is the empty role, a null kind is text, an unknown kind
 counts as a document; rows with equal turns are ordered by role and text, repeated rows are all kept; an
-empty table gives no rows; a null ``conv_id`` is a conversation of its own.
+empty table gives no rows; a null ``conv_id`` is a conversation of its own; a text of any length is formatted whole,
+a conversation being one value; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -96,11 +98,14 @@ def format_chats(messages: DataFrame) -> DataFrame:
     )
 
 
-def read_chats(chats: DataFrame) -> DataFrame:
-    """A row a turn from formatted chats; ``loss``: the mask has a span over exactly its text."""
+def read_chats(chats: DataFrame, typed: bool = False) -> DataFrame:
+    """A row a turn from formatted chats; ``loss``: the mask has a span over exactly its text.
+
+    ``typed`` also gives the text before it is unescaped, and the conversation's attachments.
+    """
     closers = "|".join(c.replace("[", "\\[").replace("]", "\\]") for c in CLOSERS)
     size = F.length("formatted").cast("long").alias("formatted_chars")
-    pieces = chats.select("conv_id", "loss_spans", size, F.posexplode(F.split("formatted", closers)).alias("turn_no", "piece"))
+    pieces = chats.select("conv_id", "loss_spans", *(["attachments"] if typed else []), size, F.posexplode(F.split("formatted", closers)).alias("turn_no", "piece"))
     pieces = pieces.where(F.col("piece") != "")  # what follows the last closer
     named = F.substring_index(F.substr("piece", F.lit(len(OTHER[0]) + 1)), OTHER[1], 1)
     role, opener, closer = unescape(named), F.length(named) + len(OTHER[0] + OTHER[1]), F.lit(len(OTHER[2]))
@@ -110,9 +115,36 @@ def read_chats(chats: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
     turns = pieces.select("*", role.alias("role"), opener.alias("opener"), (F.length("piece") + closer).alias("size"))
     turns = turns.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    flat = F.substr("piece", F.col("opener") + 1)
+    turns = turns.withColumn("flat", F.substr("piece", F.col("opener") + 1))
+    flat = F.col("flat")
     span = F.struct((F.col("at") + F.col("opener")).alias("start"), F.length(flat).cast("long").alias("length"))
-    return turns.select("conv_id", "formatted_chars", "turn_no", "role", unescape(flat).alias("text"), F.array_contains("loss_spans", span).alias("loss"))
+    # the mask's spans are in order: an assistant's is that of its number
+    so_far = Window.partitionBy("conv_id").orderBy("turn_no")
+    number = F.sum(F.when(F.col("role") == "assistant", 1).otherwise(0)).over(so_far).cast("int")
+    loss = F.coalesce((F.col("role") == "assistant") & (F.get("loss_spans", number - 1) == span), F.lit(False))
+    return turns.select("conv_id", "formatted_chars", "turn_no", "role", unescape(flat).alias("text"), loss.alias("loss"), *(["flat", "attachments"] if typed else []))
+
+
+def read_parts(chats: DataFrame) -> DataFrame:
+    """``conv_id, turn_no, role, parts`` from formatted chats and their attachments: the typed parts of every turn.
+
+    A part is ``(kind, text, ref, tokens)``. Neighbouring text parts come back as one, empty ones not at all; placeholders
+    that a text spells out are text.
+    """
+    turns = read_chats(chats, typed=True)
+    marks = "|".join(PLACEHOLDERS.values())
+    texts, found = F.split("flat", marks, -1), F.regexp_count("flat", F.lit(marks))
+    before = Window.partitionBy("conv_id").orderBy("turn_no").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumns({"texts": texts, "found": found}).withColumn("first", F.coalesce(F.sum("found").over(before), F.lit(0)).cast("int"))
+
+    def around(i: Column) -> Column:
+        said, attached = F.get("texts", i), F.get("attachments", F.col("first") + i)
+        text = F.struct(F.lit("text").alias("kind"), unescape(said).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens"))
+        other = F.struct(attached["kind"].alias("kind"), F.lit(None).cast("string").alias("text"), attached["ref"].alias("ref"), attached["tokens"].alias("tokens"))
+        return F.array_compact(F.array(F.when(said != "", text), F.when(i < F.col("found"), other)))
+
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.col("found")), around))
+    return turns.select("conv_id", "turn_no", "role", parts.alias("parts"))
 
 
 def chat_digests(chats: DataFrame) -> DataFrame:
