@@ -79,6 +79,18 @@ def adjacency(edges: DataFrame, incoming: bool = False) -> DataFrame:
     return lists.select("id", F.col("both.n").alias("neighbours"), F.col("both.w").alias("weights"))
 
 
+def adjacency_chunks(edges: DataFrame, size: int = 100_000, incoming: bool = False) -> DataFrame:
+    """``id, chunk, neighbours``: adjacency in lists of ``size`` neighbours at most, in ascending order.
+
+    A neighbour's place in its list is its edge's place less the vertex's first, so a hub is never one task's or one row's.
+    """
+    key, other = _sides(incoming)
+    placed = numbered(edges.select(F.col(key).alias("id"), F.col(other).alias("neighbour")), "id", "neighbour", name="place")
+    first = placed.groupBy("id").agg(F.min("place").alias("start"))
+    chunk = F.floor((F.col("place") - F.col("start")) / size).alias("chunk")
+    return placed.join(first, "id").groupBy("id", chunk).agg(F.array_sort(F.collect_list("neighbour")).alias("neighbours"))
+
+
 def read_write_distance(edges: DataFrame, n: int) -> DataFrame:
     """One row: edges per vertex turned over (n / m), and the mean gap of consecutive neighbours in lists."""
     before = F.lag("dst").over(Window.partitionBy("src").orderBy("dst"))

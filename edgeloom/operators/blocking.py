@@ -2,24 +2,25 @@
 
 The matrix is quartered until a square has fewer than ``most`` edges, at depth MIN_DEPTH at the earliest.
 An aligned square is a prefix of the Hilbert index, and counts only shrink with depth, so an edge's block
-is the shallowest prefix, from MIN_DEPTH on, with fewer than ``most`` edges: one deeper than the deepest
-crowded square over it. Edges are aggregated to cells once; STRIDE depths are counted together, and only cells
-that are still crowded go on to the next ones.
+is one deeper than the deepest crowded square over it. In the order of the curve a square's edges follow each
+other, so a square is crowded if and only if the first and the last of some ``most`` consecutive edges are in it.
+That turns the recursion into one sort and a sliding maximum: each edge is compared with the one ``most`` - 1
+places on, and takes the deepest square that any such pair around it shares. Nothing is iterated or collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.curves import hilbert_key, power_of_two
 from edgeloom.operators.adjacency import running_total
 from edgeloom.operators.canonical import numbered
 from edgeloom.operators.ordering import with_hilbert
-from edgeloom.shared import cut
 
 MIN_DEPTH = 5
-STRIDE = 3
+#: Places that one window partition has at least; it has eight times ``most`` if that is more.
+PART = 500_000
 
 
 def check_most_edges(m: int, most: int) -> None:
@@ -32,55 +33,63 @@ def _prefix(order: int, depth: Column | int) -> Column:
     return F.call_function("shiftright", F.col("h"), (2 * (F.lit(order) - depth)).cast("int"))
 
 
+def _common_depth(a: Column, b: Column, order: int) -> Column:
+    """The depth of the smallest square that holds both indices."""
+    differing = a.bitwiseXOR(b)
+    bits = F.when(differing == 0, 0).otherwise(F.length(F.bin(differing)))
+    return (F.lit(order) - F.floor((bits + 1) / 2)).cast("int")
+
+
 def settle(keyed: DataFrame, order: int, most: int) -> DataFrame:
-    """``h, src, dst, nnz, depth, prefix``: each cell that has edges, and its block.
+    """Edges with their ``place`` along the curve, and the ``depth`` and ``prefix`` of their block.
 
-    What a join brings back are crowded squares, at most an edge count divided by ``most`` for each depth.
+    Places are dealt into parts; a part also gets the ``most`` places before and behind it, as its windows reach there.
     """
     if most < 2:
         raise ValueError("blocks of fewer than one edge don't exist: most must be at least 2")
-    cells = keyed.groupBy("h", "src", "dst").agg(F.count("*").alias("nnz"))
-    decided: DataFrame | None = None
-    open_ = cut(cells, "cells")
-    for first in range(min(MIN_DEPTH, order), order + 1, STRIDE):
-        depths = range(first, min(first + STRIDE, order + 1))
-        squares = F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(order, d).alias("prefix")) for d in depths))
-        rows = open_.select("h", "nnz", F.explode(squares).alias("square")).select("h", "nnz", "square.*")
-        crowded = rows.groupBy("depth", "prefix").agg(F.sum("nnz").alias("n")).where(F.col("n") >= most)
-        crowded = cut(crowded.select("depth", "prefix"), "crowded")
-        deepest = rows.join(crowded, ["depth", "prefix"]).groupBy("h").agg(F.max("depth").alias("deepest"))
-        marked = open_.join(deepest, "h", "left").withColumn("depth", F.coalesce(F.col("deepest") + 1, F.lit(first)))
-        marked = cut(marked.drop("deepest"), "depths")
-        done = marked.where(F.col("depth") <= depths[-1])
-        decided = done if decided is None else decided.unionByName(done)
-        open_ = marked.where(F.col("depth") > depths[-1]).drop("depth")
-        if crowded.where(F.col("depth") == depths[-1]).isEmpty():
-            break
-    return decided.withColumn("prefix", _prefix(order, F.col("depth")))
+    size = -(-max(PART, 8 * most) // most) * most
+    part = F.floor(F.col("place") / size)
+    inside = F.col("place") - part * size
+    beside = F.array_compact(F.array(part, F.when(inside < most, part - 1), F.when(inside >= size - most, part + 1)))
+    rows = numbered(keyed, "h", name="place").withColumn("_own", part).withColumn("_part", F.explode(beside)).where("_part >= 0")
+    rows = rows.withColumn("_group", F.floor(F.col("place") / most))
+    along = Window.partitionBy("_part").orderBy("_group", "place")
+    rows = rows.withColumn("_shared", _common_depth(F.col("h"), F.lead("h", most - 1).over(along), order))
+    # the maximum over the last ``most`` places: to the end of the group in which they begin, and from the next one's start
+    group = Window.partitionBy("_part", "_group")
+    rows = rows.withColumn("_since", F.max("_shared").over(group.orderBy("place")))
+    rows = rows.withColumn("_until", F.max("_shared").over(group.orderBy(F.desc("place"))))
+    deepest = F.coalesce(F.greatest("_since", F.lag("_until", most - 1).over(along)), F.lit(-1))
+    rows = rows.withColumn("depth", F.least(F.lit(order), F.greatest(F.lit(min(MIN_DEPTH, order)), deepest + 1)))
+    rows = rows.where("_part = _own").withColumn("prefix", _prefix(order, F.col("depth")))
+    return rows.select(*keyed.columns, "place", "depth", "prefix")
 
 
 def block_of_edges(edges: DataFrame, order: int, most: int) -> DataFrame:
-    """Edges with ``h``, the ``depth`` of their block and its ``prefix``."""
-    keyed = cut(with_hilbert(edges, order), "hilbert")
-    return keyed.join(settle(keyed, order, most).select("h", "depth", "prefix"), "h")
+    """Edges with ``h``, their ``place`` along the curve, the ``depth`` of their block and its ``prefix``."""
+    return settle(with_hilbert(edges, order), order, most)
 
 
 def blocks(assigned: DataFrame, order: int) -> DataFrame:
-    """``idx, x, y, side_len, nnz`` of each block; idx is the index of its smallest corner.
-
-    ``assigned``: edges with their blocks, or cells with theirs and ``nnz``.
-    """
+    """``idx, x, y, side_len, nnz`` of each block of ``assigned`` edges; idx is the index of its smallest corner."""
     shift = F.lit(order) - F.col("depth")
     side = F.call_function("shiftleft", F.lit(1).cast("long"), shift)
-    size = F.sum("nnz") if "nnz" in assigned.columns else F.count("*")
-    groups = assigned.groupBy("depth", "prefix").agg(size.alias("nnz"), F.min("src").alias("s"), F.min("dst").alias("d"))
+    groups = assigned.groupBy("depth", "prefix").agg(F.count("*").alias("nnz"), F.min("src").alias("s"), F.min("dst").alias("d"))
     corners = groups.select("nnz", side.alias("side_len"), (F.col("s") - F.pmod("s", side)).alias("x"), (F.col("d") - F.pmod("d", side)).alias("y"))
     return corners.select(hilbert_key("x", "y", order).alias("idx"), "x", "y", "side_len", "nnz")
 
 
+def check_all_assigned(blocks_: DataFrame, m: int) -> dict[str, int]:
+    """Numbers of blocks and of their edges; raises unless those are all ``m``."""
+    found = blocks_.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("nnz"), F.lit(0)).alias("edges")).first()
+    if found.edges != m:
+        raise ValueError(f"{found.edges} of {m} edges are in blocks")
+    return found.asDict()
+
+
 def block_edges(assigned: DataFrame) -> DataFrame:
     """``src, dst, h, place``: the flattened edges in block order, which is the order of h; weights stay."""
-    return numbered(assigned.drop("depth", "prefix"), "h", name="place")
+    return assigned.drop("depth", "prefix")
 
 
 def block_index(blocks_: DataFrame) -> DataFrame:
@@ -92,4 +101,4 @@ def block_index(blocks_: DataFrame) -> DataFrame:
 
 def block(edges: DataFrame, order: int, most: int) -> DataFrame:
     """Block metadata of a graph."""
-    return blocks(settle(with_hilbert(edges, order), order, most), order)
+    return blocks(block_of_edges(edges, order, most), order)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.operators.canonical import endpoints
-from edgeloom.shared import cut
+from edgeloom.shared import bucketed, cut
 
 DAMPING = 0.85
 #: Rounds between cuts of the lineage.
@@ -17,13 +16,16 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = DAMPING) -> Dat
     """``id, score``: no convergence test, no share for dangling vertices, no normalisation.
 
     A round: edges meet their source's contribution, sums go to destinations, and vertices without incoming
-    edges get the base. The rounds between two cuts share one exchange of the edges; sums are partial before
-    the shuffle, so a vertex that a third of all edges enter is a row a task, and AQE splits one that they leave.
+    edges get the base. Edges are stored in buckets by source and vertices by id, once, so that a round shuffles
+    contributions and sums, never edges; sums are partial before the shuffle, so a vertex that a third of all edges
+    enter is a row a task.
     """
-    vertices = endpoints(edges)
-    out = edges.groupBy("src").agg(F.count("*").alias("out_deg"))
-    vertices = cut(vertices.join(out.withColumnRenamed("src", "id"), "id", "left"), "vertices")
-    edges = cut(edges.select("src", "dst"), "edges")
+    spark = edges.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges = bucketed(edges.select("src", "dst"), "edges", buckets, "src")
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_deg"))
+    heads = edges.select(F.col("dst").alias("id")).distinct()
+    vertices = bucketed(heads.join(out, "id", "full"), "vertices", buckets, "id")
     n = vertices.count()
     if iterations <= 0 or not n:
         return vertices.select("id", F.lit(0.0).alias("score"))
@@ -34,7 +36,7 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = DAMPING) -> Dat
         came = edges.join(given, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("given").alias("came"))
         score = F.lit(base) + F.lit(damping) * F.coalesce("came", F.lit(0.0))
         state = vertices.join(came, "id", "left").select("id", "out_deg", score.alias("score"))
-        if done % CUT_EVERY == 0:
+        if done % CUT_EVERY == 0 and done < iterations - 1:
             state = cut(state, "scores")
     return state.select("id", "score")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions.curves import hilbert_key_classic, morton_key
 from edgeloom.operators import adjacency, blocking, canonical, ordering
 from edgeloom.operators.pagerank import pagerank
+from edgeloom.plans import flows
 from edgeloom.shared import cut
 from edgeloom.sources import edges as sources
 from edgeloom.sources import formats
@@ -24,6 +26,7 @@ _RAW = {
     "part_supp": "select l_partkey src, l_suppkey dst from lineitem",
     "cust_part": "select o_custkey src, l_partkey dst from lineitem join orders on l_orderkey = o_orderkey",
     "cust_supp": "select o_custkey src, l_suppkey dst from lineitem join orders on l_orderkey = o_orderkey",
+    "part_supp_bipartite": "select l_partkey src, l_suppkey + n1 dst from lineitem, (select max(l_partkey) + 1 n1 from lineitem)",
     "order_part": "select l_orderkey src, l_partkey dst from lineitem",
 }
 _ENDS = "V as (select src id from E union select dst from E)"
@@ -32,14 +35,20 @@ _DENSE = f"{_RANKS}, D as (select a.new_id src, b.new_id dst from E join R a on
 _ORDER = "K as (select greatest(1, length(bin(max(greatest(src, dst))))) k from E)"
 
 
-def _edges(name: str) -> Query:
-    return lambda spark, sf_dir: canonical.distinct_edges(getattr(sources, name)(spark, sf_dir))
+def query(name: str, source: str, sql: str, base: str = "") -> Callable:
+    """Register ``f(edges)`` over the distinct edges of ``source``; ``sql`` may use E, and what ``base`` adds.
 
+    A second parameter of ``f`` is the curve's order. It needs only the largest id, which is taken from the source
+    before its duplicates are removed, so that nothing has to be stored for it.
+    """
+    def add(f: Callable[..., DataFrame]) -> Callable:
+        curved = len(inspect.signature(f).parameters) == 2
 
-def query(name: str, source: str, sql: str, base: str = "") -> Callable:
-    """Register ``f(edges)`` over the distinct edges of ``source``; ``sql`` may use E, and what ``base`` adds."""
-    def add(f: Callable[[DataFrame], DataFrame]) -> Callable:
-        _QUERIES[name] = lambda spark, sf_dir: f(cut(_edges(source)(spark, sf_dir), "edges"))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            raw = getattr(sources, source)(spark, sf_dir)
+            return f(canonical.distinct_edges(raw), *([canonical.order_of(raw)] if curved else []))
+
+        _QUERIES[name] = run
         _SQL[name] = f"with recursive E as (select distinct src, dst from ({_RAW[source]})){', ' + base if base else ''} {sql}"
         return f
 
@@ -129,6 +138,21 @@ def csr_adjacency(edges):
     return adjacency.adjacency(edges).select("id", F.array_join("neighbours", ",").alias("neighbours"))
 
 
+@query("csr_adjacency_chunks", "part_supp", "select id, chunk, string_agg(dst::varchar, ',' order by dst) neighbours from (select src id, dst, (row_number() over (partition by src order by dst) - 1) // 8 as chunk from E) group by 1, 2")
+def csr_adjacency_chunks(edges):
+    return adjacency.adjacency_chunks(edges, 8).select("id", "chunk", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query("bipartite_csr_out", "part_supp_bipartite", _STARTS.format("src"), _ENDS)
+def bipartite_csr_out(edges):
+    return adjacency.all_offsets(edges).select("id", F.col("start").cast("long").alias("start"), "degree")
+
+
+@query("bipartite_csr_in", "part_supp_bipartite", _STARTS.format("dst"), _ENDS)
+def bipartite_csr_in(edges):
+    return adjacency.all_offsets(edges, incoming=True).select("id", F.col("start").cast("long").alias("start"), "degree")
+
+
 @query("avg_rw_dist", "cust_supp", "select (select count(*) from V)::double / count(*) read_distance, sum(gap)::double / count(*) write_distance from (select coalesce(abs(dst - lag(dst) over (partition by src order by dst)), 0) gap from E)", _ENDS)
 def avg_rw_dist(edges):
     return adjacency.read_write_distance(edges, canonical.endpoints(edges).count())
@@ -163,23 +187,28 @@ def relabel_edges(edges):
 
 
 @query("hilbert_key", "part_supp", "select a src, b dst, h from W", _CELLS)
-def hilbert_key(edges):
-    return ordering.with_hilbert(edges, canonical.order_of(edges))
+def hilbert_key(edges, order):
+    return ordering.with_hilbert(edges, order)
 
 
 @query("hilbert_key_batches", "cust_part", "select a src, b dst, h from W", _CELLS)
-def hilbert_key_batches(edges):
-    return ordering.with_hilbert(edges, canonical.order_of(edges), batches=True)
+def hilbert_key_batches(edges, order):
+    return ordering.with_hilbert(edges, order, batches=True)
 
 
 @query("hilbert_classic", "user_next", "select a src, b dst, h from W", _CELLS)
-def hilbert_classic(edges):
-    return edges.withColumn("h", hilbert_key_classic("src", "dst", canonical.order_of(edges)))
+def hilbert_classic(edges, order):
+    return edges.withColumn("h", hilbert_key_classic("src", "dst", order))
 
 
 @query("hilbert_rank", "user_next", "select a src, b dst, h, row_number() over (order by h) - 1 as rank from W", _CELLS)
-def hilbert_rank(edges):
-    return ordering.hilbert_ranks(edges, canonical.order_of(edges))
+def hilbert_rank(edges, order):
+    return ordering.hilbert_ranks(edges, order)
+
+
+@query("hilbert_edge_lines", "cust_supp", "select row_number() over (order by h) - 1 as rank, concat(a, ' ', b, ' ', row_number() over (order by h) - 1) as value from W", _CELLS)
+def hilbert_edge_lines(edges, order):
+    return formats.hilbert_edge_lines(ordering.hilbert_ranks(edges, order))
 
 
 _MORTON = " + ".join(f"(((src >> {i}) & 1) << {3 * i}) + (((dst >> {i}) & 1) << {3 * i + 1})" for i in range(18))
@@ -196,35 +225,35 @@ def box_count(edges):
 
 
 @query("box_edges", "part_supp", "select src, dst from E where src >= 100 and src < 200 and dst >= 10 and dst < 60")
-def box_edges(edges):
-    clustered = cut(ordering.cluster_by_hilbert(edges, canonical.order_of(edges), 8), "clustered")
+def box_edges(edges, order):
+    clustered = cut(ordering.cluster_by_hilbert(edges, order, 8), "clustered")
     return ordering.box(clustered, 100, 200, 10, 60).select("src", "dst")
 
 
 @query("block_metadata", "user_next", "select h idx, x, y, side_len, nnz from B join W on x = a and y = b", _DEPTHS)
-def block_metadata(edges):
-    return blocking.block(edges, canonical.order_of(edges), MOST)
+def block_metadata(edges, order):
+    return blocking.block(edges, order, MOST)
 
 
-@query("block_metadata_bipartite", "part_supp", "select h idx, x, y, side_len, nnz from B join W on x = a and y = b", _DEPTHS)
-def block_metadata_bipartite(edges):
-    return blocking.block(edges, canonical.order_of(edges), MOST)
+@query("block_metadata_bipartite", "part_supp_bipartite", "select h idx, x, y, side_len, nnz from B join W on x = a and y = b", _DEPTHS)
+def block_metadata_bipartite(edges, order):
+    return blocking.block(edges, order, MOST)
 
 
 @query("block_edges", "user_next", "select a src, b dst, h, row_number() over (order by h) - 1 as place from W", _CELLS)
-def block_edges(edges):
-    return blocking.block_edges(blocking.block_of_edges(edges, canonical.order_of(edges), MOST))
+def block_edges(edges, order):
+    return blocking.block_edges(blocking.block_of_edges(edges, order, MOST))
 
 
 @query("block_index", "user_next", 'select row_number() over (order by h) - 1 as block, h idx, (2 * sum(nnz) over (order by h rows unbounded preceding))::bigint as "end" from B join W on x = a and y = b', _DEPTHS)
-def block_index(edges):
-    index = blocking.block_index(blocking.block(edges, canonical.order_of(edges), MOST))
+def block_index(edges, order):
+    index = blocking.block_index(blocking.block(edges, order, MOST))
     return index.select("block", "idx", F.col("end").cast("long").alias("end"))
 
 
 @query("block_lines", "user_next", "select h idx, concat(x, ' ', y, ' ', side_len, ' ', h, ' ', nnz, ' ') as value from B join W on x = a and y = b", _DEPTHS)
-def block_lines(edges):
-    return formats.block_lines(blocking.block(edges, canonical.order_of(edges), MOST))
+def block_lines(edges, order):
+    return formats.block_lines(blocking.block(edges, order, MOST))
 
 
 def _rounds(n: int) -> str:
@@ -290,9 +319,34 @@ _QUERIES["weighted_adjacency"] = _weighted
 _SQL["weighted_adjacency"] = "select src id, string_agg(concat(dst, ':', w), ',' order by dst) neighbours from (select l_partkey src, l_suppkey dst, sum(l_quantity)::bigint w from lineitem group by 1, 2) group by 1"
 
 
+def _bipartite_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In-adjacency of the weighted bipartite graph in one id space: lists of sources with their weights."""
+    lists = flows.bipartite_csrs(sources.part_supp_weighted(spark, sf_dir))["in"]
+    pairs = F.zip_with("neighbours", "weights", lambda n, w: F.concat(n.cast("string"), F.lit(":"), w.cast("long").cast("string")))
+    return lists.select("id", F.array_join(pairs, ",").alias("neighbours"))
+
+
+_QUERIES["bipartite_weighted_in"] = _bipartite_weighted
+_SQL["bipartite_weighted_in"] = "select dst + n1 id, string_agg(concat(src, ':', w), ',' order by src) neighbours from (select l_partkey src, l_suppkey dst, sum(l_quantity)::bigint w from lineitem group by 1, 2), (select max(l_partkey) + 1 n1 from lineitem) group by 1"
+
+
+def _block_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of blocks and of edges in them, against the graph's edges."""
+    raw = sources.cust_supp(spark, sf_dir)
+    edges = canonical.distinct_edges(raw)
+    blocks = blocking.block(edges, canonical.order_of(raw), MOST)
+    rows = blocks.select(F.lit(1).alias("blocks"), F.col("nnz").alias("assigned"), F.lit(0).alias("m"))
+    rows = rows.unionByName(edges.select(F.lit(0).alias("blocks"), F.lit(0).cast("long").alias("assigned"), F.lit(1).alias("m")))
+    return rows.agg(*(F.sum(c).alias(c) for c in ("blocks", "assigned", "m")))
+
+
+_QUERIES["block_totals"] = _block_totals
+_SQL["block_totals"] = f"with recursive E as (select distinct src, dst from ({_RAW['cust_supp']})), {_DEPTHS} select (select count(*) from B) blocks, (select sum(nnz)::bigint from B) assigned, (select count(*) from E) m"
+
+
 def _weighted_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = cut(sources.part_supp_weighted(spark, sf_dir), "edges")
-    return blocking.block_edges(blocking.block_of_edges(edges, canonical.order_of(edges), MOST))
+    order = canonical.order_of(sources.part_supp(spark, sf_dir))
+    return blocking.block_edges(blocking.block_of_edges(sources.part_supp_weighted(spark, sf_dir), order, MOST))
 
 
 _QUERIES["weighted_block_edges"] = _weighted_blocks

@@ -66,6 +66,14 @@ def part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
 
 
+def part_supp_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with both sides in one id space, suppliers behind the parts."""
+    from edgeloom.operators.canonical import bipartite
+
+    edges = part_supp(spark, sf_dir)
+    return bipartite(edges, edges.agg(F.coalesce(F.max("src") + 1, F.lit(0)).alias("n1")).first().n1)
+
+
 def part_supp_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quantity that each part got from each supplier."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

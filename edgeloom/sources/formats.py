@@ -120,10 +120,13 @@ def read_vector(spark: SparkSession, uri: str, kind: str = "u4") -> DataFrame:
 def write_csr(edges: DataFrame, uri: str, incoming: bool = False, parts: int = 8) -> None:
     """n (four bytes), m (eight), n + 1 offsets, m neighbours, and m weights if the edges have them.
 
-    Vertices must be numbered densely from 0.
+    Vertices must be numbered densely from 0; other ids raise.
     """
     key, other = ("dst", "src") if incoming else ("src", "dst")
-    n, m = endpoints(edges).count(), edges.count()
+    ids = endpoints(edges).agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    n, m = ids.n, edges.count()
+    if n and (ids.low != 0 or ids.high != n - 1):
+        raise ValueError(f"{n} vertices with ids from {ids.low} to {ids.high} are not numbered densely from 0")
     whole = F.lit(None).cast("double").alias("real")
     starts = all_offsets(edges, incoming).select(F.lit(0).alias("section"), F.col("id").alias("place"), F.lit(0).cast("long").alias("minor"), F.lit("u8").alias("kind"), F.col("start").cast("long").alias("whole"), whole)
     last = edges.sparkSession.range(1).select(F.lit(0).alias("section"), F.lit(n).cast("long").alias("place"), F.lit(0).cast("long").alias("minor"), F.lit("u8").alias("kind"), F.lit(m).cast("long").alias("whole"), whole)
@@ -167,11 +170,19 @@ def write_adjacency_text(edges: DataFrame, path: str) -> None:
     adjacency_lines(edges).orderBy("section", "place", "minor").select("value").write.text(path)
 
 
-def read_vertex_order(spark: SparkSession, path: str) -> DataFrame:
-    """``old_id, new_id`` of a text file: lines of one number are its head, lines of two its map."""
-    fields = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") == 2)
+def read_vertex_order(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """``old_id, new_id`` of a text file: its first two lines are the sizes, all others its map.
+
+    Raises unless the map is a permutation of as many ids as the head says, and of ``n`` if that is given.
+    """
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f"))
+    head = [int(r.f[0]) for r in lines.limit(2).collect() if len(r.f) == 1]
+    fields = lines.where(F.size("f") == 2)
     ids = fields.select(F.col("f")[0].cast("long").alias("old_id"), F.col("f")[1].cast("long").alias("new_id"))
     check_permutation(ids)
+    found = ids.count()
+    if len(head) != 2 or found != head[0] or n not in (None, found):
+        raise ValueError(f"a map of {found} vertices; its head says {head[0] if head else 'nothing'}" + (f", the graph has {n}" if n is not None else ""))
     return ids
 
 
@@ -214,6 +225,16 @@ def write_block_edges(edges: DataFrame, index: DataFrame, edge_path: str, index_
     rows.orderBy("block").select(F.col("end").cast("string").alias("value")).write.text(index_path)
 
 
+def hilbert_edge_lines(ranked: DataFrame) -> DataFrame:
+    """``rank, value``: the line ``src dst rank`` of each edge in its order along the curve."""
+    return ranked.select("rank", F.concat_ws(" ", *(F.col(c).cast("string") for c in ("src", "dst", "rank"))).alias("value"))
+
+
+def write_hilbert_edges(ranked: DataFrame, path: str) -> None:
+    """Edges with their ranks along the curve, in that order."""
+    hilbert_edge_lines(ranked).orderBy("rank").select("value").write.text(path)
+
+
 def shown_edges(edges: DataFrame) -> DataFrame:
     """Edges as ``#h (src, dst)``."""
     return edges.select(F.format_string("#%d (%d, %d)", "h", "src", "dst").alias("value"))
