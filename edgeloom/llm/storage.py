@@ -17,6 +17,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.folder, self.n = spark, new_folder(spark, label), 0
+        self.paths: dict[int, str] = {}
+        self.tables: list[DataFrame] = []
 
     def __enter__(self) -> Scratch:
         return self
@@ -24,12 +26,17 @@ class Scratch:
     def __exit__(self, *_) -> None:
         self.drop(self.folder)
 
-    def cut(self, frame: DataFrame) -> DataFrame:
-        """Write ``frame`` and read it back: its lineage ends there."""
+    def cut(self, frame: DataFrame, *done: DataFrame) -> DataFrame:
+        """Write ``frame`` and read it back: its lineage ends there. Of ``done``, tables that nothing later reads, the files go."""
         self.n += 1
         path = f"{self.folder}/{self.n:03d}"
         frame.write.parquet(path)
-        return self.spark.read.schema(frame.schema).parquet(path)
+        for table in done:
+            self.drop(self.paths.pop(id(table)))
+        table = self.spark.read.schema(frame.schema).parquet(path)
+        self.paths[id(table)] = path
+        self.tables.append(table)  # so that no other table gets its id
+        return table
 
     def drop_before(self, keep: int) -> None:
         """Delete the tables before the last ``keep``."""

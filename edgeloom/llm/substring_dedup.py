@@ -153,10 +153,10 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(split, "digest binary, key long, at int, l0 int, l1 int, left binary, right binary")
 
 
-def _shared(rows: DataFrame, at: str, *by: str) -> DataFrame:
-    """The values of ``by`` that occur at two places or more; what several tasks found in copies of a text is one place."""
-    place = F.xxhash64("digest", at)
-    return rows.groupBy(*by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(*by)
+def _shared(found: DataFrame, by: str) -> DataFrame:
+    """The values of ``by`` of runs at two places or more; what several tasks found in copies of a text is one place."""
+    place = F.xxhash64("digest", "pf")
+    return found.groupBy(by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(by)
 
 
 def _spans(found: DataFrame, texts, length: int, cut) -> DataFrame:
@@ -165,22 +165,28 @@ def _spans(found: DataFrame, texts, length: int, cut) -> DataFrame:
     ``found``: all runs; ``texts(digests)`` gives the texts with these digests.
     """
     found = cut(found)
-    shared = cut(_shared(found, "pf", "bucket"))
-    found = cut(found.join(shared, "bucket"))
+    shared = cut(_shared(found, "bucket"))
+    found = cut(found.join(shared, "bucket"), found, shared)
+    place = F.xxhash64("digest", "pf")
     one = F.min(F.struct("digest", "pf", "w", "d")).alias("one")
-    kinds = cut(found.groupBy("bucket", "ctx").agg(one, F.min(F.xxhash64("digest", "pf")).alias("lo"), F.max(F.xxhash64("digest", "pf")).alias("hi")))
+    kinds = cut(found.groupBy("bucket", "ctx").agg(one, F.min(place).alias("lo"), F.max(place).alias("hi")))
     agreed = found.join(kinds.where("lo < hi").select("bucket", "ctx"), ["bucket", "ctx"]).select("digest", "pf", "w")
+    agreed, own = cut(agreed), found.select("digest").distinct()
     differing = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
     needs = kinds.join(differing, "bucket").select("one.*")
-    needs = needs.groupBy("digest").agg(F.collect_list(F.struct("pf", "w", "d")).alias("needs"))  # at most a text's windows
-    texts = texts(found.select("digest").distinct())
-    blocks = cut(_blocks(texts.join(needs, "digest").select("digest", "text", "needs"), length))
-    # the window with l bytes left of the shared ones has BLOCK - 1 - l right of them
-    windows = blocks.join(_shared(blocks, "at", "key"), "key").withColumn("l", F.explode(F.sequence("l0", "l1")))
+    needs = cut(needs.groupBy("digest").agg(F.collect_list(F.struct("pf", "w", "d")).alias("needs")), kinds)  # at most a text's windows
+    blocks = _blocks(texts(own).join(needs, "digest").select("digest", "text", "needs"), length)
+    blocks = cut(blocks.withColumn("id", F.monotonically_increasing_id()), found, needs)
+    # a text is there once, so each window is one row; that with l bytes left of the shared ones has BLOCK - 1 - l right of them
+    twice = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    windows = blocks.join(twice, "key").withColumn("l", F.explode(F.sequence("l0", "l1")))
     beside = F.xxhash64(F.expr("substring(left, length(left) - l + 1, l)"), F.expr(f"substring(right, 1, {BLOCK - 1} - l)"))
-    windows = cut(windows.select("digest", (F.col("at") - F.col("l")).alias("pf"), "key", beside.alias("beside")))
-    single = windows.join(_shared(windows, "pf", "key", "beside"), ["key", "beside"]).select("digest", "pf", F.lit(1).alias("w"))
-    return cut(agreed.unionByName(single).groupBy("digest").agg(F.collect_set(F.struct("pf", "w")).alias("spans")))
+    windows = cut(windows.select("key", beside.alias("beside"), "id", F.col("l").cast("byte").alias("l")))
+    twice = windows.groupBy("key", "beside").agg(F.count("*").alias("n")).where("n > 1").select("key", "beside")
+    single = cut(windows.join(twice, ["key", "beside"]).groupBy("id").agg(F.collect_list("l").alias("ls")), windows)  # BLOCK at most
+    single = blocks.join(single, "id").select("digest", "at", F.explode("ls").alias("l"))
+    spans = agreed.unionByName(single.select("digest", (F.col("at") - F.col("l")).alias("pf"), F.lit(1).alias("w")))
+    return cut(spans.groupBy("digest").agg(F.collect_set(F.struct("pf", "w")).alias("spans")), agreed, blocks)
 
 
 def repeated_spans(texts: DataFrame, levels: tuple[int, ...] = (LENGTH,)) -> DataFrame:
