@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDERS = (4, 5, 6)
@@ -156,14 +156,13 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 
 def _sampled(rows: DataFrame, totals: dict[int, int], fit_rows: int) -> DataFrame:
     """``text, toxic`` of at most ``fit_rows`` different texts of each class: those of the smallest hashes, so always the same."""
-    parts = []
-    for toxic, n in sorted(totals.items()):
-        own = rows.where(F.col("toxic") == toxic).withColumn("h", F.xxhash64("text"))
-        if n > 2 * fit_rows:  # most rows can't be among the smallest
-            own = own.where(F.pmod("h", F.lit(1_000_000)) < 1_000_000 * 2 * fit_rows / n)
-        once = own.groupBy("h").agg(F.first("text").alias("text"))
-        parts.append(once.orderBy(F.pmod("h", F.lit(1_000_000)), "h").limit(fit_rows).select("text", F.lit(toxic).alias("toxic")))
-    return parts[0].unionByName(parts[1]).repartition(8)
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("order", F.pmod("h", F.lit(1_000_000)))
+    few = F.lit(False)  # most rows can't be among the smallest
+    for toxic, n in totals.items():
+        few = few | ((F.col("toxic") == toxic) & (F.col("order") < 1_000_000 * 2 * fit_rows / n))
+    once = rows.where(few).groupBy("toxic", "order", "h").agg(F.first("text").alias("text"))  # about twice fit_rows a class
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("order", "h"))
+    return once.withColumn("place", place).where(F.col("place") <= fit_rows).select("text", "toxic").repartition(8)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
