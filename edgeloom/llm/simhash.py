@@ -14,7 +14,8 @@ RADIUS share a variant, and all sharing one are within RADIUS, so they link to t
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; repeated rows
 share their fingerprint and component; a null ``doc_id`` is kept and never is a component's name unless all
-its members are null; an empty table gives no rows; other columns are ignored.
+its members are null; an empty table gives no rows; a text of any length is hashed whole, in steps of 65,536 shingles;
+other columns, of any name, are ignored, and ``keep_one`` keeps them.
 """
 
 from __future__ import annotations
