@@ -42,8 +42,9 @@ from edgeloom.llm import storage
 from edgeloom.llm.windows import pair, q_buckets, refined, runs
 
 LENGTH = 400
-#: Bytes of a passage of 50 short words; the op5 query tells how much of a document is in such.
-PASSAGE = 200
+#: A passage has over so many words, at four bytes each or more, or LENGTH bytes.
+PASSAGE_WORDS = 50
+PASSAGE = 4 * PASSAGE_WORDS
 BLOCK = 16
 #: Windows that are looked at together.
 SEGMENT = 1 << 20
@@ -238,11 +239,20 @@ def merged(spans: pa.ListScalar, copies: int | None, size: int, length: int) ->
     return list(zip(begins.tolist(), ends.tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False, passage: int | None = None) -> DataFrame:
+def is_passage(data: bytes, begin: int, end: int) -> bool:
+    """Whether a span has LENGTH bytes or over PASSAGE_WORDS whole words; words are parted by ASCII white space."""
+    n = len(data[begin:end].split())
+    for at in (begin, end):  # a word that the span cuts doesn't count
+        n -= 0 < at < len(data) and not data[at - 1 : at].isspace() and not data[at : at + 1].isspace()
+    return end - begin >= LENGTH or n > PASSAGE_WORDS
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool = False, passage: int | None = None, passages_only: bool = False) -> DataFrame:
     """``doc`` (all input columns but the text), ``kept`` (bytes), ``n_bytes, n_removed, n_spans`` for every row.
 
-    ``whole_characters`` keeps the rest of a character that a span cuts, so ``kept`` is valid UTF-8. ``passage``, a
-    shorter length, adds ``n_passage``: the bytes in strings of that length that also start elsewhere; they stay.
+    ``whole_characters`` keeps the rest of a character that a span cuts, so ``kept`` is valid UTF-8. ``passages_only``
+    removes only maximal runs that ``is_passage`` accepts. ``passage``, a shorter length, adds ``n_passage``: the bytes
+    of such runs of strings of that length that also start elsewhere; they stay.
     """
     levels = (passage, length) if passage else (length,)
     if any(n % 4 or n <= 4 * BLOCK for n in levels) or sorted(levels) != list(levels):
@@ -267,7 +277,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
                     counts.append((len(data), 0, 0, 0))
                     continue
                 found = [merged(x[i], copies[i].as_py(), len(data), size) for x, size in zip(own, levels, strict=True)]
-                cut = found[-1]
+                if passage:
+                    found[0] = [span for span in found[0] if is_passage(data, *span)]
+                cut = [span for span in found[-1] if not passages_only or is_passage(data, *span)]
                 if whole_characters:
                     cut = [(_after(data, a), _before(data, b)) for a, b in cut]
                 parts, last = [], 0
