@@ -7,9 +7,9 @@ import os
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.shared import cut, new_folder, shared_root
+from edgeloom.shared import cut, drop, new_folder, shared_root
 
-__all__ = ["Scratch", "cut", "new_folder", "open_folder", "publish", "shared_root"]
+__all__ = ["Scratch", "cut", "drop", "new_folder", "open_folder", "publish", "shared_root"]
 
 
 class Scratch:
@@ -44,8 +44,7 @@ class Scratch:
             self.drop(f"{self.folder}/{n:03d}")
 
     def drop(self, path: str) -> None:
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        drop(self.spark, path)
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:

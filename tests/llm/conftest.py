@@ -19,7 +19,7 @@ def texts():
     passage = sentence(pick, 120)
     base = [sentence(pick, pick.randrange(30, 160)) for _ in range(30)]
     found = base + base[:3] + [base[4] + " ending"] + [f"{sentence(pick, 50)} {passage} {sentence(pick, 40)}" for _ in range(4)]
-    found += [None, "", "   \n\t", "one", "Äpfel ÉTÉ ñandú <|endoftext|> </s>[INST]", "word " * 300, sentence(pick, 6000)]
+    found += [None, "", "   \n\t", "one", "Äpfel ÉTÉ ñandú <|endoftext|> </s>[INST]", "word " * 300, sentence(pick, 20_000)]
     found += ["a\tb  c\n\n d", "x" * 900, "é" * 600, "\\ \\b \\. back"]
     return found
 

@@ -147,7 +147,12 @@ def test_few_pieces_are_packed_as_well_as_any():
 # repeated passages
 
 
-def plain_repeats(rows, length):
+def plain_passage(data, begin, end):
+    whole = [m for m in re.finditer(rb"[^\x20\x09-\x0d]+", data) if begin <= m.start() and m.end() <= end]
+    return end - begin >= 400 or len(whole) > 50
+
+
+def plain_repeats(rows, length, passages_only=False):
     seen, out = Counter(), []
     data = [(i, (t or "").encode()) for i, t in rows]
     for _, b in data:
@@ -157,8 +162,10 @@ def plain_repeats(rows, length):
         for p in range(len(b) - length + 1):
             if seen[b[p : p + length]] > 1:
                 gone[p : p + length] = True
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0]))) == 1)
-        out.append((i, bytes(np.frombuffer(b, np.uint8)[~gone]), int(gone.sum()), len(edges)))
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0])))).reshape(-1, 2).tolist()
+        spans = [(x, y) for x, y in edges if not passages_only or plain_passage(b, x, y)]
+        kept = b"".join(b[x:y] for x, y in zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), len(b)]))
+        out.append((i, kept, sum(y - x for x, y in spans), len(spans)))
     return out
 
 
@@ -168,21 +175,21 @@ def test_repeats(docs, length, passage):
     rows = doc_rows(docs)
     same([(r.doc.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in found.collect()], plain_repeats(rows, length))
     if passage:
-        same([(r.doc.doc_id, r.n_passage) for r in found.collect()], [(i, n) for i, _, n, _ in plain_repeats(rows, passage)])
+        same([(r.doc.doc_id, r.n_passage) for r in found.collect()], [(i, n) for i, _, n, _ in plain_repeats(rows, passage, True)])
 
 
 def test_short_passages(spark):
-    """Passages of over 50 words and under 400 bytes, in documents that are otherwise of their own."""
+    """Passages of over 50 words and under 400 bytes, and shorter ones, in documents that are otherwise of their own."""
     import random
 
     from tests.llm.conftest import sentence
 
     pick = random.Random(3)
-    passages = [sentence(pick, 52) for _ in range(3)]
-    rows = [(i, f"{sentence(pick, 30 + i)} {passages[i % 3]} {sentence(pick, 40)}") for i in range(12)] + [(100 + i, sentence(pick, 120)) for i in range(12)]
+    passages, shorter = [sentence(pick, 51) for _ in range(3)], [sentence(pick, 49) for _ in range(3)]
+    rows = [(i, f"{sentence(pick, 30 + i)}. {passages[i % 3]} . {sentence(pick, 40)}") for i in range(12)] + [(100 + i, f"{sentence(pick, 120)}. {shorter[i % 3]} .") for i in range(12)]
     assert all(250 < len(p) < 400 for p in passages)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    short = {r.doc.doc_id: bytes(r.kept).decode() for r in substring_dedup.remove_repeats(frame, substring_dedup.PASSAGE).collect()}
+    short = {r.doc.doc_id: bytes(r.kept).decode() for r in substring_dedup.remove_repeats(frame, substring_dedup.PASSAGE, passages_only=True).collect()}
     assert not any(p in short[i] for p in passages for i in range(12)) and all(short[i] == t for i, t in rows if i >= 100)
     both = {r.doc.doc_id: (r.n_removed, r.n_passage) for r in substring_dedup.remove_repeats(frame, passage=substring_dedup.PASSAGE).collect()}
     assert all(both[i][0] == 0 and both[i][1] >= len(passages[i % 3]) for i in range(12)) and all(both[i] == (0, 0) for i in range(100, 112))
@@ -202,7 +209,7 @@ def test_repeats_of_near_copies_and_segments(spark, monkeypatch):
     rows += [(100, "abc" * 200), (101, "q" * 300), (102, "abc" * 90)]
     found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 200, passage=80)
     same([(r.doc.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in found.collect()], plain_repeats(rows, 200))
-    same([(r.doc.doc_id, r.n_passage) for r in found.collect()], [(i, n) for i, _, n, _ in plain_repeats(rows, 80)])
+    same([(r.doc.doc_id, r.n_passage) for r in found.collect()], [(i, n) for i, _, n, _ in plain_repeats(rows, 80, True)])
 
 
 def test_repeats_whole_characters(spark):
@@ -635,6 +642,18 @@ def test_warc_repeated_rows(spark, partitions, broadcast):
     assert found == {(5, "response", None): 1, (5, "revisit", 5): 41, (4, "revisit", 5): 1, (9, "response", None): 1, (9, "revisit", 9): 1, (None, "response", None): 1, (None, "revisit", None): 1}
 
 
+def test_very_long_values(spark):
+    html, url, text = "<p>é</p>" * 400_000, "http://a.example.com/" + "x/" * 60_000, "</s>word " * 80_000
+    pages = spark.createDataFrame([(1, url, html, "h"), (2, url, html, "h"), (3, None, "", "h")], "page_id long, url string, html string, host string")
+    found = {r.page_id: r for r in warc.archive_records(pages).collect()}
+    assert found[2].payload_bytes == len(html.encode()) and (found[1].record_type, found[1].refers_to) == ("revisit", 2)
+    judged = {r.page_id: r for r in url_filter.judge(pages, spark.createDataFrame([], "page_id long, good int")).collect()}
+    assert judged[1].path == url[20:] and judged[3].host == "" and judged[1].host == "a.example.com"
+    rows = spark.createDataFrame([(1, 0, "user", text, "p"), (1, 1, "assistant", text, "p")], "conv_id long, turn long, role string, text string, piece string")
+    one = chat.chat_digests(chat.format_chats(rows.withColumn("parts", chat.text_part(rows.text)))).first()
+    assert one.loss_chars == len(text) and one.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_warc_selected_and_small(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "same" if i % 2 else f"page {i}") for i in range(40)], "page_id long, url string, html string")
     folder = storage.new_folder(spark, "w")

@@ -1,5 +1,6 @@
 """The pipeline's result against its stages done plainly, and the guard of the entry module."""
 
+import pathlib
 import random
 import subprocess
 import sys
@@ -21,7 +22,7 @@ def plain_run(rows, items):
     for i, p in prints.items():
         least[group[p]] = min(i, least.get(group[p], i))
     rows = [(i, t) for i, t in rows if least[group[prints[i]]] == i]
-    rows = [(i, kept.decode()) for i, kept, _, _ in plain_repeats(rows, 200)]
+    rows = [(i, kept.decode()) for i, kept, _, _ in plain_repeats(rows, 200, True)]
     windows = {tuple(w[p : p + 10]) for w in map(plain_words, items) for p in range(len(w) - 9)}
     hit = lambda w: any(tuple(w[p : p + 10]) in windows for p in range(len(w) - 9))
     return [(i, t) for i, t in rows if not hit(plain_words(t))]
@@ -47,6 +48,24 @@ def test_run(spark, tmp_path):
     assert len(want) < len(texts) - 10 and max(sequences.values()) <= 1024
 
 
+def test_run_of_an_empty_table(spark, docs, tmp_path):
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_leaves_its_last_table_only(spark, docs, tmp_path):
+    from edgeloom import shared
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    root = pathlib.Path(shared.shared_root(spark).removeprefix("file://"))
+    before = {p.name for p in root.iterdir()} if root.exists() else set()
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    left = sorted(p.name.split("-")[1] for p in root.iterdir() if p.name not in before)
+    assert left == ["counts", "decontamination", "pieces"]
+
+
 def test_stages_keep_columns(spark, docs, tmp_path):
     spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     frame = docs.drop("words")

@@ -79,7 +79,7 @@ def test_op4(spark, rows):
 
 def test_op5(spark, rows):
     wanted = {i: (len((t or "").encode()), n, k, hashlib.sha256(kept).hexdigest()) for (i, t), (_, kept, n, k) in zip(rows, plain_repeats(rows, 400))}
-    passages = {i: n for i, _, n, _ in plain_repeats(rows, 200)}
+    passages = {i: n for i, _, n, _ in plain_repeats(rows, 200, True)}
     out = found(spark, "op5_substring_dedup")
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == wanted and {r.doc_id: r.n_passage for r in out} == passages
 
