@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_MADE: list[list[str]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,9 +34,30 @@ def new_folder(spark: SparkSession, label: str) -> str:
     path = f"{shared_root(spark)}/edgeloom-{label}-{uuid.uuid4().hex}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    for made in _MADE:
+        made.append(path)
     return path
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder under the shared root."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def dropped_at_end(spark: SparkSession) -> Iterator[None]:
+    """What is made under the shared root inside this block goes when the block ends: its result must be stored elsewhere."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.pop()
+        for path in made:
+            drop(spark, path)
+
+
 def cut(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` as Parquet into the shared folder and read it back.
 
@@ -45,13 +69,23 @@ def cut(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def bucketed(frame: DataFrame, label: str, buckets: int, by: str) -> DataFrame:
-    """Write ``frame`` into the shared folder in buckets by ``by``, and read it so: joins and groups on that key don't move it.
+@contextmanager
+def bucketed(spark: SparkSession) -> Iterator[Callable[[DataFrame, str, int, str], DataFrame]]:
+    """``store(frame, label, buckets, by)`` writes a table in buckets by ``by`` and reads it so: joins and groups on that key don't move it.
 
-    One task writes a bucket, so there are as many files as buckets.
+    One task writes a bucket, so there are as many files as buckets. The tables go when the block ends.
     """
-    spark = frame.sparkSession
-    name = f"edgeloom_{label}_{uuid.uuid4().hex}"
-    dealt = frame.repartition(buckets, by)
-    dealt.write.bucketBy(buckets, by).sortBy(by).option("path", new_folder(spark, label)).saveAsTable(name)
-    return spark.table(name)
+    made: list[tuple[str, str]] = []
+
+    def store(frame: DataFrame, label: str, buckets: int, by: str) -> DataFrame:
+        name, path = f"edgeloom_{label}_{uuid.uuid4().hex}", new_folder(spark, label)
+        made.append((name, path))
+        frame.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+        return spark.table(name)
+
+    try:
+        yield store
+    finally:
+        for name, path in made:
+            spark.sql(f"drop table if exists {name}")
+            drop(spark, path)
