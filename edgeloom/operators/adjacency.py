@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.operators.canonical import endpoints, numbered
+from edgeloom.operators.canonical import numbered
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -45,12 +45,8 @@ def offsets(edges: DataFrame, incoming: bool = False) -> DataFrame:
 
 def all_offsets(edges: DataFrame, incoming: bool = False) -> DataFrame:
     """``offsets`` with vertices that have no such edges, which start where the next one starts."""
-    key, _ = _sides(incoming)
-    ends = endpoints(edges).select("id", F.lit(None).cast("long").alias("neighbour"))
-    own = edges.select(F.col(key).alias("id"), F.lit(1).alias("one"))
-    counts = own.groupBy("id").agg(F.count("*").alias("degree"))
-    rows = ends.join(counts, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
-    return running_total(rows, "id", "degree", "start")
+    own = degrees(edges).select("id", F.col("in_deg" if incoming else "out_deg").alias("degree"))
+    return running_total(own, "id", "degree", "start")
 
 
 def running_total(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:

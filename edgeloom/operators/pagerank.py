@@ -22,23 +22,22 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = DAMPING) -> Dat
     """
     spark = edges.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    edges = bucketed(edges.select("src", "dst"), "edges", buckets, "src")
-    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_deg"))
-    heads = edges.select(F.col("dst").alias("id")).distinct()
-    vertices = bucketed(heads.join(out, "id", "full"), "vertices", buckets, "id")
-    n = vertices.count()
-    if iterations <= 0 or not n:
-        return vertices.select("id", F.lit(0.0).alias("score"))
-    base = (1 - damping) / n
-    state = vertices.select("id", "out_deg", F.lit(base).alias("score"))  # the first round: nothing has come yet
-    for done in range(1, iterations):
-        given = state.where("out_deg > 0").select(F.col("id").alias("src"), (F.col("score") / F.col("out_deg")).alias("given"))
-        came = edges.join(given, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("given").alias("came"))
-        score = F.lit(base) + F.lit(damping) * F.coalesce("came", F.lit(0.0))
-        state = vertices.join(came, "id", "left").select("id", "out_deg", score.alias("score"))
-        if done % CUT_EVERY == 0 and done < iterations - 1:
-            state = cut(state, "scores")
-    return state.select("id", "score")
+    with bucketed(spark) as store:
+        edges = store(edges.select("src", "dst"), "edges", buckets, "src")
+        out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_deg"))
+        heads = edges.select(F.col("dst").alias("id")).distinct()
+        vertices = store(heads.join(out, "id", "full"), "vertices", buckets, "id")
+        n = vertices.count()
+        base = (1 - damping) / n if n and iterations > 0 else 0.0
+        state = vertices.select("id", "out_deg", F.lit(base).alias("score"))  # the first round: nothing has come yet
+        for done in range(1, iterations if n else 1):
+            given = state.where("out_deg > 0").select(F.col("id").alias("src"), (F.col("score") / F.col("out_deg")).alias("given"))
+            came = edges.join(given, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("given").alias("came"))
+            score = F.lit(base) + F.lit(damping) * F.coalesce("came", F.lit(0.0))
+            state = vertices.join(came, "id", "left").select("id", "out_deg", score.alias("score"))
+            if done % CUT_EVERY == 0 and done < iterations - 1:
+                state = cut(state, "scores")
+        return cut(state.select("id", "score"), "scores")
 
 
 def scores_differ(scores: DataFrame, ids: DataFrame, truth: DataFrame, tolerance: float = 1e-4) -> DataFrame:
