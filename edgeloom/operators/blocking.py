@@ -20,7 +20,7 @@ from edgeloom.operators.ordering import with_hilbert
 
 MIN_DEPTH = 5
 #: Places that one window partition has at least; it has eight times ``most`` if that is more.
-PART = 500_000
+PART = 50_000
 
 
 def check_most_edges(m: int, most: int) -> None:

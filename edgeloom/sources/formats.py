@@ -171,18 +171,18 @@ def write_adjacency_text(edges: DataFrame, path: str) -> None:
 
 
 def read_vertex_order(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """``old_id, new_id`` of a text file: its first two lines are the sizes, all others its map.
+    """``old_id, new_id`` of a text file: two lines of one number are its head, the sizes, and lines of two its map.
 
     Raises unless the map is a permutation of as many ids as the head says, and of ``n`` if that is given.
     """
     lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("f"))
-    head = [int(r.f[0]) for r in lines.limit(2).collect() if len(r.f) == 1]
+    head = [int(r.f[0]) for r in lines.where((F.size("f") == 1) & (F.col("f")[0] != "")).limit(3).collect()]
     fields = lines.where(F.size("f") == 2)
     ids = fields.select(F.col("f")[0].cast("long").alias("old_id"), F.col("f")[1].cast("long").alias("new_id"))
     check_permutation(ids)
     found = ids.count()
-    if len(head) != 2 or found != head[0] or n not in (None, found):
-        raise ValueError(f"a map of {found} vertices; its head says {head[0] if head else 'nothing'}" + (f", the graph has {n}" if n is not None else ""))
+    if len(head) != 2 or found not in head or n not in (None, found):
+        raise ValueError(f"a map of {found} vertices; its head says {' and '.join(map(str, sorted(head))) or 'nothing'}" + (f", the graph has {n}" if n is not None else ""))
     return ids
 
 

@@ -138,3 +138,4 @@ def test_pagerank(spark, graph):
     ids = spark.createDataFrame([(i, (i + 2) % 5) for i in range(5)], "old_id long, new_id long")
     assert scores_differ(pagerank(canonical.relabel(graph, ids), 10), ids, ten).count() == 0
     assert scores_differ(pagerank(graph, 2), ids, ten).count() > 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("edgeloom")]
