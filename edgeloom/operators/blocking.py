@@ -67,7 +67,7 @@ def settle(keyed: DataFrame, order: int, most: int) -> DataFrame:
 
 def block_of_edges(edges: DataFrame, order: int, most: int) -> DataFrame:
     """Edges with ``h``, their ``place`` along the curve, the ``depth`` of their block and its ``prefix``."""
-    return settle(with_hilbert(edges, order), order, most)
+    return settle(with_hilbert(edges, order, batches=True), order, most)
 
 
 def blocks(assigned: DataFrame, order: int) -> DataFrame:

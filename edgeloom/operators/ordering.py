@@ -49,7 +49,7 @@ def with_hilbert(edges: DataFrame, order: int, batches: bool = False) -> DataFra
 
 def hilbert_ranks(edges: DataFrame, order: int) -> DataFrame:
     """Edges with ``h`` and their place along the curve."""
-    return numbered(with_hilbert(edges, order), "h", name="rank")
+    return numbered(with_hilbert(edges, order, batches=True), "h", name="rank")
 
 
 def cluster_by_hilbert(edges: DataFrame, order: int, files: int) -> DataFrame:

@@ -16,17 +16,16 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = DAMPING) -> Dat
     """``id, score``: no convergence test, no share for dangling vertices, no normalisation.
 
     A round: edges meet their source's contribution, sums go to destinations, and vertices without incoming
-    edges get the base. Edges are stored in buckets by source and vertices by id, once, so that a round shuffles
-    contributions and sums, never edges; sums are partial before the shuffle, so a vertex that a third of all edges
+    edges get the base. Edges are stored in buckets by source, once, so that a round shuffles contributions, sums and
+    vertices, never edges; sums are partial before the shuffle, so a vertex that a third of all edges
     enter is a row a task.
     """
     spark = edges.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     with bucketed(spark) as store:
         edges = store(edges.select("src", "dst"), "edges", buckets, "src")
-        out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_deg"))
-        heads = edges.select(F.col("dst").alias("id")).distinct()
-        vertices = store(heads.join(out, "id", "full"), "vertices", buckets, "id")
+        ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))).alias("e"))
+        vertices = cut(ends.groupBy("e.id").agg(F.sum("e.out").alias("out_deg")), "vertices")
         n = vertices.count()
         base = (1 - damping) / n if n and iterations > 0 else 0.0
         state = vertices.select("id", "out_deg", F.lit(base).alias("score"))  # the first round: nothing has come yet
