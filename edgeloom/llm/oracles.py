@@ -56,5 +56,55 @@ select page_id, strlen(html)::bigint payload_bytes, {base32} payload_digest, cas
  case when page_id <> keeper then keeper end refers_to from p join k using (hex)"""
 
 
+def _whole_vectors(scale: int, where: str = "true") -> str:
+    """K(r, vec_id, label, v): usable vectors as whole numbers."""
+    usable = "embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0"
+    return f"""K as materialized (select row_number() over () r, vec_id, label, [floor({scale} * x::double)::bigint for x in embedding] v
+ from embeddings where {usable} and {where})"""
+
+
+_FLOORED = "((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint"
+
+
+def vector_codes() -> str:
+    def assigned(t: int) -> str:
+        return f"""D{t} as (select r, p, e, sum((x - c) * (x - c))::bigint d from X join C{t} using (p, i) group by all),
+ A{t} as materialized (select r, p, min(d * 64 + e) // 64 d, (min(d * 64 + e) % 64) e from D{t} group by all)"""
+
+    def moved(t: int) -> str:
+        return f"""M{t} as (select p, e, i, {_FLOORED} c from A{t} join X using (r, p) group by all),
+ C{t + 1} as materialized (select p, e, i, coalesce(M{t}.c, C{t}.c) c from C{t} left join M{t} using (p, e, i))"""
+
+    return f"""
+with {_whole_vectors(256)},
+ X as materialized (select r, (j - 1) * 16 // n p, (j - 1) % (n // 16) i, x from (select r, len(v) n, unnest(v) x, generate_subscripts(v, 1) j from K)),
+ S as (select r, row_number() over (order by vec_id) - 1 e from K order by vec_id limit 64),
+ C0 as materialized (select p, e, i, x c from X join S using (r)),
+ {assigned(0)}, {moved(0)}, {assigned(1)}, {moved(1)}, {assigned(2)},
+ R as (select r, string_agg(printf('%02x', e::int), '' order by p) code, sum(d)::bigint error from A2 group by 1),
+ H as (select sha256(string_agg(c::varchar, ',' order by p, e, i)) codebooks_sha256 from C2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint label_error, codebooks_sha256 from K join R using (r), H"""
+
+
+def centroids() -> str:
+    def assigned(t: int) -> str:
+        return f"""D{t} as (select r, k, sum((x - c) * (x - c))::bigint d from X join C{t} using (i) group by all),
+ A{t} as materialized (select r, min(d * 16 + k) // 16 d, (min(d * 16 + k) % 16) k from D{t} group by all)"""
+
+    def moved(t: int) -> str:
+        return f"""M{t} as (select k, i, {_FLOORED} c from A{t} join X using (r) group by all),
+ C{t + 1} as materialized (select k, i, coalesce(M{t}.c, C{t}.c) c from C{t} left join M{t} using (k, i))"""
+
+    return f"""
+with {_whole_vectors(64, "len(embedding) = 64")},
+ X as materialized (select r, unnest(v) x, generate_subscripts(v, 1) i from K),
+ S as (select r, row_number() over (order by sha256('1:' || vec_id)) - 1 k from K order by 2 limit 16),
+ C0 as materialized (select k, i, x c from X join S using (r)),
+ {assigned(0)}, {moved(0)}, {assigned(1)}, {moved(1)}, {assigned(2)}, {moved(2)}, {assigned(3)},
+ H as (select k, sha256(string_agg(c::varchar, ',' order by i)) centroid_sha256 from C3 group by 1)
+select vec_id, A3.k::int as cluster, A3.d::bigint distance, (sum(d) over (partition by A3.k))::bigint cluster_inertia, (sum(d) over ())::bigint inertia, centroid_sha256
+from K join A3 using (r) join H using (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.oracle_sql(), "op3_decontaminate": contamination(), "op8_chat_format": chats(), "op9_warc": records()}
+    return {"op11_vector_codes": vector_codes(), "op12_centroids": centroids(), "op2_url_filter": url_filter.oracle_sql(), "op3_decontaminate": contamination(), "op8_chat_format": chats(), "op9_warc": records()}

@@ -5,11 +5,21 @@ from __future__ import annotations
 import os
 
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from edgeloom.shared import cut, drop, new_folder, shared_root
 
-__all__ = ["Scratch", "cut", "drop", "new_folder", "open_folder", "publish", "shared_root"]
+__all__ = ["Scratch", "cut", "drop", "new_folder", "open_folder", "publish", "shared_root", "small"]
+
+#: What a broadcast table may have, by the sum over its rows.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(frame: DataFrame, size: Column | None = None) -> DataFrame:
+    """Marked for broadcast if its rows have BROADCAST_BYTES at most; ``size`` is what a row has besides 32 bytes."""
+    total = frame.agg(F.sum(F.lit(32).cast("long") + (F.lit(0) if size is None else size)).alias("n")).first().n or 0
+    return F.broadcast(frame) if total <= BROADCAST_BYTES else frame
 
 
 class Scratch:
