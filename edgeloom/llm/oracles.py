@@ -106,5 +106,17 @@ select vec_id, A3.k::int as cluster, A3.d::bigint distance, (sum(d) over (partit
 from K join A3 using (r) join H using (k)"""
 
 
+def near_vectors() -> str:
+    usable = "label is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0"
+    return f"""
+with recursive T as materialized (select row_number() over () r, vec_id, label, embedding::double[] e, coalesce({usable}, false) usable from embeddings),
+ L as materialized (select a.r u, b.r v from T a join T b on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r
+  where a.usable and b.usable and list_cosine_similarity(a.e, b.e) >= 0.93),
+ G as (select r, vec_id m from T union select v, m from G join L on r = u),
+ C as (select r, min(m) component_id from G group by 1),
+ N as (select u r, count(*) n_links from L group by 1)
+select vec_id, coalesce(n_links, 0)::bigint n_links, component_id, vec_id = component_id kept from T join C using (r) left join N using (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": vector_codes(), "op12_centroids": centroids(), "op2_url_filter": url_filter.oracle_sql(), "op3_decontaminate": contamination(), "op8_chat_format": chats(), "op9_warc": records()}
+    return {"op13_embedding_dedup": near_vectors(), "op11_vector_codes": vector_codes(), "op12_centroids": centroids(), "op2_url_filter": url_filter.oracle_sql(), "op3_decontaminate": contamination(), "op8_chat_format": chats(), "op9_warc": records()}

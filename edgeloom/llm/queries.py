@@ -101,6 +101,12 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from edgeloom.llm.embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
