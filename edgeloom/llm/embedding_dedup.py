@@ -18,6 +18,8 @@ name, are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +30,8 @@ from edgeloom.llm.components import components
 from edgeloom.llm.cover_tree import MARGIN, Traversal, Tree, build, last_level, reach, units
 
 COSINE = 0.93
-#: Points that one tree has at most, and centres that a cell is split by.
-CELL = 4_096
+#: Points that one tree has at most, and centres that a cell is split by at most; it has about twice as many as it would fill.
+CELL = 8_192
 CENTRES = 32
 #: Splits of a cell; what is then still too large, such as countless multiples of one vector, is dealt by hash.
 MOST_SPLITS = 6
@@ -73,7 +75,36 @@ def _bytes(*names: str) -> Column:
     return sum((F.octet_length(n) for n in names), F.lit(0)).cast("long")
 
 
-def _split(points: DataFrame, cell: int, cut) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+def _to_centres(points: DataFrame, centres: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``points`` with the number ``i`` of the nearest of their node's ``centres`` and ``apart``, its distance; null where there are none.
+
+    Nodes' centres go to all tasks if they have ``broadcast_bytes`` at most; if not, they are joined and compared in the JVM.
+    """
+    size = 8 * F.size("centres") * F.size(F.get("centres", F.lit(0))) + _bytes("node")
+    if (centres.agg(F.sum(size).alias("n")).first().n or 0) > broadcast_bytes:
+        best = F.transform(F.array(_unit(F.col("e"))), lambda u: F.array_max(F.transform("centres", lambda c, i: F.struct(_dot(u, c).alias("dot"), (-i).alias("i")))))[0]
+        rows = points.join(centres, "node", "left").withColumn("best", F.when(F.col("centres").isNotNull(), best))
+        return rows.select(*points.columns, (-F.col("best.i")).alias("i"), _apart(F.col("best.dot")).alias("apart"))
+    shared = points.sparkSession.sparkContext.broadcast({r.node: np.array(r.centres) for r in centres.collect()})  # within the bound above
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, distances = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            table, nodes = pa.table(batch), batch.column("node").dictionary_encode()
+            for k, node in enumerate(nodes.dictionary.to_pylist()):
+                if node in shared.value:
+                    at = np.flatnonzero(np.asarray(nodes.indices) == k)
+                    dots = _matrix(table.take(at)) @ shared.value[node].T
+                    numbers[at] = dots.argmax(axis=1)
+                    distances[at] = np.sqrt(np.maximum(0, 2 - 2 * dots.max(axis=1)))
+            none = numbers < 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, mask=none), pa.array(distances, mask=none)], names=[*batch.schema.names, "i", "apart"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
+    return points.mapInArrow(compare, f"{kinds}, i int, apart double")
+
+
+def _split(points: DataFrame, cell: int, cut, broadcast_bytes: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     """``points(uid, e, n, node)`` in cells; the splits ``node, child, centre, radius, points, weight, uid`` a round; and roots that were split."""
     splits, roots = [], None
     points = points.withColumn("settled", F.lit(False))
@@ -82,22 +113,19 @@ def _split(points: DataFrame, cell: int, cut) -> tuple[DataFrame, list[DataFrame
         if large.isEmpty():
             break
         roots = large.select("node") if roots is None else roots
+        wanted = F.least(F.lit(CENTRES), F.ceil(2 * F.col("m") / cell))
         key = F.xxhash64(F.lit(len(splits)), "e")
-        share = 2.0**64 * 2 * CENTRES / F.col("m")  # about twice as many as are needed
+        share = 2.0**64 * (2 * wanted + 8) / F.col("m")  # over twice as many as are needed
         some = points.join(storage.small(large, _bytes("node")), "node").where(key.cast("double") + 2.0**63 < share)
         place = F.row_number().over(Window.partitionBy("node").orderBy("key", "uid"))
-        some = some.select("node", "e", "uid", key.alias("key")).withColumn("place", place).where(F.col("place") <= CENTRES)
-        centres = some.groupBy("node").agg(F.collect_list(_unit(F.col("e"))).alias("centres"))
-        centres = cut(centres)
-        joined = points.join(storage.small(centres, 8 * F.size("centres") * F.size(F.get("centres", F.lit(0)))), "node", "left")
-        measured = F.transform(F.array(_unit(F.col("e"))), lambda u: F.array_max(F.transform("centres", lambda c, i: F.struct(_dot(u, c).alias("dot"), i.alias("i")))))[0]
-        rows = joined.withColumn("best", F.when(F.col("centres").isNotNull(), measured))
-        child = F.concat_ws("/", F.col("best.i").cast("string"), "node")
-        rows = rows.select("uid", "e", "n", F.coalesce(F.when(F.col("best").isNotNull(), child), "node").alias("node"), F.col("best").isNull().alias("settled"),
-                           F.when(F.col("best").isNotNull(), F.col("node")).alias("above"), F.get("centres", F.col("best.i")).alias("centre"), _apart(F.col("best.dot")).alias("apart"))
-        rows = cut(rows)
-        moved = rows.where("above is not null").groupBy("above", "node")
-        splits.append(cut(moved.agg(F.first("centre").alias("centre"), F.max("apart").alias("radius"), F.count("*").alias("points"), F.sum("n").alias("weight"), F.min("uid").alias("uid")).withColumnsRenamed({"node": "child", "above": "node"})))
+        some = some.select("node", "e", "uid", "m", key.alias("key")).withColumn("place", place).where(F.col("place") <= wanted)
+        centres = cut(some.groupBy("node").agg(F.collect_list(_unit(F.col("e"))).alias("centres")))
+        child = F.when(F.col("i").isNotNull(), F.concat_ws("/", F.col("i").cast("string"), "node"))
+        compared = _to_centres(points, centres, broadcast_bytes)
+        rows = cut(compared.select("uid", "e", "n", F.coalesce(child, "node").alias("node"), F.col("i").isNull().alias("settled"), F.when(F.col("i").isNotNull(), F.col("node")).alias("above"), "i", "apart"))
+        cells = rows.where("above is not null").groupBy(F.col("above").alias("node"), F.col("node").alias("child"), "i")
+        cells = cells.agg(F.max("apart").alias("radius"), F.count("*").alias("points"), F.sum("n").alias("weight"), F.min("uid").alias("uid"))
+        splits.append(cut(cells.join(centres, "node").withColumn("centre", F.get("centres", F.col("i"))).drop("centres", "i")))
         points = rows.select("uid", "e", "n", "node", "settled")
     return points.drop("settled"), splits, roots
 
@@ -152,7 +180,6 @@ def _planted(points: DataFrame, cosine: float) -> DataFrame:
 
 def _matrix(table: pa.Table) -> np.ndarray:
     flat = table["e"].combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
     return units(np.asarray(flat.flatten(), dtype=np.float64).reshape(len(flat), -1))
 
 
@@ -199,7 +226,7 @@ def _throughout(whole: list[DataFrame], splits: list[DataFrame], points: DataFra
     return points.join(storage.small(totals, _bytes("node")), "node").select("uid", "links", "root"), edges
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, broadcast_bytes: int = storage.BROADCAST_BYTES) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, label)``."""
     if not 0 < cosine <= 1:
         raise ValueError("the cosine must be over 0, and 1 at most")
@@ -207,7 +234,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL) -
     with storage.Scratch(vectors.sparkSession, "vectors") as scratch:
         cut = scratch.cut
         classes = _classes(vectors, cut)
-        points, splits, roots = _split(classes.select("uid", "e", "n", "node"), cell, cut)
+        points, splits, roots = _split(classes.select("uid", "e", "n", "node"), cell, cut, broadcast_bytes)
         sizes = points.groupBy("node").agg(F.count("*").alias("size"))
         alone = sizes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("size").alias("size_a"), F.col("size").alias("size_b"))
         pairs, found, edges = alone, None, None

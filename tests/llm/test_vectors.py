@@ -158,15 +158,15 @@ def plain_links(rows, cosine):
     return [(r[0], links[i], least.get(root(i)), r[0] == least.get(root(i))) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("cell", [4_096, 12])
-@pytest.mark.parametrize("dims,groups,spread", [(3, 6, 0.15), (16, 40, 0.12), (8, 4, 0.01)])
-def test_near_vectors(spark, cell, dims, groups, spread):
+@pytest.mark.parametrize("cell,broadcast", [(4_096, 0), (12, 1 << 24), (12, 0)])
+@pytest.mark.parametrize("dims,groups,spread", [(3, 6, 0.15), (8, 4, 0.01)])
+def test_near_vectors(spark, cell, broadcast, dims, groups, spread):
     pick = random.Random(dims)
     rows = clustered_vectors(pick, 260, dims, groups, spread, (1, 1, 1, 2, None))
     rows += [(500 + i, v, 1) for i, v in enumerate(odd_vectors(dims, pick))]
     rows += [(600 + i, rows[2][1], 1) for i in range(30)] + [rows[5], rows[5], (None, rows[6][1], 2), (None, [9.0] * dims, 7)]
     pick.shuffle(rows)
-    found = embedding_dedup.near_vectors(frame(spark, rows), cell=cell).collect()
+    found = embedding_dedup.near_vectors(frame(spark, rows), cell=cell, broadcast_bytes=broadcast).collect()
     assert sorted(map(tuple, found), key=str) == sorted(plain_links(rows, 0.93), key=str)
 
 
