@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.curves import hilbert_key_classic, morton_key
-from edgeloom.operators import adjacency, blocking, canonical, ordering
-from edgeloom.operators.pagerank import pagerank
+from edgeloom.operators import adjacency, blocking, canonical, components, ordering
+from edgeloom.operators.pagerank import pagerank, pagerank_blocks
 from edgeloom.plans import flows
 from edgeloom.shared import cut
 from edgeloom.sources import edges as sources
@@ -27,6 +27,7 @@ _RAW = {
     "cust_part": "select o_custkey src, l_partkey dst from lineitem join orders on l_orderkey = o_orderkey",
     "cust_supp": "select o_custkey src, l_suppkey dst from lineitem join orders on l_orderkey = o_orderkey",
     "part_supp_bipartite": "select l_partkey src, l_suppkey + n1 dst from lineitem, (select max(l_partkey) + 1 n1 from lineitem)",
+    "order_customer": "select o_orderkey + n1 src, o_custkey dst from orders, (select max(o_custkey) + 1 n1 from orders)",
     "order_part": "select l_orderkey src, l_partkey dst from lineitem",
 }
 _ENDS = "V as (select src id from E union select dst from E)"
@@ -273,6 +274,11 @@ def pagerank_10(edges):
     return pagerank(edges, 10).select("id", F.round("score", 9).alias("score"))
 
 
+@query("pagerank_blocks", "user_next", "select id, round(score, 9) score from P10", _rounds(10))
+def pagerank_by_blocks(edges):
+    return pagerank_blocks(edges, 10).select("id", F.round("score", 9).alias("score"))
+
+
 @query("pagerank_dangling", "cust_part", "select id, round(score, 9) score from P4", _rounds(4))
 def pagerank_dangling(edges):
     return pagerank(edges, 4).select("id", F.round("score", 9).alias("score"))
@@ -285,6 +291,34 @@ def pagerank_relabelled(edges):
     return scores.join(ids, F.col("id") == F.col("new_id")).select(F.col("old_id").alias("id"), F.round("score", 9).alias("score"))
 
 
+#: Labels by the smallest id in reach, R(id, component): a walk that keeps a vertex's every smaller label once.
+_REACH = f"""{_ENDS}, U as materialized (select src a, dst b from E union select dst, src from E),
+ T as (select id, id label from V union select b, label from T join U on a = id where b > label),
+ R as materialized (select id, min(label) component from T group by 1)"""
+
+
+@query("components", "order_customer", "select id, component from R", _REACH)
+def connected(edges):
+    return components.components(edges)
+
+
+@query("components_dense", "user_next", "select id, component from R", _REACH)
+def connected_dense(edges):
+    return components.components(edges)
+
+
+@query("component_sizes", "order_customer", "select component, count(*) n from R group by 1", _REACH)
+def component_sizes(edges):
+    return components.value_counts(components.components(edges))
+
+
+@query("component_sizes_compared", "order_customer", "select n as size, count(*) found, count(*) truth from (select count(*) n from R group by component) group by 1", _REACH)
+def component_sizes_compared(edges):
+    """Sizes of the components against those of the same graph under other ids."""
+    ids = cut(ordering.degree_order(edges), "order")
+    return components.compared(components.components(canonical.relabel(edges, ids)), components.components(edges))
+
+
 @query("edge_lines", "user_next", "select concat(src, ' ', dst) as value from E")
 def edge_lines(edges):
     return sources.edge_lines(edges)

@@ -70,17 +70,17 @@ def cut(frame: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def bucketed(spark: SparkSession) -> Iterator[Callable[[DataFrame, str, int, str], DataFrame]]:
-    """``store(frame, label, buckets, by)`` writes a table in buckets by ``by`` and reads it so: joins and groups on that key don't move it.
+def bucketed(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """``store(frame, label, buckets, *by)`` writes a table in buckets by ``by`` and reads it so: joins and groups on those keys don't move it.
 
     One task writes a bucket, so there are as many files as buckets. The tables go when the block ends.
     """
     made: list[tuple[str, str]] = []
 
-    def store(frame: DataFrame, label: str, buckets: int, by: str) -> DataFrame:
+    def store(frame: DataFrame, label: str, buckets: int, *by: str) -> DataFrame:
         name, path = f"edgeloom_{label}_{uuid.uuid4().hex}", new_folder(spark, label)
         made.append((name, path))
-        frame.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+        frame.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
         return spark.table(name)
 
     try:

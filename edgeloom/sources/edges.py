@@ -94,6 +94,13 @@ def cust_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ordered(spark, sf_dir, "l_suppkey")
 
 
+def order_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each order to its customer, orders behind the customers in one id space: a component a customer."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
+    n1 = orders.agg(F.coalesce(F.max("dst") + 1, F.lit(0)).alias("n1")).first().n1
+    return orders.select((F.col("src") + n1).alias("src"), "dst")
+
+
 def order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lines.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
