@@ -7,9 +7,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the curve: for state s and bits (bx, by), field 2 * (4 * s + 2 * bx + by) of two bits.
-HILBERT_DIGITS = 506895540
-HILBERT_STATES = 3083492385
+# Fixed values of the curve: a row a state, for the bits (x, y) = 00, 01, 10, 11 the quadrant's place along the curve and
+# the state inside it.
+HILBERT = (
+    ((0, 1), (1, 0), (3, 2), (2, 0)),
+    ((0, 0), (3, 3), (1, 1), (2, 1)),
+    ((2, 2), (1, 2), (3, 0), (0, 3)),
+    ((2, 3), (3, 1), (1, 3), (0, 2)),
+)
+# The same, packed for shifts: for state s and bits (x, y), field 2 * (4 * s + 2 * x + y) of two bits.
+HILBERT_DIGITS, HILBERT_STATES = (sum(cell[i] << 2 * (4 * s + b) for s, row in enumerate(HILBERT) for b, cell in enumerate(row)) for i in (0, 1))
 # The masks that spread 21 bits to every third position, each with the shift before it.
 SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
 MORTON_BITS = 21
@@ -61,6 +68,15 @@ def hilbert_key(x: Column | str, y: Column | str, order: int) -> Column:
     return F.aggregate(F.sequence(F.lit(_order(order) - 1), F.lit(0), F.lit(-1)), start, step, lambda done: done["h"])
 
 
+def hilbert_index(x: int, y: int, order: int) -> int:
+    """The same of one cell, on the driver; of order 0 the whole grid is one cell."""
+    h = state = 0
+    for bit in range(order - 1, -1, -1):
+        digit, state = HILBERT[state][2 * (x >> bit & 1) + (y >> bit & 1)]
+        h = 4 * h + digit
+    return h
+
+
 def hilbert_key_batches(order: int):
     """The same as an Arrow batch function, quicker where the key is all that is computed: ``f(x, y)``."""
     _order(order)

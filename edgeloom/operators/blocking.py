@@ -17,6 +17,7 @@ from edgeloom.functions.curves import hilbert_key, power_of_two
 from edgeloom.operators.adjacency import running_total
 from edgeloom.operators.canonical import numbered
 from edgeloom.operators.ordering import with_hilbert
+from edgeloom.shared import cut
 
 MIN_DEPTH = 5
 #: Places that one window partition has at least; it has eight times ``most`` if that is more.
@@ -102,3 +103,38 @@ def block_index(blocks_: DataFrame) -> DataFrame:
 def block(edges: DataFrame, order: int, most: int) -> DataFrame:
     """Block metadata of a graph."""
     return blocks(block_of_edges(edges, order, most), order)
+
+
+def merge_blocks(blocks_: DataFrame, most: int) -> DataFrame:
+    """Neighbouring blocks merged greedily along the curve: ``segment, block, blocks, idx, nnz``.
+
+    From the first block on, a segment takes blocks while their edges stay under ``most``; ``block`` and ``idx`` are its
+    first block's. A block that alone has ``most`` edges or more is a segment. Where a segment that starts at a block would
+    end, is known from the running sums for every block at once: the ends that are smaller than its own bound come before it
+    in one sort. The starts that are really met from block 0 on are found by pointer doubling, so the rounds are
+    logarithmic in the segments and nothing is scanned in one task.
+    """
+    total = running_total(blocks_.select("idx", "nnz"), "idx", "nnz", "before")
+    placed = cut(numbered(total, "idx", name="block"), "blocks")
+    # the number of ends under before + most: the rows before a bound's that are not bounds, of which there are ``block``;
+    # at equal keys a bound comes first, as such an end is not under it
+    ends = placed.select((F.col("before") + F.col("nnz")).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("block"))
+    bounds = placed.select((F.col("before") + most).alias("key"), F.lit(0).alias("kind"), "block")
+    ranked = numbered(ends.unionByName(bounds), "key", "kind", "block", name="place").where("kind = 0")
+    following = F.greatest(F.col("place") - F.col("block"), F.col("block") + 1)
+    jumps = cut(ranked.select("block", following.alias("next")), "jumps")
+    met, found = placed.where("block = 0").select("block"), 0
+    while True:
+        met = cut(met, "starts")
+        now = met.count()
+        if now == found:
+            break
+        found = now
+        after = met.join(jumps, "block").select(F.col("next").alias("block")).join(placed.select("block"), "block", "left_semi")
+        met = met.unionByName(after).distinct()
+        further = jumps.select(F.col("block").alias("next"), F.col("next").alias("_next"))
+        jumps = cut(jumps.join(further, "next").select("block", F.col("_next").alias("next")), "jumps")
+    marks = met.select("block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("idx"), F.lit(None).cast("long").alias("nnz"))
+    rows = numbered(marks.unionByName(placed.select("block", F.lit(1).alias("kind"), "idx", "nnz")), "block", "kind", name="place").where("kind = 1")
+    segment = (F.col("place") - F.col("block") - 1).alias("segment")
+    return rows.groupBy(segment).agg(F.min("block").alias("block"), F.count("*").alias("blocks"), F.min("idx").alias("idx"), F.sum("nnz").alias("nnz"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.curves import hilbert_key_classic, morton_key
-from edgeloom.operators import adjacency, blocking, canonical, components, ordering
+from edgeloom.operators import adjacency, bandwidth, blocking, canonical, components, ordering, ranges
 from edgeloom.operators.pagerank import pagerank, pagerank_blocks
 from edgeloom.plans import flows
 from edgeloom.shared import cut
@@ -28,6 +28,7 @@ _RAW = {
     "cust_supp": "select o_custkey src, l_suppkey dst from lineitem join orders on l_orderkey = o_orderkey",
     "part_supp_bipartite": "select l_partkey src, l_suppkey + n1 dst from lineitem, (select max(l_partkey) + 1 n1 from lineitem)",
     "order_customer": "select o_orderkey + n1 src, o_custkey dst from orders, (select max(o_custkey) + 1 n1 from orders)",
+    "customer_orders": "select o_custkey src, o_orderkey dst from orders",
     "order_part": "select l_orderkey src, l_partkey dst from lineitem",
 }
 _ENDS = "V as (select src id from E union select dst from E)"
@@ -319,6 +320,69 @@ def component_sizes_compared(edges):
     return components.compared(components.components(canonical.relabel(edges, ids)), components.components(edges))
 
 
+BOX = (100, 200, 10, 60)
+_IN_BOX = "src >= 100 and src < 200 and dst >= 10 and dst < 60"
+
+
+@query("box_ranges", "part_supp", f"select src, dst from E where {_IN_BOX}")
+def box_ranges(edges, order):
+    clustered = cut(ordering.cluster_by_hilbert(edges, order, 8), "clustered")
+    return ranges.box_by_ranges(clustered, order, BOX).select("src", "dst")
+
+
+@query("box_capped_count", "part_supp", f"select least(count(*), 101) n from E where {_IN_BOX}")
+def box_capped_count(edges, order):
+    clustered = cut(ordering.cluster_by_hilbert(edges, order, 8), "clustered")
+    return ranges.capped_count(ranges.box_by_ranges(clustered, order, BOX), 100)
+
+
+_MERGED = f"""{_DEPTHS}, P as materialized (select row_number() over (order by h) - 1 as block, h idx, nnz, sum(nnz) over (order by h rows unbounded preceding)::bigint e from B join W on x = a and y = b),
+ X as materialized (select p.block, greatest(p.block + 1, count(q.e)) nx from P p left join P q on q.e < p.e - p.nnz + {4 * MOST} group by 1),
+ G as (select 0::bigint b from (select 1 from P limit 1) union all select nx from G join X on block = b where nx < (select count(*) from P)),
+ S as (select b, row_number() over (order by b) - 1 as segment, lead(b) over (order by b) till from G)"""
+
+
+@query("block_merge", "user_next", "select segment, b as block, count(*) blocks, min(idx) idx, sum(nnz)::bigint nnz from S join P on block >= b and (till is null or block < till) group by 1, 2", _MERGED)
+def block_merge(edges, order):
+    return blocking.merge_blocks(blocking.block(edges, order, MOST), 4 * MOST)
+
+
+def _levels(n: int) -> str:
+    """SQL of the search by levels, ``n`` of them, and of as many rounds of labels before it."""
+    steps = ["U as materialized (select 2 * src a, 2 * dst + 1 b from E union select 2 * dst + 1, 2 * src from E), V as materialized (select a id, count(*) degree from U group by 1), C0 as (select id, id c from V)"]
+    steps += [f"C{k} as materialized (select a id, min(least(x.c, y.c)) c from U join C{k - 1} x on x.id = a join C{k - 1} y on y.id = b group by 1)" for k in range(1, n)]
+    steps += [f"""L0 as materialized (select id, row_number() over (order by degree, id) - 1 as number, row_number() over (order by degree, id) - 1 as start, 0 as level from
+ (select id, degree, row_number() over (partition by c order by degree, id) r from V join C{n - 1} using (id) where id % 2 = 0) where r = 1)"""]
+    for k in range(1, n):
+        old = f" where b not in (select id from L{k - 2})" if k > 1 else ""
+        steps.append(f"""L{k} as materialized (select id, row_number() over (order by parent, degree, id) - 1 as number, start, {k} as level from
+ (select b id, min(number) parent, min(start) start from U join L{k - 1} on a = id{old} group by 1) join V using (id))""")
+    every = " union all ".join(f"select * from L{k}" for k in range(n))
+    return ", ".join(steps) + f""", F as materialized (select id % 2 side, id // 2 old_id, row_number() over (partition by id % 2 order by start, level, number) - 1 new_id from ({every})),
+ Y as (select max(abs(src - dst)) bandwidth_before, max(abs(p.new_id - q.new_id)) bandwidth_after from E join F p on p.side = 0 and p.old_id = src join F q on q.side = 1 and q.old_id = dst)"""
+
+
+def _ordered_sides(edges: DataFrame) -> DataFrame:
+    edges = cut(edges, "edges")
+    order = bandwidth.cuthill_mckee(edges)
+    after = bandwidth.bandwidth(ordering.relabel_sides(edges, order))
+    return order.select("side", "old_id", "new_id", F.lit(bandwidth.bandwidth(edges)).cast("long").alias("bandwidth_before"), F.lit(after).cast("long").alias("bandwidth_after"))
+
+
+_CM = "select side::int side, old_id, new_id, bandwidth_before, bandwidth_after from F, Y"
+
+
+@query("cuthill_mckee", "part_supp", _CM, _levels(12))
+def cuthill_mckee(edges):
+    return _ordered_sides(edges)
+
+
+@query("cuthill_mckee_forest", "customer_orders", _CM, _levels(4))
+def cuthill_mckee_forest(edges):
+    """Many components: each customer's orders."""
+    return _ordered_sides(edges)
+
+
 @query("edge_lines", "user_next", "select concat(src, ' ', dst) as value from E")
 def edge_lines(edges):
     return sources.edge_lines(edges)

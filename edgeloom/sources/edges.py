@@ -101,6 +101,11 @@ def order_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select((F.col("src") + n1).alias("src"), "dst")
 
 
+def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each customer to their orders, both sides numbered for themselves."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+
+
 def order_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return lines.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
