@@ -80,12 +80,16 @@ def blocks(assigned: DataFrame, order: int) -> DataFrame:
     return corners.select(hilbert_key("x", "y", order).alias("idx"), "x", "y", "side_len", "nnz")
 
 
+def checked(found: dict[str, int], m: int) -> dict[str, int]:
+    """``found``, numbers of ``blocks`` and of their ``edges``; raises unless those are all ``m``."""
+    if found["edges"] != m:
+        raise ValueError(f"{found['edges']} of {m} edges are in blocks")
+    return found
+
+
 def check_all_assigned(blocks_: DataFrame, m: int) -> dict[str, int]:
-    """Numbers of blocks and of their edges; raises unless those are all ``m``."""
-    found = blocks_.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("nnz"), F.lit(0)).alias("edges")).first()
-    if found.edges != m:
-        raise ValueError(f"{found.edges} of {m} edges are in blocks")
-    return found.asDict()
+    """The same of a table of blocks."""
+    return checked(blocks_.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("nnz"), F.lit(0)).alias("edges")).first().asDict(), m)
 
 
 def block_edges(assigned: DataFrame) -> DataFrame:

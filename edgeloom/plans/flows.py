@@ -9,18 +9,20 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.curves import check_block_width, curve_order
 from edgeloom.operators import adjacency, blocking, canonical, ordering
-from edgeloom.operators.pagerank import pagerank
+from edgeloom.operators.components import components
+from edgeloom.operators.factorise import factorise
+from edgeloom.operators.pagerank import pagerank_blocks
 from edgeloom.shared import cut
 from edgeloom.sources import edges as text
 from edgeloom.sources import formats
 
-#: What a run may compute after blocking. The surveyed names without a method behind them do nothing.
-ALGORITHMS = {"pr": pagerank, "none": None, "cc": None, "cf": None}
+#: What a run may compute after blocking, each a function of the edges and a number of rounds.
+ALGORITHMS = {"pr": pagerank_blocks, "cc": lambda edges, _: components(edges), "cf": factorise, "none": None}
 
 
 def algorithm(name: str):
@@ -30,13 +32,22 @@ def algorithm(name: str):
     return ALGORITHMS[name]
 
 
+def _observed(edges: DataFrame, label: str, **more) -> tuple[DataFrame, dict[str, int]]:
+    """``edges`` stored, and what the write itself has seen: ``m`` rows, the largest id, and ``more``."""
+    seen = Observation(label)
+    largest = F.coalesce(F.max(F.greatest("src", "dst")), F.lit(-1).cast("long")).alias("most")
+    stored = cut(edges.observe(seen, F.count(F.lit(1)).alias("m"), largest, *(c.alias(k) for k, c in more.items())), label)
+    return stored, seen.get
+
+
 def canonicalise(spark: SparkSession, source: str, folder: str, drop_self_loops: bool = False) -> dict[str, int]:
-    """A text edge list becomes distinct edges with dense ids, sorted, and the sizes beside them."""
-    edges = cut(canonical.compress(text.read_edge_list(spark, source), drop_self_loops)[0], "edges")
-    n, m = canonical.endpoints(edges).count(), edges.count()
+    """A text edge list becomes distinct edges with dense ids, sorted, and the sizes beside them; ``bad`` lines are left out and counted."""
+    bad = text.bad_lines(spark, source).count()
+    edges, seen = _observed(canonical.compress(text.read_edge_list(spark, source), drop_self_loops)[0], "edges")
+    n, m = seen["most"] + 1, seen["m"]  # ids are dense
     text.write_edge_list(edges, f"{folder}/edges")
     formats.write_sizes(spark, f"{folder}/sizes", n, m)
-    return {"n": n, "m": m}
+    return {"n": n, "m": m, "bad": bad}
 
 
 def translate(spark: SparkSession, folder: str, order: str | None = None, block_width: int | None = None) -> dict[str, int]:
@@ -61,14 +72,17 @@ def block_and_rank(spark: SparkSession, folder: str, most: int, name: str = "pr"
     """Blocks of the adjacency in ``folder``, then what ``name`` computes: numbers and times in seconds, and the scores if there are any."""
     run = algorithm(name)
     began = time.perf_counter()
-    edges = cut(formats.read_csr(spark, f"{folder}/in", incoming=True), "edges")
-    n, m = canonical.endpoints(edges).count(), edges.count()
+    edges, seen = _observed(formats.read_csr(spark, f"{folder}/in", incoming=True), "edges")
+    n, m = formats.csr_sizes(f"{folder}/in")
+    if seen["m"] != m:
+        raise ValueError(f"{seen['m']} of {m} edges were read")
     blocking.check_most_edges(m, most)
     read = time.perf_counter()
     order = curve_order(n)
     assigned = cut(blocking.block_of_edges(edges, order, most), "assigned")
-    blocks = cut(blocking.blocks(assigned, order), "blocks")
-    found = blocking.check_all_assigned(blocks, m)
+    counted = Observation("blocks")
+    blocks = cut(blocking.blocks(assigned, order).observe(counted, F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("nnz"), F.lit(0).cast("long")).alias("edges")), "blocks")
+    found = blocking.checked(counted.get, m)
     blocked = time.perf_counter()
     if dumps:
         formats.write_blocks(blocks, f"{folder}/blocks")

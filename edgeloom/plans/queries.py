@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.curves import hilbert_key_classic, morton_key
-from edgeloom.operators import adjacency, bandwidth, blocking, canonical, components, ordering, ranges
+from edgeloom.operators import adjacency, bandwidth, blocking, canonical, components, factorise, ordering, ranges
 from edgeloom.operators.pagerank import pagerank, pagerank_blocks
 from edgeloom.plans import flows
 from edgeloom.shared import cut
@@ -428,6 +428,28 @@ _QUERIES["bipartite_weighted_in"] = _bipartite_weighted
 _SQL["bipartite_weighted_in"] = "select dst + n1 id, string_agg(concat(src, ':', w), ',' order by src) neighbours from (select l_partkey src, l_suppkey dst, sum(l_quantity)::bigint w from lineitem group by 1, 2), (select max(l_partkey) + 1 n1 from lineitem) group by 1"
 
 
+FACTOR_ROUNDS = 5
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors of parts and suppliers, in one id space, from the quantities between them."""
+    found = factorise.factorise(flows.bipartite_graph(sources.part_supp_weighted(spark, sf_dir))[0], FACTOR_ROUNDS)
+    return found.select("id", F.posexplode("factors").alias("k", "factor")).select("id", "k", F.round("factor", 6).alias("factor"))
+
+
+def _factor_rounds() -> str:
+    steps = [f"A as materialized (select l_partkey u, l_suppkey + n1 v, sum(l_quantity) w from lineitem, (select max(l_partkey) + 1 n1 from lineitem) group by 1, 2), I as (select u id from A union select v from A), F0 as materialized (select id, k, ((id * 7919 + k * 104729) % 1000 + 1) / 1000.0::double f from I, range({factorise.RANK}) t(k))"]
+    for t in range(FACTOR_ROUNDS):
+        steps.append(f"""R{t} as materialized (select u, v, any_value(w) - sum(a.f * b.f) e from A join F{t} a on a.id = u join F{t} b on b.id = v and a.k = b.k group by 1, 2),
+ F{t + 1} as materialized (select F{t}.id, F{t}.k, F{t}.f + {factorise.STEP} * g f from F{t} join (select id, k, sum(g) g from
+ (select u id, k, e * f g from R{t} join F{t} on id = v union all select v, k, e * f from R{t} join F{t} on id = u) group by 1, 2) using (id, k))""")
+    return "with " + ", ".join(steps) + f" select id, k::int k, round(f, 6) factor from F{FACTOR_ROUNDS}"
+
+
+_QUERIES["factors"] = _factors
+_SQL["factors"] = _factor_rounds()
+
+
 def _block_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of blocks and of edges in them, against the graph's edges."""
     raw = sources.cust_supp(spark, sf_dir)

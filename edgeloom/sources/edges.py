@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MOST_ID = 2**31
+def _parsed(lines: DataFrame, weighted: bool, comment: str) -> DataFrame:
+    """``lines`` that are no comments and not blank, with ``src, dst[, weight]`` and whether they are ``good``."""
+    text = F.regexp_replace("value", r"^[\t ,;\r]+|[\t ,;\r]+$", "")
+    skip = F.col("value").rlike("[%#]") if comment == "any" else F.col("value").startswith("#")
+    rows = lines.where(~skip).withColumn("_f", F.split(text, r"[\t ,;]+")).where("_f[0] <> ''")
+    src, dst = (F.when(F.get("_f", F.lit(i)).rlike("^[0-9]{1,19}$"), F.get("_f", F.lit(i)).try_cast("long")) for i in (0, 1))
+    rows = rows.withColumns({"src": src, "dst": dst})
+    if weighted:
+        weight = F.coalesce(F.get("_f", F.lit(2)).try_cast("double"), F.lit(1.0))
+        rows = rows.withColumn("weight", F.when(weight == 0, 1.0).otherwise(weight) if comment == "any" else weight)
+    return rows.drop("_f").withColumn("good", F.col("src").isNotNull() & F.col("dst").isNotNull())
 
 
 def parse_edge_lines(lines: DataFrame, weighted: bool = False, comment: str = "start", keep_bad: bool = False) -> DataFrame:
@@ -13,21 +23,12 @@ def parse_edge_lines(lines: DataFrame, weighted: bool = False, comment: str = "s
 
     Fields are parted by any run of tab, comma, blank or semicolon; surplus columns are ignored. ``comment``:
     ``start`` - lines beginning with ``#``; ``any`` - lines with ``%`` or ``#`` anywhere, and a weight of 0 is 1.
-    Ids must be decimal and below 2 ** 31. Other lines are left out, or kept with the line in ``bad``.
+    Ids must be decimal and below 2 ** 63; only a curve asks for smaller ones. Other lines are left out, or kept with the line in ``bad``.
     """
-    text = F.regexp_replace("value", r"^[\t ,;\r]+|[\t ,;\r]+$", "")
-    skip = F.col("value").rlike("[%#]") if comment == "any" else F.col("value").startswith("#")
-    rows = lines.where(~skip).select("value", F.split(text, r"[\t ,;]+").alias("f")).where("f[0] <> ''")
-    src, dst = (F.when(F.get("f", F.lit(i)).rlike("^[0-9]{1,10}$"), F.get("f", F.lit(i)).try_cast("long")) for i in (0, 1))
-    columns = [src.alias("src"), dst.alias("dst")]
-    if weighted:
-        weight = F.coalesce(F.get("f", F.lit(2)).try_cast("double"), F.lit(1.0))
-        columns.append((F.when(weight == 0, 1.0).otherwise(weight) if comment == "any" else weight).alias("weight"))
-    parsed = rows.select("value", *columns)
-    good = F.coalesce((F.col("src") < MOST_ID) & (F.col("dst") < MOST_ID), F.lit(False))
+    parsed = _parsed(lines.select("value"), weighted, comment)
     if keep_bad:
-        return parsed.withColumn("bad", F.when(~good, F.col("value"))).drop("value")
-    return parsed.where(good).drop("value")
+        return parsed.withColumn("bad", F.when(~F.col("good"), F.col("value"))).drop("value", "good")
+    return parsed.where("good").drop("value", "good")
 
 
 def read_edge_list(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -35,6 +36,21 @@ def read_edge_list(spark: SparkSession, path: str, **options) -> DataFrame:
     return parse_edge_lines(spark.read.text(path), **options)
 
 
+def bad_lines(spark: SparkSession, path: str, comment: str = "start") -> DataFrame:
+    """``file, line, text`` of the lines that no edge can be read from, lines counted from 1.
+
+    A split's rows are marked in their order, so a line's number is its place in its split behind the lines of the
+    file's earlier splits; only a count a split is summed up.
+    """
+    splits = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")
+    lines = spark.read.text(path).select("value", *splits, F.monotonically_increasing_id().alias("mark"))
+    sizes = lines.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("mark").alias("first"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    bad = _parsed(lines, False, comment).where("not good").join(sizes, ["file", "start"])
+    return bad.select("file", (F.col("before") + F.col("mark") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+
+
 def edge_lines(edges: DataFrame, base: int = 0) -> DataFrame:
     """``value``: the lines of a text edge list, ids shifted by ``base``, and the weight if there is one."""
     fields = [(F.col(c) + base).cast("string") for c in ("src", "dst")]

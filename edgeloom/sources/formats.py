@@ -2,7 +2,7 @@
 
 All binary values are little-endian. A large file is written as a folder of parts, each by the task that
 has its values; the parts, joined in the order of their names, are the file. Reading takes such a folder or
-one file, and each task reads its own range of bytes.
+one file, and each task reads its own range of bytes. ``binary`` has the data sources behind both.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +25,8 @@ from edgeloom.sources.edges import edge_lines
 
 #: Values that one reading task takes.
 CHUNK = 4_000_000
+#: In a folder of parts, the file that names the folder of the last complete write.
+CURRENT = "_current"
 _TYPES = {"u4": "<u4", "u8": "<u8", "f8": "<f8"}
 
 
@@ -35,28 +36,11 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def _write_parts(values: DataFrame, folder: str, parts: int, header: bytes) -> None:
     """Write ``values(section, place, kind, whole, real)`` in the order of section and place behind ``header``."""
-    system, path = _open(folder)
-    system.create_dir(path, recursive=True)
-    with system.open_output_stream(f"{path}/part-000000") as stream:
-        stream.write(header)
-    rows = values.repartitionByRange(parts, "section", "place").sortWithinPartitions("section", "place").select("kind", "whole", "real")
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get()
-        name, draft = f"part-{task.partitionId() + 1:06d}", f".part-{task.partitionId() + 1:06d}.{task.taskAttemptId()}"
-        inner, own = _open(folder)
-        with inner.open_output_stream(f"{own}/{draft}") as stream:
-            for batch in batches:
-                kinds = np.asarray(batch.column(0))
-                cuts = [0, *(np.flatnonzero(kinds[1:] != kinds[:-1]) + 1).tolist(), len(kinds)]
-                for a, b in zip(cuts, cuts[1:]):
-                    if b > a:
-                        column = batch.column(2 if kinds[a] == "f8" else 1).slice(a, b - a)
-                        stream.write(np.asarray(column).astype(_TYPES[kinds[a]]).tobytes())
-        inner.move(f"{own}/{draft}", f"{own}/{name}")
-        yield pa.RecordBatch.from_pydict({"part": [name]})
+    from edgeloom.sources.binary import BYTES, with_binary_sources
 
-    rows.mapInArrow(write, "part string").collect()  # names of parts
+    with_binary_sources(values.sparkSession)
+    rows = values.repartitionByRange(parts, "section", "place").sortWithinPartitions("section", "place").select("kind", "whole", "real")
+    rows.write.format(BYTES).mode("overwrite").option("header", header.hex()).save(folder)
 
 
 class _Bytes:
@@ -66,6 +50,9 @@ class _Bytes:
         self.system, path = _open(uri)
         info = self.system.get_file_info(path)
         if info.type == pafs.FileType.Directory:
+            if self.system.get_file_info(f"{path}/{CURRENT}").type == pafs.FileType.File:
+                with self.system.open_input_file(f"{path}/{CURRENT}") as source:
+                    path = f"{path}/{source.read().decode()}"
             found = self.system.get_file_info(pafs.FileSelector(path))
             files = sorted((f.path, f.size) for f in found if f.base_name.startswith("part-"))
         else:
@@ -138,19 +125,17 @@ def write_csr(edges: DataFrame, uri: str, incoming: bool = False, parts: int = 8
     _write_parts(rows, uri, parts, struct.pack("<IQ", n, m))
 
 
+def csr_sizes(uri: str) -> tuple[int, int]:
+    """Vertices and edges, from the first bytes of a binary file."""
+    return struct.unpack("<IQ", _Bytes(uri).read(0, 12))
+
+
 def read_csr(spark: SparkSession, uri: str, incoming: bool = False, weighted: bool = False) -> DataFrame:
-    """Edges ``src, dst[, weight]`` of a binary file; an edge's vertex is the last that starts at or before its place."""
-    n, m = struct.unpack("<IQ", _Bytes(uri).read(0, 12))
-    index = _read_values(spark, uri, 12, n + 1, "u8")
-    after = index.select((F.col("place") - 1).alias("place"), F.col("value").alias("end"))
-    ranges = index.join(after, "place").where("end > value").select(F.col("place").alias("id"), F.explode(F.sequence("value", F.col("end") - 1)).alias("place"))
-    at = 12 + 8 * (n + 1)
-    edges = ranges.join(_read_values(spark, uri, at, m, "u4"), "place")
-    columns = [F.col("value").alias("src"), F.col("id").alias("dst")] if incoming else [F.col("id").alias("src"), F.col("value").alias("dst")]
-    if weighted:
-        edges = edges.join(_read_values(spark, uri, at + 4 * m, m, "f8").withColumnRenamed("value", "weight"), "place")
-        columns.append(F.col("weight"))
-    return edges.select(*columns)
+    """Edges ``src, dst[, weight]`` of a binary file, by the data source ``binary.CSR``: a task takes a range of edges, so a hub is many tasks'."""
+    from edgeloom.sources.binary import CSR, with_binary_sources
+
+    with_binary_sources(spark)
+    return spark.read.format(CSR).options(incoming=str(incoming).lower(), weighted=str(weighted).lower()).load(uri)
 
 
 def adjacency_lines(edges: DataFrame) -> DataFrame:

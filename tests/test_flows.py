@@ -25,7 +25,7 @@ def folder(tmp_path):
 def test_files_to_scores(spark, folder):
     sizes = flows.canonicalise(spark, str(folder / "raw.net"), str(folder))
     raw = {tuple(map(int, line.split())) for line in (folder / "raw.net").read_text().splitlines() if line[0] not in "#b"}
-    assert sizes == {"n": len({x for e in raw for x in e}), "m": len(raw)}
+    assert sizes == {"n": len({x for e in raw for x in e}), "m": len(raw), "bad": 1}
     n = sizes["n"]
     found = flows.translate(spark, str(folder), block_width=n // 8)
     assert (found["n"], found["m"]) == (n, len(raw)) and found["max_out"] == max(sum(a == s for a, _ in raw) for s, _ in raw)
