@@ -158,8 +158,7 @@ def plain_links(rows, cosine):
     return [(r[0], links[i], least.get(root(i)), r[0] == least.get(root(i))) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("cell,broadcast", [(4_096, 0), (12, 1 << 24), (12, 0)])
-@pytest.mark.parametrize("dims,groups,spread", [(3, 6, 0.15), (8, 4, 0.01)])
+@pytest.mark.parametrize("cell,broadcast,dims,groups,spread", [(4_096, 0, 3, 6, 0.15), (12, 1 << 24, 8, 4, 0.01), (12, 0, 3, 6, 0.15)])
 def test_near_vectors(spark, cell, broadcast, dims, groups, spread):
     pick = random.Random(dims)
     rows = clustered_vectors(pick, 260, dims, groups, spread, (1, 1, 1, 2, None))
