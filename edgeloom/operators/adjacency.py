@@ -76,19 +76,27 @@ def adjacency(edges: DataFrame, incoming: bool = False) -> DataFrame:
 
 
 def adjacency_chunks(edges: DataFrame, size: int = 100_000, incoming: bool = False) -> DataFrame:
-    """``id, chunk, neighbours``: adjacency in lists of ``size`` neighbours at most, in ascending order.
+    """``id, chunk, neighbours``: adjacency in lists of ``size`` neighbours at most, in ascending order, with ``weights`` if the edges have them.
 
     A neighbour's place in its list is its edge's place less the vertex's first, so a hub is never one task's or one row's.
     """
     key, other = _sides(incoming)
-    placed = numbered(edges.select(F.col(key).alias("id"), F.col(other).alias("neighbour")), "id", "neighbour", name="place")
+    weights = ["weight"] if "weight" in edges.columns else []
+    placed = numbered(edges.select(F.col(key).alias("id"), F.col(other).alias("neighbour"), *weights), "id", "neighbour", name="place")
     first = placed.groupBy("id").agg(F.min("place").alias("start"))
     chunk = F.floor((F.col("place") - F.col("start")) / size).alias("chunk")
-    return placed.join(first, "id").groupBy("id", chunk).agg(F.array_sort(F.collect_list("neighbour")).alias("neighbours"))
+    both = F.array_sort(F.collect_list(F.struct("neighbour", *weights))).alias("both")
+    lists = placed.join(first, "id").groupBy("id", chunk).agg(both)
+    return lists.select("id", "chunk", F.col("both.neighbour").alias("neighbours"), *(F.col(f"both.{w}").alias("weights") for w in weights))
 
 
 def read_write_distance(edges: DataFrame, n: int) -> DataFrame:
-    """One row: edges per vertex turned over (n / m), and the mean gap of consecutive neighbours in lists."""
-    before = F.lag("dst").over(Window.partitionBy("src").orderBy("dst"))
-    gaps = edges.select(F.coalesce(F.abs(F.col("dst") - before), F.lit(0)).alias("gap"))
+    """One row: edges per vertex turned over (n / m), and the mean gap of consecutive neighbours in lists.
+
+    An edge meets the one before it by their places in the order of lists, so a hub's list is many tasks'.
+    """
+    placed = numbered(edges.select("src", "dst"), "src", "dst", name="place")
+    before = placed.select((F.col("place") + 1).alias("place"), F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+    joined = placed.join(before, "place", "left")
+    gaps = joined.select(F.when(F.col("src") == F.col("_src"), F.abs(F.col("dst") - F.col("_dst"))).otherwise(0).alias("gap"))
     return gaps.agg((F.lit(float(n)) / F.count("*")).alias("read_distance"), (F.sum("gap") / F.count("*")).alias("write_distance"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,24 @@ from edgeloom.shared import cut
 _ROW = (1 << 33) - 1
 
 
+#: Operators whose work should not be done twice.
+_DEAR = re.compile(r"Aggregate|Join|Python|Arrow|Pandas|Distinct|Window|Deduplicate|Intersect|Except")
+
+
+def _stored(frame: DataFrame) -> DataFrame:
+    """``frame``, stored if its plan has more than scans, projections, filters and unions: a sort by ranges reads its input twice."""
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    operators = (line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines())
+    return cut(frame, "unranked") if any(_DEAR.search(o) for o in operators) else frame
+
+
 def numbered(frame: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """Add each row's place, from 0, in the order of the columns ``order``.
 
-    Rows are dealt out by ranges and sorted there; only the parts' sizes, a row a part, are summed up.
+    Rows are dealt out by ranges and sorted there; only the parts' sizes, a row a part, are summed up. The ranges come
+    from a sample, which reads the input once more, so that is stored first where it is dear.
     """
-    mark = "_place"
+    mark, frame = "_place", _stored(frame)
     sorted_ = frame.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut(sorted_.withColumn(mark, F.monotonically_increasing_id()), "numbered")
     part, row = F.shiftright(mark, 33), F.col(mark).bitwiseAND(F.lit(_ROW))

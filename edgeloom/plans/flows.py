@@ -113,6 +113,6 @@ def bipartite_graph(edges: DataFrame) -> tuple[DataFrame, int, int]:
 
 
 def bipartite_csrs(edges: DataFrame) -> dict[str, DataFrame]:
-    """Degrees and the adjacency of both directions, with weights if there are any, of a bipartite graph in one id space."""
+    """Degrees and the adjacency of both directions, in chunks and with weights if there are any, of a bipartite graph in one id space."""
     shifted = bipartite_graph(edges)[0]
-    return {"edges": shifted, "degrees": adjacency.degrees(shifted), "out": adjacency.adjacency(shifted), "in": adjacency.adjacency(shifted, incoming=True)}
+    return {"edges": shifted, "degrees": adjacency.degrees(shifted), "out": adjacency.adjacency_chunks(shifted), "in": adjacency.adjacency_chunks(shifted, incoming=True)}

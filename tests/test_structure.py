@@ -238,3 +238,45 @@ def test_algorithms_of_a_run(spark, tmp_path):
     # numbers come from the writes: no job counts the edges or blocks again
     observed = jobs(spark, lambda: flows.block_and_rank(spark, folder, 16, "none"))
     assert observed <= 24, observed
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from edgeloom.__main__ import main
+
+    pick, folder = random.Random(10), str(tmp_path / "g")
+    (tmp_path / "raw.net").write_text("".join(f"{s} {d}\n" for s, d in some_edges(pick, 64, 500)))
+    main(["compress", str(tmp_path / "raw.net"), folder])
+    main(["translate", folder])
+    main(["run", folder, "-m", "16", "-i", "2", "-e", "2", "-s", str(tmp_path / "scores")])
+    said = capsys.readouterr().out
+    assert said.count("blocks: ") == 2 and spark.read.parquet(str(tmp_path / "scores")).count() == 64
+    assert len((tmp_path / "g" / "results.csv").read_text().splitlines()) == 3  # a head and a row an experiment
+    with pytest.raises(SystemExit):
+        main(["run", folder, "-m", "16", "-a", "bfs"])
+
+
+def test_hubs_lists_and_gaps(spark):
+    from edgeloom.operators import adjacency
+
+    edges = sorted({(0, d) for d in range(0, 60, 3)} | set(some_edges(random.Random(11), 20, 80)))
+    weighted = frame(spark, [(s, d, s + d / 100) for s, d in edges], "src long, dst long, weight double")
+    lists = adjacency.adjacency_chunks(weighted, 7).collect()
+    assert max(len(r.neighbours) for r in lists) == 7
+    assert sorted((r.id, n, w) for r in lists for n, w in zip(r.neighbours, r.weights)) == [(s, d, s + d / 100) for s, d in edges]
+    gaps = [abs(b[1] - a[1]) for a, b in zip(edges, edges[1:]) if a[0] == b[0]]
+    found = adjacency.read_write_distance(frame(spark, edges), 60).first()
+    assert abs(found.read_distance - 60 / len(edges)) < 1e-12 and abs(found.write_distance - sum(gaps) / len(edges)) < 1e-12
+
+
+def test_dear_input_is_stored_before_it_is_ranked(spark):
+    rows = frame(spark, [(i % 7, i) for i in range(50)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    dear = canonical.numbered(rows.mapInArrow(counted, "src long, dst long"), "src", "dst")
+    assert sorted((r.rank, r.src, r.dst) for r in dear.collect()) == [(k, s, d) for k, (s, d) in enumerate(sorted((i % 7, i) for i in range(50)))]
+    assert seen.value == 50
