@@ -71,7 +71,7 @@ def test_bipartite(spark):
     found = flows.bipartite_csrs(edges)
     assert pairs(found["edges"]) == [(0, 4, 2.0), (0, 6, 1.0), (3, 4, 4.0)]
     assert pairs(found["degrees"]) == [(0, 0, 2), (3, 0, 1), (4, 2, 0), (6, 1, 0)]
-    assert pairs(found["out"]) == [(0, [4, 6], [2.0, 1.0]), (3, [4], [4.0])] and pairs(found["in"]) == [(4, [0, 3], [2.0, 4.0]), (6, [0], [1.0])]
+    assert pairs(found["out"]) == [(0, 0, [4, 6], [2.0, 1.0]), (3, 0, [4], [4.0])] and pairs(found["in"]) == [(4, 0, [0, 3], [2.0, 4.0]), (6, 0, [0], [1.0])]
     assert flows.bipartite_graph(edges)[1:] == (4, 3)
 
 
