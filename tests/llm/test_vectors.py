@@ -202,13 +202,3 @@ def test_tree_invariants():
             own = points[tree.starts[depth][a:b]]
             apart = np.linalg.norm(own[:, None] - own[None], axis=2) + 9 * np.eye(len(own))
             assert apart.min(initial=9) > cover_tree.radius(depth) - 1e-5
-
-
-@pytest.mark.parametrize("name", ["op11_vector_codes", "op12_centroids", "op13_embedding_dedup"])
-def test_registered(spark, name):
-    from tests.test_entry import SF
-
-    from edgeloom.llm import queries
-
-    rows = queries.queries()[name](spark, SF)
-    assert rows.select(F.countDistinct("vec_id")).first()[0] == rows.count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
