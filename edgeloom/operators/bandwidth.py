@@ -35,7 +35,7 @@ def cuthill_mckee(edges: DataFrame) -> DataFrame:
         both = cut(links.select(F.col("src").alias("id"), F.col("dst").alias("to")).unionByName(links.select(F.col("dst").alias("id"), F.col("src").alias("to"))), "both")
         starts = components(links).join(vertices.where("side = 0"), "id").groupBy("component").agg(F.min(F.struct("degree", "id")).alias("first"))
         level = numbered(starts.select("first.degree", "first.id"), "degree", "id", name="number")
-        level = cut(level.select("id", "number", F.col("number").alias("start")), "level")
+        level = level.select("id", "number", F.col("number").alias("start"))
         levels: list[DataFrame] = []
         while not level.isEmpty():
             named = both.join(level, "id").groupBy(F.col("to").alias("id")).agg(F.min("number").alias("parent"), F.min("start").alias("start"))
@@ -43,7 +43,7 @@ def cuthill_mckee(edges: DataFrame) -> DataFrame:
                 named = named.join(levels[-1].select("id"), "id", "left_anti")
             levels.append(level.withColumn("level", F.lit(len(levels))))
             ranked = numbered(named.join(vertices.select("id", "degree"), "id"), "parent", "degree", "id", name="number")
-            level = cut(ranked.select("id", "number", "start"), "level")
+            level = ranked.select("id", "number", "start")  # stored where it was ranked
         if not levels:
             spark.createDataFrame([], "side int, old_id long, new_id long").write.parquet(place)
         else:

@@ -129,8 +129,8 @@ def plain_order(edges):
 
 def test_cuthill_mckee(spark):
     pick = random.Random(6)
-    band = [(i, i + j) for i in range(8) for j in (0, 1)]
-    rows, columns = list(range(8)), list(range(9))
+    band = [(i, i + j) for i in range(5) for j in (0, 1)]
+    rows, columns = list(range(5)), list(range(6))
     pick.shuffle(rows)
     pick.shuffle(columns)
     for edges in (some_edges(pick, 40, 60), []):
@@ -138,7 +138,7 @@ def test_cuthill_mckee(spark):
         assert {(r.side, r.old_id): r.new_id for r in found.collect()} == plain_order(edges)
     chain = frame(spark, [(rows[i], columns[j]) for i, j in band])
     order = bandwidth.cuthill_mckee(chain)
-    assert bandwidth.bandwidth(chain) > 5 and bandwidth.bandwidth(ordering.relabel_sides(chain, order)) <= 1
+    assert bandwidth.bandwidth(chain) > 2 and bandwidth.bandwidth(ordering.relabel_sides(chain, order)) <= 1
 
 
 @pytest.mark.parametrize("most", [7, 10**6])
