@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
                         at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length int, task int, rank long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(storage.frugal(cut, partial(tokens.forget, tokenizer)), "doc_id long, piece int, start long, length int, task int, rank long, ids binary")
 
 
 class Knapsack:
@@ -256,7 +257,7 @@ def pack(docs: DataFrame, tokenizer: str = tokens.DEFAULT_TOKENIZER, capacity: i
             ids = [wide(x) for x in batch.column(5).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sequence), pa.array(offset), pa.array(ids, pa.binary())], schema=schema)
 
-    return rows.mapInArrow(assign, "doc_id long, piece int, start long, length int, sequence_id long, offset long, ids binary")
+    return rows.mapInArrow(storage.frugal(assign), "doc_id long, piece int, start long, length int, sequence_id long, offset long, ids binary")
 
 
 def narrow(ids: bytes) -> bytes:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import threading
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.shared import cut, drop, new_folder, shared_root
 
-__all__ = ["Scratch", "cut", "drop", "new_folder", "open_folder", "publish", "shared_root", "small"]
+__all__ = ["Scratch", "cut", "drop", "frugal", "new_folder", "open_folder", "publish", "shared_root", "small"]
 
 #: What a broadcast table may have, by the sum over its rows.
 BROADCAST_BYTES = 16 << 20
+#: Seconds without work after which a worker forgets what it only keeps for speed.
+IDLE_SECONDS = 5.0
+_IDLE: dict[str, threading.Timer] = {}
 
 
 def small(frame: DataFrame, size: Column | None = None) -> DataFrame:
@@ -77,3 +84,37 @@ def publish(uri: str, name: str, attempt: int, write) -> None:
     except OSError:
         system.delete_file(final)
         system.move(draft, final)
+
+
+def release() -> None:
+    """Give memory that this process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(step: Callable[[Iterator], Iterator], forget: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """``step`` for ``mapInArrow``, whose worker gives its memory back after each partition.
+
+    Spark keeps workers for the next stages, which share the executor's memory with them. ``forget`` empties
+    caches once the worker has had no partition of such a step for IDLE_SECONDS.
+    """
+    def run(batches: Iterator) -> Iterator:
+        if "timer" in _idle():
+            _idle().pop("timer").cancel()
+        yield from step(batches)
+        release()
+        if forget:
+            timer = threading.Timer(IDLE_SECONDS, lambda: (forget(), release()))
+            timer.daemon = True
+            timer.start()
+            _idle()["timer"] = timer
+
+    return run
+
+
+def _idle() -> dict[str, threading.Timer]:
+    """This process's timer; a function, so that a pickled step finds the worker's own."""
+    return _IDLE

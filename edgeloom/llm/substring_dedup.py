@@ -114,7 +114,7 @@ def _find_runs(texts: DataFrame, length: int, known: int = 0) -> DataFrame:
         columns = [pa.array([d for own in digests for d in own], pa.binary()), *(pa.array(np.concatenate(c), f.type) for c, f in zip(rest, list(_RUNS)[1:], strict=True))]
         return pa.RecordBatch.from_arrays(columns, schema=_RUNS)
 
-    return texts.mapInArrow(find, "digest binary, bucket long, ctx long, pf int, w int, d int")
+    return texts.mapInArrow(storage.frugal(find), "digest binary, bucket long, ctx long, pf int, w int, d int")
 
 
 def _blocks(texts: DataFrame, length: int) -> DataFrame:
@@ -151,7 +151,7 @@ def _blocks(texts: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
 
-    return texts.mapInArrow(split, "digest binary, key long, at int, l0 int, l1 int, left binary, right binary")
+    return texts.mapInArrow(storage.frugal(split), "digest binary, key long, at int, l0 int, l1 int, left binary, right binary")
 
 
 def _shared(found: DataFrame, by: str) -> DataFrame:
@@ -223,7 +223,7 @@ def _once(texts: DataFrame) -> DataFrame:
                 seen.add(digest)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return texts.mapInArrow(drop, "digest binary, text string")
+    return texts.mapInArrow(storage.frugal(drop), "digest binary, text string")
 
 
 def merged(spans: pa.ListScalar, copies: int | None, size: int, length: int) -> list[tuple[int, int]]:
@@ -294,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *(pa.array(c, pa.int64()) for c in n[: len(names)])], names=["doc", "kept", *names])
 
     more = ", n_passage long" if passage else ""
-    return rows.mapInArrow(apply, f"doc {rows.schema['doc'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long{more}")
+    return rows.mapInArrow(storage.frugal(apply), f"doc {rows.schema['doc'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long{more}")
 
 
 def _after(data: bytes, at: int) -> int:

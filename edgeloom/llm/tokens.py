@@ -120,6 +120,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def forget(path: str) -> None:
+    """Empty the worker's cache of a tokenizer file's units."""
+    encoder(path).cache.clear()
+
+
 def in_bytes(texts: list[str | None], limit: int = 4_000_000):
     """Slices of about ``limit`` characters, as (first index, texts)."""
     start = held = 0
