@@ -39,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.llm import storage
-from edgeloom.llm.windows import pair, q_buckets, refined, runs
+from edgeloom.llm.windows import pair, q_buckets, refined, runs, word_bounds, word_codes
 
 LENGTH = 400
-#: A passage has over so many words, at four bytes each or more, or LENGTH bytes.
+#: A passage has over so many words, or LENGTH bytes.
 PASSAGE_WORDS = 50
+#: Repeated strings of so many bytes are searched for passages; those whose words are too short for that, by words.
 PASSAGE = 4 * PASSAGE_WORDS
 BLOCK = 16
 #: Windows that are looked at together.
@@ -54,12 +55,12 @@ _BLOCKS = pa.schema([("digest", pa.binary()), ("key", pa.int64()), ("at", pa.int
 
 
 def _runs_of(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of each segment: bucket, refined bucket, first window, windows, distance to the smallest q-gram."""
-    q = length // 4
+    """Of each segment of bytes or word codes: bucket, refined bucket, first window, windows, distance to the smallest q-gram."""
+    q = -(-length // 4)
     for start in range(0, len(data) - length + 1, SEGMENT):
         buckets = q_buckets(data[start : start + SEGMENT + length - 1], q)
         first, at = runs(buckets, length - q + 1)
-        whole = refined(refined(buckets, q), 2 * q)
+        whole = refined(refined(buckets, q), length - 2 * q)
         n = np.diff(np.append(first, len(whole)))
         ctx = pair(pair(whole[first], whole[first + n - 1]), n.astype(np.uint64))
         yield buckets[at].view(np.int64), ctx.view(np.int64), first + start, n, at - first
@@ -81,8 +82,17 @@ def _numbers(spans: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(inside.field("pf"), np.int64), np.asarray(inside.field("w"), np.int64)
 
 
-def _find_runs(texts: DataFrame, length: int, known: int = 0) -> DataFrame:
-    """Runs of the windows of ``texts(digest, text)``; with ``spans`` of repeated windows of ``known`` bytes, of those made of them."""
+def _short(begins: np.ndarray, ends: np.ndarray, words: int, below: int) -> np.ndarray:
+    """Whether the ``words`` words from each on would have fewer than ``below`` bytes with one blank between any two."""
+    total = np.append(0, np.cumsum(ends - begins))
+    return total[words:] - total[:-words] + words - 1 < below
+
+
+def _find_runs(texts: DataFrame, length: int, known: int = 0, below: int = 0) -> DataFrame:
+    """Runs of the windows of ``texts(digest, text)``; with ``spans`` of repeated windows of ``known`` bytes, of those made of them.
+
+    With ``below``, windows are of ``length`` words that have fewer bytes.
+    """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # of texts that have a window
         for batch in batches:
@@ -93,7 +103,14 @@ def _find_runs(texts: DataFrame, length: int, known: int = 0) -> DataFrame:
                 if len(data) < length or digest in seen:
                     continue
                 seen.add(digest)
-                if known:
+                if below:
+                    bounds = word_bounds(data)
+                    if len(bounds[0]) < length or not (short := _short(*bounds, length, below)).any():
+                        continue
+                    data = word_codes(data, *bounds)
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], short, [0]))))
+                    slices = zip(edges[::2].tolist(), (edges[1::2] - 1 + length).tolist(), strict=True)
+                elif known:
                     begins, ends = stretches(*_numbers(batch.column(2)[i]))
                     more = ends - begins > length - known
                     slices = zip(begins[more].tolist(), (ends[more] - 1 + known).tolist(), strict=True)
@@ -117,34 +134,37 @@ def _find_runs(texts: DataFrame, length: int, known: int = 0) -> DataFrame:
     return texts.mapInArrow(storage.frugal(find), "digest binary, bucket long, ctx long, pf int, w int, d int")
 
 
-def _blocks(texts: DataFrame, length: int) -> DataFrame:
-    """Blocks of the runs in ``needs``: the bucket of the bytes that the windows share, and the bytes beside them."""
-    core, half = length - BLOCK + 1, length // 2
+def _blocks(texts: DataFrame, length: int, words: bool) -> DataFrame:
+    """Blocks of the runs in ``needs``: the bucket of the bytes (or words) that the windows share, and the bytes (or codes) beside them."""
+    core, q, width = length - BLOCK + 1, -(-length // 4), 8 if words else 1
 
     def blocks(data: np.ndarray, pf: np.ndarray, w: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of all runs: bucket, where the shared bytes begin, and how far left of that windows begin, at least and at most."""
-        ids = refined(q_buckets(data, length // 4), length // 4)
+        ids = refined(q_buckets(data, q), q)
         low = d - w + 1
         first = low // BLOCK
         n = d // BLOCK - first + 1
         run = np.repeat(np.arange(len(pf)), n)
         j = first[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
         at = (pf + d)[run] - BLOCK * j
-        key = pair(ids[at], ids[at + core - half])
+        key = pair(ids[at], ids[at + core - 2 * q])
         return key.view(np.int64), at, np.maximum(0, low[run] - BLOCK * j), np.minimum(BLOCK - 1, d[run] - BLOCK * j)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i, digest in enumerate(batch.column(0).to_pylist()):
-                text, needs = batch.column(1)[i].as_buffer(), batch.column(2)[i].values
+                text, needs = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8), batch.column(2)[i].values
+                if words:
+                    text = word_codes(text, *word_bounds(text))
                 pf, w, d = (np.asarray(needs.field(c), np.int64) for c in ("pf", "w", "d"))
                 for segment in np.unique(pf // SEGMENT).tolist():
                     own, start = pf // SEGMENT == segment, segment * SEGMENT
-                    data = np.frombuffer(text, np.uint8)[start : start + SEGMENT + 2 * length]
+                    data = text[start : start + SEGMENT + 2 * length]
                     held = data.tobytes()
                     for key, at, l0, l1 in zip(*(x.tolist() for x in blocks(data, pf[own] - start, w[own], d[own])), strict=True):
-                        rows.append((digest, key, start + at, l0, l1, held[at - l1 : at], held[at + core : at + core + BLOCK - 1 - l0]))
+                        left, right = held[width * (at - l1) : width * at], held[width * (at + core) : width * (at + core + BLOCK - 1 - l0)]
+                        rows.append((digest, key, start + at, l0, l1, left, right))
                     if len(rows) > 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
                         rows = []
@@ -160,12 +180,15 @@ def _shared(found: DataFrame, by: str) -> DataFrame:
     return found.groupBy(by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(by)
 
 
-def _spans(found: DataFrame, texts, length: int, cut) -> DataFrame:
+def _spans(found: DataFrame, texts, length: int, cut, words: bool = False) -> DataFrame:
     """``digest, spans``: the repeated windows, as runs (first, number), of texts that have some.
 
-    ``found``: all runs; ``texts(digests)`` gives the texts with these digests.
+    ``found``: all runs; ``texts(digests)`` gives the texts with these digests. ``words``: windows are of words, not bytes.
     """
+    width = 8 if words else 1
     found = cut(found)
+    if found.isEmpty():
+        return found.select("digest", F.array(F.struct("pf", "w")).alias("spans"))
     shared = cut(_shared(found, "bucket"))
     found = cut(found.join(shared, "bucket"), found, shared)
     place = F.xxhash64("digest", "pf")
@@ -176,12 +199,12 @@ def _spans(found: DataFrame, texts, length: int, cut) -> DataFrame:
     differing = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
     needs = kinds.join(differing, "bucket").select("one.*")
     needs = cut(needs.groupBy("digest").agg(F.collect_list(F.struct("pf", "w", "d")).alias("needs")), kinds)  # at most a text's windows
-    blocks = _blocks(texts(own).join(needs, "digest").select("digest", "text", "needs"), length)
+    blocks = _blocks(texts(own).join(needs, "digest").select("digest", "text", "needs"), length, words)
     blocks = cut(blocks.withColumn("id", F.monotonically_increasing_id()), found, needs)
     # a text is there once, so each window is one row; that with l bytes left of the shared ones has BLOCK - 1 - l right of them
     twice = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     windows = blocks.join(twice, "key").withColumn("l", F.explode(F.sequence("l0", "l1")))
-    beside = F.xxhash64(F.expr("substring(left, length(left) - l + 1, l)"), F.expr(f"substring(right, 1, {BLOCK - 1} - l)"))
+    beside = F.xxhash64(F.expr(f"substring(left, length(left) - {width} * l + 1, {width} * l)"), F.expr(f"substring(right, 1, {width} * ({BLOCK - 1} - l))"))
     windows = cut(windows.select("key", beside.alias("beside"), "id", F.col("l").cast("byte").alias("l")))
     twice = windows.groupBy("key", "beside").agg(F.count("*").alias("n")).where("n > 1").select("key", "beside")
     single = cut(windows.join(twice, ["key", "beside"]).groupBy("id").agg(F.collect_list("l").alias("ls")), windows)  # BLOCK at most
@@ -190,9 +213,12 @@ def _spans(found: DataFrame, texts, length: int, cut) -> DataFrame:
     return cut(spans.groupBy("digest").agg(F.collect_set(F.struct("pf", "w")).alias("spans")), agreed, blocks)
 
 
-def repeated_spans(texts: DataFrame, levels: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+def repeated_spans(texts: DataFrame, levels: tuple[int, ...] = (LENGTH,), words: int = 0) -> DataFrame:
     """``digest, copies, spans0, spans1, ...``, a list of runs of repeated windows a level, for each text of
-    ``texts(digest, text)`` that has copies or such windows. Levels are lengths, in ascending order."""
+    ``texts(digest, text)`` that has copies or such windows. Levels are lengths, in ascending order.
+
+    With ``words``, ``in_words`` has runs of repeated windows of so many words that have fewer bytes than the first level.
+    """
     with storage.Scratch(texts.sparkSession, "repeats") as scratch:
         kept: list[DataFrame] = []
 
@@ -202,12 +228,18 @@ def repeated_spans(texts: DataFrame, levels: tuple[int, ...] = (LENGTH,)) -> Dat
                 kept.append(scratch.cut(_once(texts).join(digests, "digest").groupBy("digest").agg(F.first("text").alias("text"))))
             return kept[0]
 
-        rows = texts.where(F.octet_length("text") >= levels[0]).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
+        least = min(levels[0], 2 * words - 1) if words else levels[0]
+        rows = texts.where(F.octet_length("text") >= least).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
         known, spans = 0, None
         for i, length in enumerate(levels):
             found = _find_runs(kept[0].join(spans, "digest").select("digest", "text", "spans") if known else texts, length, known)
             spans, known = _spans(found, some, length, scratch.cut), length
             rows = rows.join(spans.withColumnRenamed("spans", f"spans{i}"), "digest", "full")
+        if words:
+            found = _find_runs(texts.where(F.octet_length("text") >= least), words, below=levels[0])
+            some = lambda digests: scratch.cut(_once(texts).join(digests, "digest").groupBy("digest").agg(F.first("text").alias("text")))
+            spans = _spans(found, some, words, scratch.cut, True)
+            rows = rows.join(spans.withColumnRenamed("spans", "in_words"), "digest", "full")
         return storage.cut(rows, "spans")
 
 
@@ -239,6 +271,29 @@ def merged(spans: pa.ListScalar, copies: int | None, size: int, length: int) ->
     return list(zip(begins.tolist(), ends.tolist(), strict=True))
 
 
+def merged_words(data: bytes, spans: pa.ListScalar, copies: int | None, words: int) -> list[tuple[int, int]]:
+    """Byte ranges of the repeated windows of ``words`` words, from a first to a last word."""
+    if not copies and not spans.is_valid:
+        return []
+    first, last = word_bounds(np.frombuffer(data, np.uint8))
+    if copies:
+        return [(int(first[0]), int(last[-1]))] if len(first) >= words else []
+    pf, w = _numbers(spans)
+    begins, ends = stretches(pf, w - 1 + words)
+    return list(zip(first[begins].tolist(), last[ends - 1].tolist(), strict=True))
+
+
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges that ``spans`` cover together, touching ones joined."""
+    found: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if found and a <= found[-1][1]:
+            found[-1] = (found[-1][0], max(b, found[-1][1]))
+        else:
+            found.append((a, b))
+    return found
+
+
 def is_passage(data: bytes, begin: int, end: int) -> bool:
     """Whether a span has LENGTH bytes or over PASSAGE_WORDS whole words; words are parted by ASCII white space."""
     n = len(data[begin:end].split())
@@ -252,22 +307,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
 
     ``whole_characters`` keeps the rest of a character that a span cuts, so ``kept`` is valid UTF-8. ``passages_only``
     removes only maximal runs that ``is_passage`` accepts. ``passage``, a shorter length, adds ``n_passage``: the bytes
-    of such runs of strings of that length that also start elsewhere; they stay.
+    of such runs of strings of that length that also start elsewhere; they stay. Both take in runs of over PASSAGE_WORDS
+    words that also start elsewhere and have too few bytes for the length; white space between words is not compared there.
     """
     levels = (passage, length) if passage else (length,)
     if any(n % 4 or n <= 4 * BLOCK for n in levels) or sorted(levels) != list(levels):
         raise ValueError("lengths must be ascending multiples of 4, over four times the block")
+    words = PASSAGE_WORDS + 1 if (passage or passages_only) and levels[0] > 2 * PASSAGE_WORDS + 1 else 0
     text = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.md5(text)).alias("digest")
-    spans = repeated_spans(docs.select(digest, text.alias("text")), levels)
+    spans = repeated_spans(docs.select(digest, text.alias("text")), levels, words)
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
     doc = docs.select(others.alias("doc"), digest, text.alias("body"))
-    rows = doc.join(spans, "digest", "left").select("doc", "body", "copies", *(f"spans{i}" for i in range(len(levels))))
+    rows = doc.join(spans, "digest", "left").select("doc", "body", "copies", *(f"spans{i}" for i in range(len(levels))), *(["in_words"] if words else []))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, counts = [], []
-            bodies, copies, *own = (batch.column(i) for i in range(1, 3 + len(levels)))
+            bodies, copies, *own = (batch.column(i) for i in range(1, batch.num_columns))
             # a batch's rows without copies and spans are many; only the others are looked at one by one
             idle = [c is None and not any(s.is_valid for s in x) for c, *x in zip(copies.to_pylist(), *own, strict=True)]
             for i, body in enumerate(bodies):
@@ -276,10 +333,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
                     kept.append(data)
                     counts.append((len(data), 0, 0, 0))
                     continue
-                found = [merged(x[i], copies[i].as_py(), len(data), size) for x, size in zip(own, levels, strict=True)]
-                if passage:
-                    found[0] = [span for span in found[0] if is_passage(data, *span)]
-                cut = [span for span in found[-1] if not passages_only or is_passage(data, *span)]
+                found = [merged(x[i], copies[i].as_py(), len(data), size) for x, size in zip(own, levels, strict=False)]
+                by_words = merged_words(data, own[-1][i], copies[i].as_py(), words) if words else []
+                cut = found[-1]
+                if passage or passages_only:
+                    found[0] = united([*(span for span in found[0] if is_passage(data, *span)), *by_words])
+                if passages_only:
+                    cut = found[0] if not passage else united([*(span for span in cut if is_passage(data, *span)), *by_words])
                 if whole_characters:
                     cut = [(_after(data, a), _before(data, b)) for a, b in cut]
                 parts, last = [], 0

@@ -1,4 +1,4 @@
-"""Bucket identifiers of a text's byte windows, and the windows that speak for their surroundings."""
+"""Bucket identifiers of windows of a text's bytes or words, and the windows that speak for their surroundings."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 
 
 _CODES = _splitmix(np.arange(1, 257, dtype=np.uint64))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _BASE = int(_splitmix(np.array([1000], np.uint64))[0]) | 1
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -39,19 +40,45 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of codes by powers of the base, from 0 on, and what undoes the power of each place."""
+    up, down = _powers(len(codes))
+    sums = np.empty(len(codes) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(codes * up, out=sums[1:])
+    return sums, down
+
+
 def q_buckets(data: np.ndarray, q: int) -> np.ndarray:
-    """The initial bucket of each position: an identifier of the q bytes there."""
+    """The initial bucket of each position: an identifier of the q bytes there, or of the q words, given by their codes."""
     if len(data) < q:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_CODES[data] * up, out=sums[1:])
+    sums, down = _sums(data if data.dtype == np.uint64 else _CODES[data])
     grams = sums[q:] - sums[:-q]
     grams *= down[: len(grams)]
     return pair(grams, np.uint64(q))
 
 
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the words of a text's bytes, which ASCII white space parts."""
+    inside = np.zeros(len(data) + 2, np.int8)
+    np.logical_not(_SPACE[data], out=inside[1:-1], casting="unsafe")
+    steps = np.diff(inside)
+    return np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+
+
+def word_codes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """A 64-bit code of each word; looks at about ``step`` bytes at a time, or a longer word."""
+    codes, at = np.empty(len(begins), np.uint64), 0
+    while at < len(begins):
+        stop = max(at + 1, int(np.searchsorted(ends, begins[at] + step, "right")))
+        sums, down = _sums(_CODES[data[begins[at] : ends[stop - 1]]])
+        a, b = begins[at:stop] - begins[at], ends[at:stop] - begins[at]
+        codes[at:stop] = pair((sums[b] - sums[a]) * down[a], (b - a).astype(np.uint64))
+        at = stop
+    return codes
+
+
 def refined(buckets: np.ndarray, offset: int) -> np.ndarray:
     """Buckets refined by the bucket at a later offset."""
     return pair(buckets[:-offset], buckets[offset:]) if len(buckets) > offset else np.zeros(0, np.uint64)

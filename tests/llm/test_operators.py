@@ -152,8 +152,26 @@ def plain_passage(data, begin, end):
     return end - begin >= 400 or len(whole) > 50
 
 
+def plain_edges(gone):
+    return np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0])))).reshape(-1, 2).tolist()
+
+
+def plain_short_words(b, length, seen=None):
+    """Windows of 51 words that have fewer than ``length`` bytes; with ``seen``, the ranges of those that occur twice."""
+    found = list(re.finditer(rb"[^ \t-\r]+", b))
+    some = [(tuple(m[0] for m in found[p : p + 51]), p) for p in range(len(found) - 50)]
+    some = [x for x in some if sum(map(len, x[0])) + 50 < length]
+    if seen is None:
+        return [x[0] for x in some]
+    gone = np.zeros(len(found), bool)
+    for words, p in some:
+        gone[p : p + 51] |= seen[words] > 1
+    return [(found[x].start(), found[y - 1].end()) for x, y in plain_edges(gone)]
+
+
 def plain_repeats(rows, length, passages_only=False):
     seen, out = Counter(), []
+    short = Counter(x for _, t in rows for x in plain_short_words((t or "").encode(), length)) if passages_only else None
     data = [(i, (t or "").encode()) for i, t in rows]
     for _, b in data:
         seen.update(b[p : p + length] for p in range(len(b) - length + 1))
@@ -162,8 +180,12 @@ def plain_repeats(rows, length, passages_only=False):
         for p in range(len(b) - length + 1):
             if seen[b[p : p + length]] > 1:
                 gone[p : p + length] = True
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(int), [0])))).reshape(-1, 2).tolist()
-        spans = [(x, y) for x, y in edges if not passages_only or plain_passage(b, x, y)]
+        spans = [(x, y) for x, y in plain_edges(gone) if not passages_only or plain_passage(b, x, y)]
+        if passages_only:
+            gone[:] = False
+            for x, y in [*spans, *plain_short_words(b, length, short)]:
+                gone[x:y] = True
+            spans = plain_edges(gone)
         kept = b"".join(b[x:y] for x, y in zip([0, *(y for _, y in spans)], [*(x for x, _ in spans), len(b)]))
         out.append((i, kept, sum(y - x for x, y in spans), len(spans)))
     return out
@@ -195,6 +217,32 @@ def test_short_passages(spark):
     assert all(both[i][0] == 0 and both[i][1] >= len(passages[i % 3]) for i in range(12)) and all(both[i] == (0, 0) for i in range(100, 112))
 
 
+@pytest.mark.parametrize("segment", [1 << 20, 40])
+def test_passages_of_short_words(spark, monkeypatch, segment):
+    """51 to 70 words under 200 bytes, also of other white space, in copies, at a text's ends and beside longer passages."""
+    import random
+
+    from tests.llm.conftest import sentence
+
+    monkeypatch.setattr(substring_dedup, "SEGMENT", segment)
+    pick = random.Random(8)
+    short = lambda n: " ".join("".join(pick.choice("abé") for _ in range(pick.randrange(1, 3))) for _ in range(n))
+    passages, texts = [short(n) for n in (51, 55, 70, 50)], ["", None, "a", " ".join("a" * 51), "  " + " ".join("a" * 51)]
+    for i in range(24):
+        own = f"{short(i)} {passages[i % 4]} {sentence(pick, 30) if i % 3 else short(40)}"
+        texts.append(own.replace(" ", "\n ") if i % 5 == 4 else own)
+    texts += [passages[0], passages[1] + " " + passages[2], texts[6], texts[6], f"{passages[2]} {texts[8]}", short(400), "b " * 120]
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_repeats(rows, 200, True)
+    assert sum(n > 0 for _, _, n, _ in want) > 15
+    found = substring_dedup.remove_repeats(frame, 200, passages_only=True).collect()
+    same([(r.doc.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in found], want)
+    both = substring_dedup.remove_repeats(frame, passage=200).collect()
+    same([(r.doc.doc_id, r.n_passage) for r in both], [(i, n) for i, _, n, _ in want])
+    same([(r.doc.doc_id, bytes(r.kept), r.n_removed, r.n_spans) for r in both], plain_repeats(rows, 400))
+
+
 def test_repeats_of_near_copies_and_segments(spark, monkeypatch):
     import random
 
