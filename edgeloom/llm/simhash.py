@@ -12,10 +12,18 @@ in some such bucket goes, as one row, to all of its variants within RADIUS / 2 b
 RADIUS share a variant, and all sharing one are within RADIUS, so they link to their smallest. That is
 1 + 64 + 2016 rows a fingerprint, whatever the buckets' sizes.
 
+Four bits are a shingle cosine of about 0.98. ``keep_one`` also finds copies that differ more, down to a Jaccard
+similarity of 0.8 of their sets of five-word shingles: beside the fingerprint of the whole text there are PARTS of
+samples of that set. A set is sorted by hash, as a ring, and part i is the PICK shingles from the hash
+i / PARTS of the way round on, so texts of every length have parts of one size. Two sets of similarity J share a part with probability
+J ** PICK; at 0.8 none of 32 is shared once in some 2,000 pairs. Fingerprints are candidates for a link to the smallest
+and the largest that they share a part with, two rows a part whatever the bucket's size, and are linked if the sets of
+their first texts are as similar as asked for, which is counted, not estimated.
+
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; repeated rows
 share their fingerprint and component; a null ``doc_id`` is kept and never is a component's name unless all
 its members are null; an empty table gives no rows; a text of any length is hashed whole, in steps of 65,536 shingles;
-other columns, of any name, are ignored, and ``keep_one`` keeps them.
+other columns, of any name, are ignored, and ``keep_one`` keeps them; a text without words has no parts.
 """
 
 from __future__ import annotations
@@ -32,11 +40,17 @@ from pyspark.sql import functions as F
 from edgeloom.llm import storage
 from edgeloom.llm.components import components
 from edgeloom.llm.tokens import in_bytes
+from edgeloom.llm.windows import q_buckets, word_bounds, word_codes
 
 WORDS = 4
 RADIUS = 4
 SEED = 42
 SMALL = 2_048
+#: Of sets of shingles: words of a shingle, the least Jaccard similarity of a link, samples and shingles in a sample.
+SET_WORDS = 5
+LEAST = 0.8
+PARTS = 32
+PICK = 7
 _COUNT = np.array([bin(i).count("1") for i in range(65_536)], np.uint8)
 
 
@@ -62,6 +76,26 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def shingle_set(text: str | None, words: int = SET_WORDS) -> np.ndarray:
+    """The hashes of a text's different shingles, ascending; fewer words are one shingle, no words are none."""
+    data = np.frombuffer((text or "").encode().lower(), np.uint8)
+    begins, ends = word_bounds(data)
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    return np.unique(q_buckets(word_codes(data, begins, ends), min(words, len(begins))))
+
+
+def part_prints(hashes: np.ndarray) -> np.ndarray:
+    """A fingerprint of each part of an ascending set of hashes: bits that are set in over half of its shingles."""
+    if not len(hashes):
+        return hashes
+    first = np.searchsorted(hashes, np.arange(PARTS, dtype=np.uint64) * np.uint64((1 << 64) // PARTS))
+    n = min(PICK, len(hashes))
+    picked = hashes[(first[:, None] + np.arange(n)) % len(hashes)]
+    bits = np.unpackbits(picked.view(np.uint8).reshape(PARTS, n, 8), axis=2, bitorder="little").sum(axis=1, dtype=np.uint8)
+    return np.packbits(2 * bits > n, axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` (as a signed long) for every row; no shuffle."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +108,50 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(compute, f"doc_id {doc_id}, fp long")
 
 
+def _with_parts(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, parts`` for every row; no shuffle."""
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in in_bytes(batch.column(1).to_pylist()):
+                whole = np.array([fingerprint(t) for t in texts], np.uint64)
+                parts = [part_prints(shingle_set(t)) for t in texts]
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), np.concatenate(parts).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(whole.view(np.int64)), lists], names=["doc_id", "fp", "parts"])
+
+    doc_id = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(storage.frugal(compute), f"doc_id {doc_id}, fp long, parts array<long>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``fp, hashes``: the sets of shingles of ``texts(fp, text)``."""
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, some in in_bytes(batch.column(1).to_pylist()):
+                sets = [shingle_set(t) for t in some]
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)]).astype(np.int32), np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), lists], names=["fp", "hashes"])
+
+    return texts.select("fp", "text").mapInArrow(storage.frugal(compute), "fp long, hashes array<long>")
+
+
+def set_links(prints: DataFrame, texts, scratch: storage.Scratch, least: float = LEAST) -> DataFrame:
+    """``u, v``: links between fingerprints of ``prints(fp, parts)`` whose texts' sets of shingles have a similarity of ``least`` or more.
+
+    ``texts(fps)`` gives ``fp, text``, the first text of each of these fingerprints.
+    """
+    rows = prints.select("fp", F.posexplode("parts").alias("i", "part")).select("fp", F.xxhash64("i", "part").alias("bucket"))
+    ends = rows.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
+    met = rows.join(ends, "bucket").select("fp", F.explode(F.array("lo", "hi")).alias("other"))
+    met = met.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"))
+    met = scratch.cut(met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > RADIUS).distinct())  # nearer ones are linked anyway
+    fps = met.select(F.col("u").alias("fp")).unionByName(met.select(F.col("v").alias("fp"))).distinct()
+    sets = scratch.cut(_sets(texts(fps)).dropDuplicates(["fp"]))
+    pairs = met.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
+    both, all_ = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    # both / (all - both) >= least
+    return pairs.where(both * (1 + least) >= least * all_).select("u", "v")
+
+
 def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
     """The positions that each table looks at, one mask a table, 2 ** (radius + 1) - 1 of them."""
     pick = random.Random(seed)
@@ -152,34 +230,48 @@ def _through_variants(crowded: DataFrame, radius: int) -> DataFrame:
     return rows.join(least, "variant").where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
-def _grouped(prints: DataFrame, order: str, scratch: storage.Scratch) -> DataFrame:
-    """``fp, first``: for each fingerprint the smallest ``order`` in its component."""
-    classes = scratch.cut(prints.groupBy("fp").agg(F.min(order).alias("own")))
-    found = components(links(classes.select("fp"), scratch.cut))
+def _grouped(classes: DataFrame, scratch: storage.Scratch, more: DataFrame | None = None) -> DataFrame:
+    """``fp, first``: for each fingerprint of ``classes(fp, own)`` the smallest ``own`` in its component; ``more`` are other links."""
+    linked = links(classes.select("fp"), scratch.cut)
+    found = components(linked if more is None else linked.unionByName(more))
     rows = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = rows.groupBy("component").agg(F.min("own").alias("first"))
     return rows.join(least, "component").select("fp", "first")
 
 
+def _classes(prints: DataFrame, scratch: storage.Scratch) -> DataFrame:
+    """Each fingerprint with its smallest ``doc_id``."""
+    return scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("own")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     with storage.Scratch(docs.sparkSession, "simhash") as scratch:
         prints = scratch.cut(fingerprints(docs))
-        rows = prints.join(_grouped(prints, "doc_id", scratch), "fp")
+        rows = prints.join(_grouped(_classes(prints, scratch), scratch), "fp")
         return storage.cut(rows.select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id")), "near-duplicates")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs``, all columns, one of each group: that of the smallest ``doc_id``.
 
-    Only ids, fingerprints and text hashes are stored; texts are shuffled once, to meet the rows to keep.
+    Groups are components of fingerprints within RADIUS bits and of texts whose sets of shingles have a similarity of
+    ``least`` or more. Only ids, fingerprints, those of parts and the sets of candidates are stored; texts are shuffled
+    once, to meet the rows to keep, and those of candidates once more. A null id comes after all others.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
+    none = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", none).alias("id"), F.xxhash64("text").alias("hash"))
     with storage.Scratch(docs.sparkSession, "simhash") as scratch:
         keyed = docs.select(key.alias("doc_id"), "text")
-        prints = scratch.cut(fingerprints(keyed))
-        firsts = storage.cut(_grouped(prints, "doc_id", scratch).select(F.col("first").alias("kept_key")).distinct(), "kept")
+        prints = scratch.cut(_with_parts(keyed))
+        classes = _classes(prints, scratch)
+
+        def texts(fps: DataFrame) -> DataFrame:
+            return keyed.join(storage.small(classes.join(fps, "fp").select("fp", F.col("own").alias("doc_id"))), "doc_id").select("fp", "text")
+
+        more = scratch.cut(set_links(prints, texts, scratch, least))
+        firsts = storage.cut(_grouped(classes, scratch, more).select(F.col("first").alias("kept_key")).distinct(), "kept")
     rows = docs.select(F.struct("*").alias("row"), key.alias("own_key"))
     flat = [F.col(f"own_key.{c}").alias(c) for c in ("none", "id", "hash")]
     kept = firsts.select(*(F.col(f"kept_key.{c}").alias(c) for c in ("none", "id", "hash")))

@@ -8,7 +8,7 @@ from array import array
 from collections import Counter, defaultdict
 
 from tests.llm.conftest import SCHEMA, sentence
-from tests.llm.test_operators import plain_components, plain_print, plain_repeats, plain_verdicts, plain_words, whole_ids
+from tests.llm.test_operators import plain_groups, plain_repeats, plain_verdicts, plain_words, whole_ids
 
 import corpus_pipeline
 from edgeloom.llm import packing
@@ -17,11 +17,10 @@ from edgeloom.llm import packing
 def plain_run(rows, items):
     """Ids and texts that reach the packing."""
     rows = [r for r, (_, kept) in zip(rows, plain_verdicts([t for _, t in rows])) if kept]
-    prints = {i: plain_print(t) for i, t in rows}
-    group, least = plain_components(set(prints.values()), 4), {}
-    for i, p in prints.items():
-        least[group[p]] = min(i, least.get(group[p], i))
-    rows = [(i, t) for i, t in rows if least[group[prints[i]]] == i]
+    group, least = plain_groups([t for _, t in rows]), {}
+    for i, t in rows:
+        least[group[t]] = min(i, least.get(group[t], i))
+    rows = [(i, t) for i, t in rows if least[group[t]] == i]
     rows = [(i, kept.decode()) for i, kept, _, _ in plain_repeats(rows, 200, True)]
     windows = {tuple(w[p : p + 10]) for w in map(plain_words, items) for p in range(len(w) - 9)}
     hit = lambda w: any(tuple(w[p : p + 10]) in windows for p in range(len(w) - 9))
