@@ -13,7 +13,8 @@ bring together, a shuffle by identifiers does. Each step keeps only what still s
    first and last window. Runs that still agree repeat wholly.
 3. Where runs of a bucket differ, one run of each kind is split into blocks of BLOCK windows. A block's bucket are
    the bytes that its windows share: the identifier of 2q bytes, refined by that of the 2q bytes at a later offset.
-4. In a block's bucket, windows are split by the few bytes left and right of those; what agrees is equal.
+4. In a block's bucket, blocks that agree in all bytes left and right of those, one shape, repeat wholly. Where shapes differ,
+   one block of each shape is split into windows by the few bytes beside those; what agrees is equal.
 
 ``levels`` reuses a shorter length's result: a window repeats only if all shorter ones in it do, so the next level
 looks at stretches of those only.
@@ -50,20 +51,28 @@ BLOCK = 16
 #: Windows that are looked at together.
 SEGMENT = 1 << 20
 
-_RUNS = pa.schema([("digest", pa.binary()), ("bucket", pa.int64()), ("ctx", pa.int64()), ("pf", pa.int32()), ("w", pa.int32()), ("d", pa.int32())])
+#: Texts of so many bytes together are looked at in one go.
+CHUNK = 1 << 18
+
+_RUNS = pa.schema([("digest", pa.binary()), ("in_words", pa.bool_()), ("bucket", pa.int64()), ("ctx", pa.int64()), ("pf", pa.int32()), ("w", pa.int32()), ("d", pa.int32())])
 _BLOCKS = pa.schema([("digest", pa.binary()), ("key", pa.int64()), ("at", pa.int32()), ("l0", pa.int32()), ("l1", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 
 
-def _runs_of(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of each segment of bytes or word codes: bucket, refined bucket, first window, windows, distance to the smallest q-gram."""
+def _runs_of(pieces: list[np.ndarray], length: int) -> tuple[np.ndarray, ...]:
+    """Of pieces of bytes or word codes that have a window: a run's piece, bucket, refined bucket, first window, windows, distance to the smallest q-gram."""
     q = -(-length // 4)
-    for start in range(0, len(data) - length + 1, SEGMENT):
-        buckets = q_buckets(data[start : start + SEGMENT + length - 1], q)
-        first, at = runs(buckets, length - q + 1)
-        whole = refined(refined(buckets, q), length - 2 * q)
-        n = np.diff(np.append(first, len(whole)))
-        ctx = pair(pair(whole[first], whole[first + n - 1]), n.astype(np.uint64))
-        yield buckets[at].view(np.int64), ctx.view(np.int64), first + start, n, at - first
+    size = np.array([len(piece) for piece in pieces])
+    begin = np.cumsum(size) - size
+    buckets = q_buckets(np.concatenate(pieces), q)
+    first, at = runs(buckets, length - q + 1, begin)
+    whole = refined(refined(buckets, q), length - 2 * q)
+    piece = np.searchsorted(begin, first, "right") - 1
+    end = np.minimum(np.append(first[1:], len(whole)), (begin + size - length + 1)[piece])
+    own = first < end  # other windows are of two pieces
+    first, at, piece, end = first[own], at[own], piece[own], end[own]
+    n = end - first
+    ctx = pair(pair(whole[first], whole[end - 1]), n.astype(np.uint64))
+    return piece, buckets[at].view(np.int64), ctx.view(np.int64), first - begin[piece], n, at - first
 
 
 def stretches(pf: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,50 +97,90 @@ def _short(begins: np.ndarray, ends: np.ndarray, words: int, below: int) -> np.n
     return total[words:] - total[:-words] + words - 1 < below
 
 
-def _find_runs(texts: DataFrame, length: int, known: int = 0, below: int = 0) -> DataFrame:
+def _with_short(texts: list[np.ndarray], words: int, below: int) -> list[int]:
+    """The places of those ``texts`` in which some ``words`` words are short."""
+    blank = np.frombuffer(b" ", np.uint8)
+    bounds = word_bounds(np.concatenate([x for text in texts for x in (text, blank)]))
+    if len(bounds[0]) < words:
+        return []
+    text = np.searchsorted(np.cumsum([len(text) + 1 for text in texts]), bounds[0], "right")
+    return np.unique(text[: 1 - words][_short(*bounds, words, below) & (text[: 1 - words] == text[words - 1 :])]).tolist()
+
+
+def _find_runs(texts: DataFrame, length: int, known: int = 0, words: int = 0) -> DataFrame:
     """Runs of the windows of ``texts(digest, text)``; with ``spans`` of repeated windows of ``known`` bytes, of those made of them.
 
-    With ``below``, windows are of ``length`` words that have fewer bytes.
+    With ``words``, also of windows of so many words that have fewer than ``length`` bytes.
     """
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # of texts that have a window
+        least = min(length, 2 * words - 1) if words else length
         for batch in batches:
-            parts: list[tuple] = []
-            held = 0
+            held: list[tuple[bytes, np.ndarray]] = []
+            pieces: list[tuple[bytes, int, np.ndarray]] = []
+            size, waiting = 0, 0
             for i, digest in enumerate(batch.column(0).to_pylist()):
                 data = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8)
-                if len(data) < length or digest in seen:
+                if len(data) < least or digest in seen:
                     continue
                 seen.add(digest)
-                if below:
-                    bounds = word_bounds(data)
-                    if len(bounds[0]) < length or not (short := _short(*bounds, length, below)).any():
-                        continue
-                    data = word_codes(data, *bounds)
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], short, [0]))))
-                    slices = zip(edges[::2].tolist(), (edges[1::2] - 1 + length).tolist(), strict=True)
-                elif known:
+                if known:
                     begins, ends = stretches(*_numbers(batch.column(2)[i]))
-                    more = ends - begins > length - known
-                    slices = zip(begins[more].tolist(), (ends[more] - 1 + known).tolist(), strict=True)
+                    slices = zip(begins.tolist(), (ends - 1 + known).tolist(), strict=True)
                 else:
                     slices = [(0, len(data))]
-                for a, b in slices:
-                    for bucket, ctx, pf, w, d in _runs_of(data[a:b], length):
-                        parts.append(([digest] * len(pf), bucket, ctx, pf + a, w, d))
-                        held += len(pf)
-                if held > 100_000:
-                    yield rows(parts)
-                    parts, held = [], 0
-            if parts:
-                yield rows(parts)
-
-    def rows(parts: list[tuple]) -> pa.RecordBatch:
-        digests, *rest = zip(*parts, strict=True)
-        columns = [pa.array([d for own in digests for d in own], pa.binary()), *(pa.array(np.concatenate(c), f.type) for c, f in zip(rest, list(_RUNS)[1:], strict=True))]
-        return pa.RecordBatch.from_arrays(columns, schema=_RUNS)
-
-    return texts.mapInArrow(storage.frugal(find), "digest binary, bucket long, ctx long, pf int, w int, d int")
+                for start, piece in cut(data, slices, length):
+                    pieces.append((digest, start, piece))
+                    size += len(piece)
+                    if size > CHUNK:
+                        yield rows(pieces, length, False)
+                        pieces, size = [], 0
+                if words:
+                    held.append((digest, data))
+                    waiting += len(data)
+                    if waiting > CHUNK:
+                        yield from short(held)
+                        held, waiting = [], 0
+            if pieces:
+                yield rows(pieces, length, False)
+            if held:
+                yield from short(held)
+
+    def cut(data: np.ndarray, slices: Iterator[tuple[int, int]], n: int) -> Iterator[tuple[int, np.ndarray]]:
+        for a, b in slices:
+            for start in range(a, b - n + 1, SEGMENT):
+                yield start, data[start : min(b, start + SEGMENT + n - 1)]
+
+    def short(held: list[tuple[bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        pieces: list[tuple[bytes, int, np.ndarray]] = []
+        for i in _with_short([data for _, data in held], words, length):
+            digest, data = held[i]
+            bounds = word_bounds(data)
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], _short(*bounds, words, length), [0]))))
+            slices = zip(edges[::2].tolist(), (edges[1::2] - 1 + words).tolist(), strict=True)
+            pieces += [(digest, start, piece) for start, piece in cut(word_codes(data, *bounds), slices, words)]
+        if pieces:
+            yield rows(pieces, words, True)
+
+    def rows(pieces: list[tuple[bytes, int, np.ndarray]], n: int, in_words: bool) -> pa.RecordBatch:
+        digests, starts, data = zip(*pieces, strict=True)
+        piece, bucket, ctx, pf, *rest = _runs_of(data, n)
+        columns = [bucket, ctx, pf + np.array(starts)[piece], *rest]
+        own = pa.array(digests, pa.binary()).take(pa.array(piece)), pa.array(np.full(len(piece), in_words))
+        return pa.RecordBatch.from_arrays([*own, *(pa.array(c, f.type, safe=False) for c, f in zip(columns, list(_RUNS)[2:], strict=True))], schema=_RUNS)
+
+    return texts.mapInArrow(storage.frugal(find), "digest binary, in_words boolean, bucket long, ctx long, pf int, w int, d int")
+
+
+def _slices(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` bytes of ``data`` from each ``begin`` on, one after another, and their numbers."""
+    return data[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+
+def _binary(slices: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """A value of each of these slices."""
+    data, n = (np.concatenate(x) for x in zip(*slices, strict=True))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32)), pa.py_buffer(data)])
 
 
 def _blocks(texts: DataFrame, length: int, words: bool) -> DataFrame:
@@ -152,7 +201,7 @@ def _blocks(texts: DataFrame, length: int, words: bool) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for i, digest in enumerate(batch.column(0).to_pylist()):
                 text, needs = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint8), batch.column(2)[i].values
                 if words:
@@ -161,103 +210,125 @@ def _blocks(texts: DataFrame, length: int, words: bool) -> DataFrame:
                 for segment in np.unique(pf // SEGMENT).tolist():
                     own, start = pf // SEGMENT == segment, segment * SEGMENT
                     data = text[start : start + SEGMENT + 2 * length]
-                    held = data.tobytes()
-                    for key, at, l0, l1 in zip(*(x.tolist() for x in blocks(data, pf[own] - start, w[own], d[own])), strict=True):
-                        left, right = held[width * (at - l1) : width * at], held[width * (at + core) : width * (at + core + BLOCK - 1 - l0)]
-                        rows.append((digest, key, start + at, l0, l1, left, right))
-                    if len(rows) > 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
-                        rows = []
+                    key, at, l0, l1 = blocks(data, pf[own] - start, w[own], d[own])
+                    data = data.view(np.uint8)
+                    left = _slices(data, width * (at - l1), width * l1)
+                    right = _slices(data, width * (at + core), width * (BLOCK - 1 - l0))
+                    rows.append((digest, key, start + at, l0, l1, left, right))
+                    held += len(key)
+                if held > 20_000:
+                    yield table(rows)
+                    rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _BLOCKS)], schema=_BLOCKS)
-
-    return texts.mapInArrow(storage.frugal(split), "digest binary, key long, at int, l0 int, l1 int, left binary, right binary")
+                yield table(rows)
 
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        digests, *numbers, left, right = zip(*rows, strict=True)
+        own = pa.array(digests, pa.binary()).take(pa.array(np.repeat(np.arange(len(rows)), [len(key) for key in numbers[0]])))
+        columns = [pa.array(np.concatenate(c), f.type, safe=False) for c, f in zip(numbers, list(_BLOCKS)[1:5], strict=True)]
+        return pa.RecordBatch.from_arrays([own, *columns, _binary(left), _binary(right)], schema=_BLOCKS)
 
-def _shared(found: DataFrame, by: str) -> DataFrame:
-    """The values of ``by`` of runs at two places or more; what several tasks found in copies of a text is one place."""
-    place = F.xxhash64("digest", "pf")
-    return found.groupBy(by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select(by)
+    return texts.mapInArrow(storage.frugal(split), "digest binary, key long, at int, l0 int, l1 int, left binary, right binary")
 
 
-def _spans(found: DataFrame, texts, length: int, cut, words: bool = False) -> DataFrame:
-    """``digest, spans``: the repeated windows, as runs (first, number), of texts that have some.
+def _grouped(found: DataFrame, stored: DataFrame, cut) -> DataFrame:
+    """``digest, pf, w, d, agreed, needed`` of the runs in buckets of two places or more: whether all windows of a run repeat
+    because a whole run does, and whether it stands for its kind where a bucket has several.
 
-    ``found``: all runs; ``texts(digests)`` gives the texts with these digests. ``words``: windows are of words, not bytes.
+    ``found`` are all runs; ``stored``, the table that they are read from, is dropped.
+    """
+    place = F.xxhash64("digest", "pf")  # what several tasks found in copies of a text is one place
+    two = F.min(place).alias("lo"), F.max(place).alias("hi")
+    shared = cut(found.groupBy("bucket").agg(*two).where("lo < hi").select("bucket"))
+    found = cut(found.join(shared, "bucket"), stored, shared)
+    kinds = cut(found.groupBy("bucket", "ctx").agg(*two))
+    differing = kinds.groupBy("bucket").agg((F.count("*") > 1).alias("differing"))
+    kinds_ = kinds.join(differing, "bucket").where("lo < hi or differing")
+    agreed, needed = F.expr("lo < hi"), F.col("differing") & (place == F.col("lo"))
+    rows = found.join(kinds_, ["bucket", "ctx"]).select("digest", "pf", "w", "d", agreed.alias("agreed"), needed.alias("needed"))
+    return cut(rows.where("agreed or needed"), found, kinds)
+
+
+def _spans(grouped: DataFrame, texts: DataFrame, length: int, cut, words: bool = False) -> DataFrame:
+    """``digest, spans``: the repeated windows, as stretches (first, number), of texts that have some.
+
+    ``grouped``: runs by ``_grouped``, which are dropped; ``texts`` has at least their texts, once each. ``words``: windows
+    are of words, not bytes.
     """
     width = 8 if words else 1
-    found = cut(found)
-    if found.isEmpty():
-        return found.select("digest", F.array(F.struct("pf", "w")).alias("spans"))
-    shared = cut(_shared(found, "bucket"))
-    found = cut(found.join(shared, "bucket"), found, shared)
-    place = F.xxhash64("digest", "pf")
-    one = F.min(F.struct("digest", "pf", "w", "d")).alias("one")
-    kinds = cut(found.groupBy("bucket", "ctx").agg(one, F.min(place).alias("lo"), F.max(place).alias("hi")))
-    agreed = found.join(kinds.where("lo < hi").select("bucket", "ctx"), ["bucket", "ctx"]).select("digest", "pf", "w")
-    agreed, own = cut(agreed), found.select("digest").distinct()
-    differing = kinds.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
-    needs = kinds.join(differing, "bucket").select("one.*")
-    needs = cut(needs.groupBy("digest").agg(F.collect_list(F.struct("pf", "w", "d")).alias("needs")), kinds)  # at most a text's windows
-    blocks = _blocks(texts(own).join(needs, "digest").select("digest", "text", "needs"), length, words)
-    blocks = cut(blocks.withColumn("id", F.monotonically_increasing_id()), found, needs)
-    # a text is there once, so each window is one row; that with l bytes left of the shared ones has BLOCK - 1 - l right of them
-    twice = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    windows = blocks.join(twice, "key").withColumn("l", F.explode(F.sequence("l0", "l1")))
+    # at most a text's windows
+    needs = cut(grouped.where("needed").groupBy("digest").agg(F.collect_set(F.struct("pf", "w", "d")).alias("needs")))
+    blocks = _blocks(texts.join(needs, "digest").select("digest", "text", "needs"), length, words)
+    shape = F.xxhash64("l0", "l1", "left", "right").alias("shape")
+    blocks = cut(blocks.select("*", shape, F.monotonically_increasing_id().alias("id")), needs)
+    # a text is there once, so each block is one place; blocks of one shape repeat wholly, and one of them is compared with other shapes
+    kinds = cut(blocks.groupBy("key", "shape").agg(F.min("id").alias("one"), F.count("*").alias("n")))
+    differing = kinds.groupBy("key").agg((F.count("*") > 1).alias("differing"))
+    kinds_ = kinds.join(differing, "key").where("n > 1 or differing")
+    blocks = cut(blocks.join(kinds_, ["key", "shape"]).drop("shape"), blocks, kinds)
+    whole = blocks.where("n > 1").select("digest", (F.col("at") - F.col("l1")).alias("pf"), (F.col("l1") - F.col("l0") + 1).alias("w"))
+    # a window with l bytes left of the shared ones has BLOCK - 1 - l right of them
     beside = F.xxhash64(F.expr(f"substring(left, length(left) - {width} * l + 1, {width} * l)"), F.expr(f"substring(right, 1, {width} * ({BLOCK - 1} - l))"))
-    windows = cut(windows.select("key", beside.alias("beside"), "id", F.col("l").cast("byte").alias("l")))
+    windows = blocks.where("differing and id = one").withColumn("l", F.explode(F.sequence("l0", "l1")))
+    windows = cut(windows.select("key", beside.alias("beside"), "id", F.col("l").cast("byte").alias("l"), (F.col("n") == 1).alias("alone")))
     twice = windows.groupBy("key", "beside").agg(F.count("*").alias("n")).where("n > 1").select("key", "beside")
-    single = cut(windows.join(twice, ["key", "beside"]).groupBy("id").agg(F.collect_list("l").alias("ls")), windows)  # BLOCK at most
-    single = blocks.join(single, "id").select("digest", "at", F.explode("ls").alias("l"))
-    spans = agreed.unionByName(single.select("digest", (F.col("at") - F.col("l")).alias("pf"), F.lit(1).alias("w")))
-    return cut(spans.groupBy("digest").agg(F.collect_set(F.struct("pf", "w")).alias("spans")), agreed, blocks)
+    single = windows.where("alone").join(twice, ["key", "beside"]).groupBy("id").agg(F.expr("bit_or(shiftleft(1, l))").alias("ls"))
+    single = cut(single, windows)  # a bit for each l
+    one = F.explode(F.expr(f"filter(sequence(0, {BLOCK - 1}), l -> getbit(ls, l) = 1)")).alias("l")
+    single = blocks.where("n = 1").join(single, "id").select("digest", "at", one)
+    spans = grouped.where("agreed").select("digest", "pf", "w").unionByName(whole)
+    spans = spans.unionByName(single.select("digest", (F.col("at") - F.col("l")).alias("pf"), F.lit(1).alias("w")))
+    number = F.expr("shiftleft(cast(pf as long), 32) + w")
+    return cut(_joined(spans.groupBy("digest").agg(F.collect_set(number).alias("spans"))), grouped, blocks)
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """``spans`` of ``pf << 32 | w`` as stretches."""
+    inside = pa.struct([("pf", pa.int32()), ("w", pa.int32())])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.asarray(x.values, np.int64) for x in batch.column(1)]
+            found = [stretches(x >> 32, x & 0xFFFFFFFF) for x in found]
+            if found:
+                begins, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+                offsets = pa.array(np.append(0, np.cumsum([len(x) for x, _ in found])), pa.int32())
+                values = pa.StructArray.from_arrays([pa.array(begins, pa.int32()), pa.array(ends - begins, pa.int32())], fields=list(inside))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, values)], names=["digest", "spans"])
+
+    return spans.mapInArrow(storage.frugal(join), "digest binary, spans array<struct<pf: int, w: int>>")
 
 
 def repeated_spans(texts: DataFrame, levels: tuple[int, ...] = (LENGTH,), words: int = 0) -> DataFrame:
-    """``digest, copies, spans0, spans1, ...``, a list of runs of repeated windows a level, for each text of
+    """``digest, copies, spans0, spans1, ...``, a list of stretches of repeated windows a level, for each text of
     ``texts(digest, text)`` that has copies or such windows. Levels are lengths, in ascending order.
 
-    With ``words``, ``in_words`` has runs of repeated windows of so many words that have fewer bytes than the first level.
+    With ``words``, ``in_words`` has stretches of repeated windows of so many words that have fewer bytes than the first level.
     """
     with storage.Scratch(texts.sparkSession, "repeats") as scratch:
-        kept: list[DataFrame] = []
-
-        def some(digests: DataFrame) -> DataFrame:
-            """The texts with these digests, once each; stored the first time, as later levels ask for fewer."""
-            if not kept:
-                kept.append(scratch.cut(_once(texts).join(digests, "digest").groupBy("digest").agg(F.first("text").alias("text"))))
-            return kept[0]
-
+        cut = scratch.cut
         least = min(levels[0], 2 * words - 1) if words else levels[0]
-        rows = texts.where(F.octet_length("text") >= least).groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
-        known, spans = 0, None
+        long = texts.where(F.octet_length("text") >= least)
+        rows = long.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1")
+        found = cut(_find_runs(long, levels[0], words=words))
+        by_words = cut(found.where("in_words")) if words else None
+        grouped, short = _grouped(found.where("not in_words"), found, cut), _grouped(by_words, by_words, cut) if words else None
+        own = grouped.select("digest")
+        own = (own.unionByName(short.select("digest")) if words else own).distinct()
+        # a task's copies of a text are one before the shuffle; stored, as later levels ask for fewer
+        kept = cut(long.groupBy("digest").agg(F.first("text").alias("text")).join(own, "digest"))
+        known = 0
         for i, length in enumerate(levels):
-            found = _find_runs(kept[0].join(spans, "digest").select("digest", "text", "spans") if known else texts, length, known)
-            spans, known = _spans(found, some, length, scratch.cut), length
+            if known:
+                found = cut(_find_runs(kept.join(spans, "digest").select("digest", "text", "spans"), length, known))
+                grouped = _grouped(found, found, cut)
+            spans, known = _spans(grouped, kept, length, cut), length
             rows = rows.join(spans.withColumnRenamed("spans", f"spans{i}"), "digest", "full")
         if words:
-            found = _find_runs(texts.where(F.octet_length("text") >= least), words, below=levels[0])
-            some = lambda digests: scratch.cut(_once(texts).join(digests, "digest").groupBy("digest").agg(F.first("text").alias("text")))
-            spans = _spans(found, some, words, scratch.cut, True)
-            rows = rows.join(spans.withColumnRenamed("spans", "in_words"), "digest", "full")
+            rows = rows.join(_spans(short, kept, words, cut, True).withColumnRenamed("spans", "in_words"), "digest", "full")
         return storage.cut(rows, "spans")
 
 
-def _once(texts: DataFrame) -> DataFrame:
-    """Each text once a task, before a shuffle; the tasks may still share some."""
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            digests = batch.column(0).to_pylist()
-            keep = []
-            for digest in digests:
-                keep.append(digest not in seen)
-                seen.add(digest)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return texts.mapInArrow(storage.frugal(drop), "digest binary, text string")
-
-
 def merged(spans: pa.ListScalar, copies: int | None, size: int, length: int) -> list[tuple[int, int]]:
     """Maximal repeated byte ranges."""
     if size < length:

@@ -96,8 +96,8 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(suffix[: n - width + 1], prefix[width - 1 : n])
 
 
-def runs(buckets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cut the windows of ``width`` positions into runs with the same leftmost smallest bucket.
+def runs(buckets: np.ndarray, width: int, begins: np.ndarray | tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray]:
+    """Cut the windows of ``width`` positions into runs with the same leftmost smallest bucket; a run begins at each of ``begins``.
 
     Returns each run's first window and the position of that bucket. The position depends on the window's
     content alone, so equal windows anywhere have it at the same distance.
@@ -107,10 +107,11 @@ def runs(buckets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     least = sliding_least(buckets, width)
     n = len(least)
     left = np.empty(n, bool)  # the old smallest has just left
-    left[0] = True
     np.equal(buckets[: n - 1], least[:-1], out=left[1:])
+    left[list(begins)] = True
     came = np.zeros(n, bool)  # a smaller one has just come
     np.less(buckets[width : width + n - 1], least[:-1], out=came[1:])
+    came[list(begins)] = False
     first = np.flatnonzero(left | came)
     at = first + width - 1
     seek = np.flatnonzero(~came[first])

@@ -258,6 +258,24 @@ def test_repeats_of_near_copies_and_segments(spark, monkeypatch):
     same([(r.doc.doc_id, r.n_passage) for r in found.collect()], [(i, n) for i, _, n, _ in plain_repeats(rows, 80, True)])
 
 
+def test_repeated_passage_is_one_stretch(spark):
+    pick = random.Random(9)
+    passage = sentence(pick, 500)
+    rows = [(i, f"{sentence(pick, 60)} {i} {passage} {i} {sentence(pick, 60)}") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).select(F.unhex(F.md5("text")).alias("digest"), "text")
+    found = substring_dedup.repeated_spans(frame, (200,)).collect()
+    assert [(len(r.spans0), r.copies) for r in found] == [(1, None)] * 20
+    assert all(0 <= r.spans0[0].w - (len(passage) + 2 - 199) < 10 for r in found)  # a neighbour's letter may be the same
+
+
+def test_runs_of_pieces():
+    """Runs of texts looked at together are those of each text."""
+    pick = np.random.default_rng(4)
+    pieces = [pick.integers(97, 100, n).astype(np.uint8) for n in (80, 81, 400, 80, 1000)] + [np.full(300, 97, np.uint8)] * 2
+    together = np.stack(substring_dedup._runs_of(pieces, 80), axis=1).tolist()
+    assert together == [[i, *run[1:]] for i, piece in enumerate(pieces) for run in np.stack(substring_dedup._runs_of([piece], 80), axis=1).tolist()]
+
+
 def test_repeats_whole_characters(spark):
     rows = [(0, "é" * 50 + "ü" * 40), (1, "xé" + "é" * 50)]
     found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 80, whole_characters=True)
