@@ -19,14 +19,14 @@ def _least(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour of u links to the smallest one of u's neighbourhood."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    joined = both.join(_least(both), "u").where("v > u")
+    joined = both.join(_least(both).hint("merge"), "u").where("v > u")
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """u and its smaller neighbours link to the smallest of them."""
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    joined = down.join(_least(down), "u")
+    joined = down.join(_least(down).hint("merge"), "u")
     moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
     return moved.where("u <> v").distinct()
 
@@ -34,8 +34,9 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``links(u, v)`` with an edge to another.
 
-    A hub's rows are pre-aggregated before each shuffle of minima; joins on a hub are split by AQE. Each
-    round's links are a table in the shared folder, so an executor's loss costs one round at most.
+    A hub's rows are pre-aggregated before each shuffle of minima; joins on a hub are split by AQE. No join is
+    a broadcast, as files of links to few centres are small for their rows. Each round's links are a table in the shared
+    folder, so an executor's loss costs one round at most.
     """
     spark = links.sparkSession
     with storage.Scratch(spark, "links") as scratch:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import sentence
@@ -384,6 +385,31 @@ def test_near_duplicates(docs):
     assert kept.columns == docs.columns and kept.count() == len(set(plain_groups([t for _, t in rows]).values()))
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The physical plans of the tables that operators store from here on."""
+    found = []
+
+    def told(store):
+        def stored(*args):
+            frame = next(a for a in args if isinstance(a, DataFrame))
+            found.append(frame._jdf.queryExecution().executedPlan().toString())
+            return store(*args)
+
+        return stored
+
+    monkeypatch.setattr(storage, "cut", told(storage.cut))
+    monkeypatch.setattr(storage.Scratch, "cut", told(storage.Scratch.cut))
+    return found
+
+
+def test_near_duplicates_broadcast_nothing(docs, plans, monkeypatch):
+    # the tables here are small, as Spark takes them to be after an explode
+    monkeypatch.setattr(simhash.links, "__defaults__", (simhash.RADIUS, 1))
+    simhash.near_duplicates(docs)
+    assert sum("Join" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_near_duplicates_empty(none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
