@@ -12,8 +12,11 @@ MOST_ROUNDS = 60
 
 
 def _least(links: DataFrame) -> DataFrame:
-    """Each node's smallest neighbour or itself."""
-    return links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """Each node's smallest neighbour or itself.
+
+    Grouped with a hash of u, so that a join on u has an exchange of its own here, without which AQE splits no hub.
+    """
+    return links.groupBy(F.xxhash64("u").alias("hash"), "u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
 def _large_star(links: DataFrame) -> DataFrame:

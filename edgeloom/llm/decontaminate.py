@@ -43,9 +43,9 @@ def lowered(word: str) -> Column:
 
 
 def _small(frame: DataFrame, size: Column | None = None) -> DataFrame:
-    """Marked for broadcast if its rows have BROADCAST_BYTES at most; ``size`` is what a row has besides 32 bytes."""
+    """Marked for broadcast if its rows have BROADCAST_BYTES at most, else for a sorted join; ``size`` is what a row has besides 32 bytes."""
     total = frame.agg(F.sum(F.lit(32).cast("long") + (F.lit(0) if size is None else size)).alias("n")).first().n or 0
-    return F.broadcast(frame) if total <= BROADCAST_BYTES else frame
+    return F.broadcast(frame) if total <= BROADCAST_BYTES else frame.hint("merge")
 
 
 def build_index(docs: DataFrame, cut, terms: DataFrame | None = None) -> DataFrame:
@@ -85,7 +85,7 @@ def find_phrases(docs: DataFrame, items: DataFrame, cut, window: int = WINDOW) -
     postings = index.where("term >= 0").select("uid", "pos", "term")
 
     counts = postings.groupBy("term").agg(F.count("*").alias("found"))
-    tests = tests.join(terms, "word").join(counts, "term", "left").fillna(0, ["found"])
+    tests = tests.join(terms.hint("merge"), "word").join(counts.hint("merge"), "term", "left").fillna(0, ["found"])
     tests = cut(tests.select("item", "key", "n", "j", "term", "found"))
     # the rarest word of each window; an item's words are few and meet by item
     ahead = Window.partitionBy("key").orderBy("j").rowsBetween(0, window - 1)
@@ -125,7 +125,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         begin = F.greatest(F.col("first"), F.coalesce(F.max("last").over(before) + 1, F.lit(0)))
         new = hits.withColumn("new", F.greatest(F.lit(0), F.col("last") - begin + 1))
         found = new.groupBy("uid").agg(F.sum("new").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-        rows = ends.join(found, "uid", "left")
+        rows = ends.join(found.hint("merge"), "uid", "left")
         none = F.array().cast("array<string>")
         hit = F.coalesce("n_hit", F.lit(0)).cast("long")
         return storage.cut(rows.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -138,12 +138,12 @@ def near(docs: DataFrame, phrases: DataFrame, span: int) -> DataFrame:
     terms = tests.select("word").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(END).alias("word")))
     index = build_index(docs, lambda frame: storage.cut(frame, "postings"), terms.withColumn("term", F.col("word")))
     wanted = tests.groupBy("item", "key").agg(F.countDistinct("word").alias("kinds"))
-    each = tests.select("item", "key", F.col("word").alias("term")).distinct().join(wanted, ["item", "key"])
+    each = tests.select("item", "key", F.col("word").alias("term")).distinct().join(wanted.hint("merge"), ["item", "key"])
     rows = index.where(F.col("term") != END).join(_small(each, F.octet_length("term") + F.octet_length("item")), "term")
     ahead = Window.partitionBy("uid", "key").orderBy("pos").rangeBetween(0, span - 1)
     rows = rows.withColumn("there", F.size(F.collect_set("term").over(ahead))).where("there = kinds")
     ids = index.where(F.col("term") == END).select("uid", "doc_id")
-    return rows.drop("doc_id").join(ids, "uid").select("doc_id", "item", F.col("pos").alias("first"))
+    return rows.drop("doc_id").join(ids.hint("merge"), "uid").select("doc_id", "item", F.col("pos").alias("first"))
 
 
 def clean(docs: DataFrame, items: DataFrame, most: float = 0.0) -> DataFrame:
@@ -154,5 +154,6 @@ def clean(docs: DataFrame, items: DataFrame, most: float = 0.0) -> DataFrame:
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     found = contamination(docs.select(key.alias("doc_id"), "text"), items)
     bad = found.where(F.col("n_hit") > most * F.col("n_words")).select(F.col("doc_id").alias("bad")).distinct()
+    bad = _small(bad, F.coalesce(F.octet_length(F.col("bad.id").cast("string")), F.lit(0)))
     rows = docs.select(F.struct("*").alias("row"), key.alias("own"))
-    return rows.join(_small(bad), F.col("own").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
+    return rows.join(bad, F.col("own").eqNullSafe(F.col("bad")), "left_anti").select("row.*")

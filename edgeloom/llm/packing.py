@@ -241,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str = tokens.DEFAULT_TOKENIZER, capacity: i
     where = places(solve(histogram, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    base = F.broadcast(base) if counts.count() <= BROADCAST_ROWS else base
+    base = F.broadcast(base) if counts.count() <= BROADCAST_ROWS else base.hint("merge")
     rows = found.join(base, ["task", "length"]).select("doc_id", "piece", "start", "length", (F.col("rank") + F.col("base")).alias("rank"), "ids")
     schema = pa.schema([*list(_PIECES)[:4], ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 

@@ -144,12 +144,12 @@ def set_links(prints: DataFrame, texts, scratch: storage.Scratch, least: float =
     """
     rows = prints.select("fp", F.posexplode("parts").alias("i", "part")).select("fp", F.xxhash64("i", "part").alias("bucket"))
     ends = rows.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    met = rows.join(ends, "bucket").select("fp", F.explode(F.array("lo", "hi")).alias("other"))
+    met = rows.join(ends.hint("merge"), "bucket").select("fp", F.explode(F.array("lo", "hi")).alias("other"))
     met = met.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"))
     met = scratch.cut(met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > RADIUS).distinct())  # nearer ones are linked anyway
     fps = met.select(F.col("u").alias("fp")).unionByName(met.select(F.col("v").alias("fp"))).distinct()
     sets = scratch.cut(_sets(texts(fps)).dropDuplicates(["fp"]))
-    pairs = met.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
+    pairs = met.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")).hint("merge"), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")).hint("merge"), "v")
     both, all_ = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
     # both / (all - both) >= least
     return pairs.where(both * (1 + least) >= least * all_).select("u", "v")
@@ -238,7 +238,8 @@ def _grouped(classes: DataFrame, scratch: storage.Scratch, more: DataFrame | Non
     linked = links(classes.select("fp"), scratch.cut)
     found = components(linked if more is None else linked.unionByName(more))
     rows = classes.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = rows.groupBy("component").agg(F.min("own").alias("first"))
+    # with the hash, the join has an exchange of its own here, and AQE splits a large component
+    least = rows.groupBy(F.xxhash64("component").alias("hash"), "component").agg(F.min("own").alias("first")).drop("hash")
     return rows.join(least.hint("merge"), "component").select("fp", "first")
 
 
@@ -271,13 +272,15 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
         classes = _classes(prints, scratch)
 
         def texts(fps: DataFrame) -> DataFrame:
-            return keyed.join(storage.small(classes.join(fps, "fp").select("fp", F.col("own").alias("doc_id"))), "doc_id").select("fp", "text")
+            asked = classes.join(fps.hint("merge"), "fp").select("fp", F.col("own").alias("doc_id"))
+            return keyed.join(storage.small(asked, F.octet_length(F.col("doc_id.id").cast("string"))), "doc_id").select("fp", "text")
 
         more = scratch.cut(set_links(prints, texts, scratch, least))
         firsts = storage.cut(_grouped(classes, scratch, more).select(F.col("first").alias("kept_key")).distinct(), "kept")
     rows = docs.select(F.struct("*").alias("row"), key.alias("own_key"))
     flat = [F.col(f"own_key.{c}").alias(c) for c in ("none", "id", "hash")]
     kept = firsts.select(*(F.col(f"kept_key.{c}").alias(c) for c in ("none", "id", "hash")))
+    kept = storage.small(kept, F.octet_length(F.col("id").cast("string")))
     rows = rows.select("row", *flat).join(kept, ["none", "id", "hash"], "left_semi")
     # rows that repeat id and text are alike; the first of them stays
     place = F.row_number().over(Window.partitionBy("none", "id", "hash").orderBy("none"))

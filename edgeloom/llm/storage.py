@@ -24,9 +24,10 @@ _IDLE: dict[str, threading.Timer] = {}
 
 
 def small(frame: DataFrame, size: Column | None = None) -> DataFrame:
-    """Marked for broadcast if its rows have BROADCAST_BYTES at most; ``size`` is what a row has besides 32 bytes."""
+    """Marked for broadcast if its rows have BROADCAST_BYTES at most, else for a sorted join, whatever Spark takes its size
+    to be; ``size`` is what a row has besides 32 bytes."""
     total = frame.agg(F.sum(F.lit(32).cast("long") + (F.lit(0) if size is None else size)).alias("n")).first().n or 0
-    return F.broadcast(frame) if total <= BROADCAST_BYTES else frame
+    return F.broadcast(frame) if total <= BROADCAST_BYTES else frame.hint("merge")
 
 
 class Scratch:

@@ -20,7 +20,8 @@ bring together, a shuffle by identifiers does. Each step keeps only what still s
 looks at stretches of those only.
 
 Every table is keyed by bucket, so a passage in a third of all documents is a third of some rows; these are
-aggregated before they are shuffled, and met by joins that AQE splits. No pairs are made. Two different windows are
+aggregated before they are shuffled, and met by joins that AQE splits; none is a broadcast, as lists of places are many
+times their files. No pairs are made. Two different windows are
 taken for equal only if two 64-bit identifiers, of the q-gram and the window or of the shared bytes and those
 beside them, agree at once. Copies of a whole text count as one text with a number.
 
@@ -240,12 +241,12 @@ def _grouped(found: DataFrame, stored: DataFrame, cut) -> DataFrame:
     place = F.xxhash64("digest", "pf")  # what several tasks found in copies of a text is one place
     two = F.min(place).alias("lo"), F.max(place).alias("hi")
     shared = cut(found.groupBy("bucket").agg(*two).where("lo < hi").select("bucket"))
-    found = cut(found.join(shared, "bucket"), stored, shared)
+    found = cut(found.join(shared.hint("merge"), "bucket"), stored, shared)
     kinds = cut(found.groupBy("bucket", "ctx").agg(*two))
     differing = kinds.groupBy("bucket").agg((F.count("*") > 1).alias("differing"))
-    kinds_ = kinds.join(differing, "bucket").where("lo < hi or differing")
+    kinds_ = kinds.join(differing.hint("merge"), "bucket").where("lo < hi or differing")
     agreed, needed = F.expr("lo < hi"), F.col("differing") & (place == F.col("lo"))
-    rows = found.join(kinds_, ["bucket", "ctx"]).select("digest", "pf", "w", "d", agreed.alias("agreed"), needed.alias("needed"))
+    rows = found.join(kinds_.hint("merge"), ["bucket", "ctx"]).select("digest", "pf", "w", "d", agreed.alias("agreed"), needed.alias("needed"))
     return cut(rows.where("agreed or needed"), found, kinds)
 
 
@@ -258,24 +259,24 @@ def _spans(grouped: DataFrame, texts: DataFrame, length: int, cut, words: bool =
     width = 8 if words else 1
     # at most a text's windows
     needs = cut(grouped.where("needed").groupBy("digest").agg(F.collect_set(F.struct("pf", "w", "d")).alias("needs")))
-    blocks = _blocks(texts.join(needs, "digest").select("digest", "text", "needs"), length, words)
+    blocks = _blocks(texts.join(needs.hint("merge"), "digest").select("digest", "text", "needs"), length, words)
     shape = F.xxhash64("l0", "l1", "left", "right").alias("shape")
     blocks = cut(blocks.select("*", shape, F.monotonically_increasing_id().alias("id")), needs)
     # a text is there once, so each block is one place; blocks of one shape repeat wholly, and one of them is compared with other shapes
     kinds = cut(blocks.groupBy("key", "shape").agg(F.min("id").alias("one"), F.count("*").alias("n")))
     differing = kinds.groupBy("key").agg((F.count("*") > 1).alias("differing"))
-    kinds_ = kinds.join(differing, "key").where("n > 1 or differing")
-    blocks = cut(blocks.join(kinds_, ["key", "shape"]).drop("shape"), blocks, kinds)
+    kinds_ = kinds.join(differing.hint("merge"), "key").where("n > 1 or differing")
+    blocks = cut(blocks.join(kinds_.hint("merge"), ["key", "shape"]).drop("shape"), blocks, kinds)
     whole = blocks.where("n > 1").select("digest", (F.col("at") - F.col("l1")).alias("pf"), (F.col("l1") - F.col("l0") + 1).alias("w"))
     # a window with l bytes left of the shared ones has BLOCK - 1 - l right of them
     beside = F.xxhash64(F.expr(f"substring(left, length(left) - {width} * l + 1, {width} * l)"), F.expr(f"substring(right, 1, {width} * ({BLOCK - 1} - l))"))
     windows = blocks.where("differing and id = one").withColumn("l", F.explode(F.sequence("l0", "l1")))
     windows = cut(windows.select("key", beside.alias("beside"), "id", F.col("l").cast("byte").alias("l"), (F.col("n") == 1).alias("alone")))
     twice = windows.groupBy("key", "beside").agg(F.count("*").alias("n")).where("n > 1").select("key", "beside")
-    single = windows.where("alone").join(twice, ["key", "beside"]).groupBy("id").agg(F.expr("bit_or(shiftleft(1, l))").alias("ls"))
+    single = windows.where("alone").join(twice.hint("merge"), ["key", "beside"]).groupBy("id").agg(F.expr("bit_or(shiftleft(1, l))").alias("ls"))
     single = cut(single, windows)  # a bit for each l
     one = F.explode(F.expr(f"filter(sequence(0, {BLOCK - 1}), l -> getbit(ls, l) = 1)")).alias("l")
-    single = blocks.where("n = 1").join(single, "id").select("digest", "at", one)
+    single = blocks.where("n = 1").join(single.hint("merge"), "id").select("digest", "at", one)
     spans = grouped.where("agreed").select("digest", "pf", "w").unionByName(whole)
     spans = spans.unionByName(single.select("digest", (F.col("at") - F.col("l")).alias("pf"), F.lit(1).alias("w")))
     number = F.expr("shiftleft(cast(pf as long), 32) + w")
@@ -316,16 +317,16 @@ def repeated_spans(texts: DataFrame, levels: tuple[int, ...] = (LENGTH,), words:
         own = grouped.select("digest")
         own = (own.unionByName(short.select("digest")) if words else own).distinct()
         # a task's copies of a text are one before the shuffle; stored, as later levels ask for fewer
-        kept = cut(long.groupBy("digest").agg(F.first("text").alias("text")).join(own, "digest"))
+        kept = cut(long.groupBy("digest").agg(F.first("text").alias("text")).join(own.hint("merge"), "digest"))
         known = 0
         for i, length in enumerate(levels):
             if known:
-                found = cut(_find_runs(kept.join(spans, "digest").select("digest", "text", "spans"), length, known))
+                found = cut(_find_runs(kept.join(spans.hint("merge"), "digest").select("digest", "text", "spans"), length, known))
                 grouped = _grouped(found, found, cut)
             spans, known = _spans(grouped, kept, length, cut), length
-            rows = rows.join(spans.withColumnRenamed("spans", f"spans{i}"), "digest", "full")
+            rows = rows.join(spans.withColumnRenamed("spans", f"spans{i}").hint("merge"), "digest", "full")
         if words:
-            rows = rows.join(_spans(short, kept, words, cut, True).withColumnRenamed("spans", "in_words"), "digest", "full")
+            rows = rows.join(_spans(short, kept, words, cut, True).withColumnRenamed("spans", "in_words").hint("merge"), "digest", "full")
         return storage.cut(rows, "spans")
 
 
@@ -390,7 +391,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_characters: bool
     spans = repeated_spans(docs.select(digest, text.alias("text")), levels, words)
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
     doc = docs.select(others.alias("doc"), digest, text.alias("body"))
-    rows = doc.join(spans, "digest", "left").select("doc", "body", "copies", *(f"spans{i}" for i in range(len(levels))), *(["in_words"] if words else []))
+    rows = doc.join(spans.hint("merge"), "digest", "left").select("doc", "body", "copies", *(f"spans{i}" for i in range(len(levels))), *(["in_words"] if words else []))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -410,6 +410,15 @@ def test_near_duplicates_broadcast_nothing(docs, plans, monkeypatch):
     assert sum("Join" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
 
 
+def test_stages_broadcast_only_what_is_summed_up(spark, docs, plans, monkeypatch):
+    for module in (storage, decontaminate):
+        monkeypatch.setattr(module, "BROADCAST_BYTES", -1)
+    items = spark.createDataFrame([(1, docs.where("doc_id = 1").first().text)], "item_id long, text string")
+    results = [simhash.keep_one(docs), substring_dedup.remove_repeats(docs, 200, passages_only=True), decontaminate.clean(docs, items)]
+    plans += [frame._jdf.queryExecution().executedPlan().toString() for frame in results]
+    assert sum("Join" in p for p in plans) > 12 and not any("Broadcast" in p for p in plans)
+
+
 def test_near_duplicates_empty(none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
