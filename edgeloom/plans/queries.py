@@ -433,7 +433,8 @@ FACTOR_ROUNDS = 5
 
 def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factors of parts and suppliers, in one id space, from the quantities between them."""
-    found = factorise.factorise(flows.bipartite_graph(sources.part_supp_weighted(spark, sf_dir))[0], FACTOR_ROUNDS)
+    n1 = sources.part_supp(spark, sf_dir).agg(F.coalesce(F.max("src") + 1, F.lit(0)).alias("n1")).first().n1
+    found = factorise.factorise(canonical.bipartite(sources.part_supp_weighted(spark, sf_dir), n1), FACTOR_ROUNDS)
     return found.select("id", F.posexplode("factors").alias("k", "factor")).select("id", "k", F.round("factor", 6).alias("factor"))
 
 

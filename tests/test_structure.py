@@ -202,6 +202,35 @@ def test_factors(spark):
     assert factorise.factorise(graph.drop("weight"), 0, rank=3).count() == len(ids)
 
 
+def test_factors_move_once_a_cell(spark, monkeypatch):
+    # sources and destinations share no id; a hub has a third of all edges, some ends or weights are null, and repeated edges pull twice
+    pick = random.Random(5)
+    edges = [(pick.randrange(50), 100 + pick.randrange(8), float(pick.randrange(1, 9))) for _ in range(400)] + [(3, 100 + i % 8, 2.0) for i in range(200)]
+    graph = frame(spark, [*edges, (None, 101, 1.0), (1, None, 1.0), (1, 102, None)], "src long, dst long, weight double").repartition(5)
+    wanted = factorise.factorise(graph.where("src is not null and dst is not null"), 2, step=1e-4)
+    wanted = {r.id: r.factors for r in wanted.collect()}
+    for name, n in (("STRIPE", 16), ("CELL_EDGES", 40), ("FEW_EDGES", 10), ("CHUNK", 7)):
+        monkeypatch.setattr(factorise, name, n)
+    sizes = []
+    layout = factorise._layout
+
+    def told(*args):
+        cells = layout(*args)
+        sizes.extend(r["count"] for r in cells.groupBy("cell").count().collect())
+        return cells
+
+    monkeypatch.setattr(factorise, "_layout", told)
+    found = {r.id: r.factors for r in factorise.factorise(graph.where("src is not null and dst is not null"), 2, step=1e-4).collect()}
+    assert set(found) == set(wanted) and max(abs(x - y) for i in found for x, y in zip(found[i], wanted[i])) < 1e-9
+    assert sum(sizes) == 600 and max(sizes) < 150 and len(sizes) > 8
+
+
+def test_factors_send_few_vectors():
+    p, q = factorise._stripes(36_000_000, 1_200_000, 60_000, 6)
+    assert p * q >= 18 and 1_200_000 * q + 60_000 * p < 36_000_000 / 10
+    assert factorise._stripes(0, 0, 0, 8) == (1, 1)
+
+
 def test_ids_beyond_32_bits_and_bad_lines_through_a_run(spark, tmp_path):
     (tmp_path / "raw.net").write_text("3000000000 5\n5 9223372036854775807\n7 7\nno\n3000000000 5\n")
     sizes = flows.canonicalise(spark, str(tmp_path / "raw.net"), str(tmp_path / "g"))
