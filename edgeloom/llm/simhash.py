@@ -19,9 +19,11 @@ Four bits are a shingle cosine of about 0.98. ``keep_one`` also finds copies tha
 similarity of 0.8 of their sets of five-word shingles: beside the fingerprint of the whole text there are PARTS of
 samples of that set. A set is sorted by hash, as a ring, and part i is the PICK shingles from the hash
 i / PARTS of the way round on, so texts of every length have parts of one size. Two sets of similarity J share a part with probability
-J ** PICK; at 0.8 none of 32 is shared once in some 2,000 pairs. Fingerprints are candidates for a link to the smallest
-and the largest that they share a part with, two rows a part whatever the bucket's size, and are linked if the sets of
-their first texts are as similar as asked for, which is counted, not estimated.
+J ** PICK; at 0.8 none of 32 is shared once in some 2,000 pairs. Fingerprints are compared first with the smallest
+and the largest that they share a part with, two rows a part whatever the bucket's size. In buckets that these links leave in
+several components, all pairs across components are candidates that share one of their rarest shingles, without which
+they cannot be alike; so pairs of one component are not made. Linked are those whose first texts' sets are as
+similar as asked for, which is counted, not estimated.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; repeated rows
 share their fingerprint and component; a null ``doc_id`` is kept and never is a component's name unless all
@@ -137,22 +139,55 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.select("fp", "text").mapInArrow(storage.frugal(compute), "fp long, hashes array<long>")
 
 
-def set_links(prints: DataFrame, texts, scratch: storage.Scratch, least: float = LEAST) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose ``sets(fp, hashes)`` have a similarity of ``least`` or more."""
+    for end, own in (("u", "a"), ("v", "b")):
+        pairs = pairs.join(sets.select(F.col("fp").alias(end), F.col("hashes").alias(own)).hint("merge"), end)
+    both, all_ = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    # both / (all - both) >= least
+    return pairs.where(both * (1 + least) >= least * all_).select("u", "v")
+
+
+def _rarest(sets: DataFrame, named: DataFrame, least: float) -> DataFrame:
+    """``token, fp, component, n``: of each set of ``named(fp, component)`` the rarest of its n shingles, so many that sets with
+    a similarity of ``least`` or more have one in common; those that no other set has are left out.
+
+    A set shares ``least`` of its shingles at least, so not all of the others and one more can be missing in the other set, and
+    both sets' shingles are in one order.
+    """
+    rows = sets.join(named.hint("merge"), "fp").select("fp", "component", F.size("hashes").alias("n"), F.explode("hashes").alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("sets"))
+    ordered = rows.join(counts.hint("merge"), "token").groupBy("fp", "component", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "token"))).alias("tokens"))
+    most = (F.col("n") - F.ceil(F.col("n") * least - 1e-6) + 1).cast("int")
+    first = ordered.select("fp", "component", "n", F.explode(F.slice("tokens", F.lit(1), most)).alias("t")).where("t.sets > 1")
+    return first.select("t.token", "fp", "component", "n")
+
+
+def set_links(prints: DataFrame, texts, scratch: storage.Scratch, near: DataFrame, least: float = LEAST) -> DataFrame:
     """``u, v``: links between fingerprints of ``prints(fp, parts)`` whose texts' sets of shingles have a similarity of ``least`` or more.
 
-    ``texts(fps)`` gives ``fp, text``, the first text of each of these fingerprints.
+    Together with the links ``near`` they have the components of all such pairs that share a part. ``texts(fps)`` gives
+    ``fp, text``, the first text of each of these fingerprints.
     """
     rows = prints.select("fp", F.posexplode("parts").alias("i", "part")).select("fp", F.xxhash64("i", "part").alias("bucket"))
     ends = rows.groupBy("bucket").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    met = rows.join(ends.hint("merge"), "bucket").select("fp", F.explode(F.array("lo", "hi")).alias("other"))
+    members = scratch.cut(rows.join(ends.hint("merge"), "bucket").distinct())
+    sets = scratch.cut(_sets(texts(members.select("fp").distinct())).dropDuplicates(["fp"]))
+    met = members.select("fp", F.explode(F.array("lo", "hi")).alias("other"))
     met = met.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"))
-    met = scratch.cut(met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > RADIUS).distinct())  # nearer ones are linked anyway
-    fps = met.select(F.col("u").alias("fp")).unionByName(met.select(F.col("v").alias("fp"))).distinct()
-    sets = scratch.cut(_sets(texts(fps)).dropDuplicates(["fp"]))
-    pairs = met.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")).hint("merge"), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")).hint("merge"), "v")
-    both, all_ = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-    # both / (all - both) >= least
-    return pairs.where(both * (1 + least) >= least * all_).select("u", "v")
+    met = met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > RADIUS).distinct()  # nearer ones are linked anyway
+    found = scratch.cut(_alike(met, sets, least))
+    # buckets whose members are not all linked by now: every pair of different components that can be alike is compared
+    labels = components(near.unionByName(found)).select(F.col("node").alias("fp"), "component")
+    named = members.select("bucket", "fp").join(labels.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = scratch.cut(named)
+    parted = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
+    rest = scratch.cut(named.join(parted.hint("merge"), "bucket", "left_semi").select("fp", "component").distinct())
+    rare = scratch.cut(_rarest(sets, rest, least))
+    other = rare.select("token", *(F.col(c).alias(f"_{c}") for c in ("fp", "component", "n")))
+    pairs = rare.join(other.hint("merge"), "token").where("fp < _fp and component <> _component")
+    pairs = pairs.where(F.least("n", "_n") >= F.greatest("n", "_n") * least - 1e-6)
+    return found.unionByName(_alike(pairs.select(F.col("fp").alias("u"), F.col("_fp").alias("v")).distinct(), sets, least))
 
 
 def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
@@ -233,10 +268,9 @@ def _through_variants(crowded: DataFrame, radius: int) -> DataFrame:
     return rows.join(least.hint("merge"), "variant").where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
-def _grouped(classes: DataFrame, scratch: storage.Scratch, more: DataFrame | None = None) -> DataFrame:
-    """``fp, first``: for each fingerprint of ``classes(fp, own)`` the smallest ``own`` in its component; ``more`` are other links."""
-    linked = links(classes.select("fp"), scratch.cut)
-    found = components(linked if more is None else linked.unionByName(more))
+def _grouped(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``fp, first``: for each fingerprint of ``classes(fp, own)`` the smallest ``own`` in its component by ``linked(u, v)``."""
+    found = components(linked)
     rows = classes.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     # with the hash, the join has an exchange of its own here, and AQE splits a large component
     least = rows.groupBy(F.xxhash64("component").alias("hash"), "component").agg(F.min("own").alias("first")).drop("hash")
@@ -253,7 +287,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     with storage.Scratch(docs.sparkSession, "simhash") as scratch:
         prints = scratch.cut(fingerprints(docs))
-        rows = prints.join(_grouped(_classes(prints, scratch), scratch).hint("merge"), "fp")
+        classes = _classes(prints, scratch)
+        rows = prints.join(_grouped(classes, links(classes.select("fp"), scratch.cut)).hint("merge"), "fp")
         return storage.cut(rows.select("doc_id", hexed.alias("fingerprint"), F.col("first").alias("component_id")), "near-duplicates")
 
 
@@ -275,8 +310,9 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
             asked = classes.join(fps.hint("merge"), "fp").select("fp", F.col("own").alias("doc_id"))
             return keyed.join(storage.small(asked, F.octet_length(F.col("doc_id.id").cast("string"))), "doc_id").select("fp", "text")
 
-        more = scratch.cut(set_links(prints, texts, scratch, least))
-        firsts = storage.cut(_grouped(classes, scratch, more).select(F.col("first").alias("kept_key")).distinct(), "kept")
+        near = scratch.cut(links(classes.select("fp"), scratch.cut))
+        more = scratch.cut(set_links(prints, texts, scratch, near, least))
+        firsts = storage.cut(_grouped(classes, near.unionByName(more)).select(F.col("first").alias("kept_key")).distinct(), "kept")
     rows = docs.select(F.struct("*").alias("row"), key.alias("own_key"))
     flat = [F.col(f"own_key.{c}").alias(c) for c in ("none", "id", "hash")]
     kept = firsts.select(*(F.col(f"kept_key.{c}").alias(c) for c in ("none", "id", "hash")))

@@ -367,6 +367,22 @@ def test_keep_one_of_looser_copies(spark):
     assert set(range(len(rows), len(rows) + 60)) <= set(kept)
 
 
+def test_all_of_a_bucket_are_compared(spark):
+    # one bucket, in which two families are unlike its smallest and largest fingerprint, and strangers have a passage in common
+    pick = random.Random(3)
+    passage, far = sentence(pick, 100), [sentence(pick, 100) for _ in range(4)]
+    texts = [far[0], *(f"{far[1]} {w}" for w in ("one", "two", "three")), *(f"{far[2]} {w}" for w in ("one", "two")), *(f"{passage} {sentence(pick, 60)}" for _ in range(3)), far[3]]
+    fps = sorted(pick.getrandbits(64) - (1 << 63) for _ in texts)
+    rows = spark.createDataFrame([(fp, [1]) for fp in fps], "fp long, parts array<long>")
+    named = spark.createDataFrame(list(zip(fps, texts)), "fp long, text string")
+    none = spark.createDataFrame([], "u long, v long")
+    with storage.Scratch(spark, "t") as scratch:
+        found = simhash.set_links(rows, lambda asked: named.join(asked, "fp"), scratch, none)
+        label = {r.node: r.component for r in components.components(found).collect()}
+    at = {fp: i for i, fp in enumerate(fps)}
+    assert {at[fp]: at[c] for fp, c in label.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
 def test_keep_one_takes_ids_of_any_type(spark):
     text = sentence(random.Random(1), 80)
     frame = spark.createDataFrame([("b", text), ("a", text.upper()), (None, text), ("c", None), ("d", ""), ("e", "one")], "doc_id string, text string")
